@@ -38,6 +38,8 @@ SPAN = re.compile(r"\S+")
 LEAST_PMI, BRIDGE = -1.0, -0.45
 #: Bits per non-ASCII pair that a one-byte mapping must gain over the text as it stands.
 GAIN = 2.0
+#: Bits by which text restored from UTF-8 may be less likely than it was.
+SLACK = 3.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,6 +87,7 @@ class PairModel:
 
     def __init__(self, chars: np.ndarray, pairs: np.ndarray):
         self.chars, self.pairs, self.total = chars.astype(np.float64), pairs.astype(np.float64), max(1.0, float(chars.sum()))
+        self.logs: dict[str, float] = {}
 
     @classmethod
     def of(cls, df: DataFrame, text_col: str = "text") -> PairModel:
@@ -111,14 +114,24 @@ class PairModel:
             out[far] = trust * pmi - 4 * (1 - trust)
         return out
 
-    def likelihood(self, text: str) -> float:
+    def pair_log(self, a: str, b: str) -> float:
+        known = self.logs.get(a + b)
+        if known is None:
+            if len(self.logs) > 1 << 18:
+                self.logs.clear()
+            n = float(self.pairs[_slots(np.array([ord(a)]), np.array([ord(b)]), PAIR_BITS)[0]])
+            known = self.logs[a + b] = float(np.log2((n + 0.05) / self.total))
+        return known
+
+    def likelihood(self, text: str, left: str = " ", right: str = " ") -> float:
         """Mean log2 of the share of each non-ASCII pair among all characters; 0 if there is none."""
-        x = codes(f" {text} ")
-        a, b = x[:-1], x[1:]
-        far = (a > 127) | (b > 127)
-        if not far.any():
-            return 0.0
-        return float(np.log2((self.pairs[_slots(a[far], b[far], PAIR_BITS)] + 0.05) / self.total).mean())
+        text = f"{left}{text}{right}"
+        n, total = 0, 0.0
+        for a, b in zip(text, text[1:]):
+            if a > "\x7f" or b > "\x7f":
+                n += 1
+                total += self.pair_log(a, b)
+        return total / n if n else 0.0
 
 
 @lru_cache(1 << 16)
@@ -140,7 +153,9 @@ def as_bytes(text: str, encoding: str) -> bytes | None:
 
 @lru_cache(1 << 16)
 def utf8_pair(a: str, b: str) -> bool:
-    """Whether under some mapping the two characters begin a UTF-8 sequence."""
+    """Whether under some mapping the two characters begin a UTF-8 sequence. Two letters of Russian never count: runs of them do so by chance."""
+    if "\u0410" <= a <= "\u044f" and "\u0410" <= b <= "\u044f":
+        return False
     for e in OVER_UTF8:
         raw = as_bytes(a + b, e)
         if raw and len(raw) == 2 and 0xC2 <= raw[0] <= 0xF4 and 0x80 <= raw[1] <= 0xBF:
@@ -205,32 +220,32 @@ def _whole_utf8(run: str) -> tuple[str, str] | None:
                 back = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if len(back) < len(raw) and not any(0x80 <= ord(c) < 0xA0 for c in back):
-                return back, e
-            if len(back) < len(raw) and len(back) > 1 and _whole_utf8(back):
+            if len(back) < len(raw) and (not any(0x80 <= ord(c) < 0xA0 for c in back) or _whole_utf8(back)):
                 return back, e
     return None
 
 
 @lru_cache(1 << 16)
-def undo_utf8(run: str) -> tuple[str, str] | None:
-    """As _whole_utf8, or for the longest parts of the run for which that holds (its ends may be correct text)."""
-    whole = _whole_utf8(run)
-    if whole:
-        back, e = whole
-        again = undo_utf8(back) if len(back) > 1 and not back.isascii() else None
-        return (again[0], f"{again[1]}, {e}") if again else whole
-    out, used, k = [], "", 0
+def utf8_parts(run: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """[(part of the run, [(original, encodings), ...])]: the longest parts that are UTF-8 read as another encoding.
+
+    The alternatives of a part begin with the one for which the wrong decoding was undone most often.
+    """
+    out: list[tuple[str, list[tuple[str, str]]]] = []
+    k = 0
     while k < len(run):
-        for end in range(min(len(run), k + 24), k + 1, -1):
-            if (k, end) != (0, len(run)) and (part := _whole_utf8(run[k:end])):
-                out.append(part[0])
-                used, k = part[1], end
+        for end in (len(run), *range(min(len(run) - 1, k + 24), k + 1, -1)):
+            if end > k + 1 and (back := _whole_utf8(run[k:end])):
+                steps = [back]
+                while len(steps) < 4 and (more := _whole_utf8(steps[0][0])):
+                    steps.insert(0, (more[0], f"{more[1]}, {steps[0][1]}"))
+                out.append((run[k:end], steps))
+                k = end
                 break
         else:
-            out.append(run[k])
+            out.append((run[k], []))
             k += 1
-    return ("".join(out), used) if used else None
+    return out
 
 
 def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
@@ -244,18 +259,24 @@ def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
     for s, e in segments(text, model):
         part = text[s:e]
         damaged = REPLACED in part
-        fixed, seen = [], []
-
-        def one(m: re.Match, seen: list[str] = seen) -> str:
-            back = undo_utf8(m.group())
-            if back:
-                seen.append(back[1])
-                return back[0]
-            return m.group()
-
-        new = RUN.sub(one, part)
-        if seen and REPLACED not in new and model.likelihood(new) + 1 < model.likelihood(part) and len(NON_ASCII.findall(part)) < 3:
-            new, seen = part, []  # a lone pair that corpus statistics hold for correct
+        seen: list[str] = []
+        pieces, done = [], 0
+        for m in RUN.finditer(part):
+            pieces.append(part[done : m.start()])
+            done = m.end()
+            parts = utf8_parts(m.group())
+            for k, (old, steps) in enumerate(parts):
+                left = (pieces[-1] or " ")[-1] if pieces else " "
+                right = parts[k + 1][0][0] if k + 1 < len(parts) else part[done : done + 1] or " "
+                here = model.likelihood(old, left, right)
+                for back, encodings in steps:
+                    if model.likelihood(back, left, right) >= here - SLACK:
+                        seen.append(encodings)
+                        old = back
+                        break
+                pieces.append(old)
+        pieces.append(part[done:])
+        new = "".join(pieces)
         if not seen and not damaged:
             here = model.likelihood(part)
             n = len(NON_ASCII.findall(part))
@@ -277,7 +298,6 @@ def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
             bad += 1
             lost += damaged
             used += seen
-            fixed.append(new)
             out += [text[at:s], new]
             at = e
     out.append(text[at:])
