@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codectx.llm import credentials, encoding, handwritten, leakage, set_join, splitter
+from codectx.llm import credentials, encoding, handwritten, leakage, set_join, splitter, validity
 from codectx.llm.common import table
 
 SETS = ["defined_symbols", "used_symbols", "call_names"]
@@ -53,6 +53,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).filter("piece_no = 0").select("chunk_key")
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    return validity.check_files(validity.files(table(spark, d, "loader_samples"), table(spark, d, "code_chunks")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_checked(spark, d).filter("not valid").select("origin", "record_id", "file_path")
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.rates(p7_checked(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_rows")).select("doc_id", "item_id")
 
@@ -72,7 +84,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p8_found, p8_items, p10_found, p10_restored)
+    f.__name__: f for f in (p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"

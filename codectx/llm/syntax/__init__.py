@@ -1 +1,8 @@
 """Recursive-descent parsers that tell whether source text is valid in its language."""
+
+from codectx.llm.syntax import go, java, js, python
+
+#: Extension -> (language, parser).
+PARSERS = {
+    "py": ("python", python.parse), "js": ("javascript", js.parse), "ts": ("typescript", js.parse_ts), "java": ("java", java.parse), "go": ("go", go.parse),
+}
