@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codectx.llm import credentials, encoding, handwritten, leakage, set_join, splitter, validity
+from codectx.llm import credentials, encoding, handwritten, leakage, mixing, set_join, split_overlap, splitter, validity
 from codectx.llm.common import table
 
 SETS = ["defined_symbols", "used_symbols", "call_names"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = split_overlap.split_overlaps(table(spark, d, "training_samples"))
+    rows = split_overlap.record_overlaps(pairs, members)
+    return rows.select(F.least("train_id", "held_id").alias("sample_lo"), F.greatest("train_id", "held_id").alias("sample_hi"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(table(spark, d, "training_samples"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = set_join.similar_sets(table(spark, d, "code_chunks"), "chunk_key", SETS)
     return set_join.record_pairs(pairs, members).select(F.col("lo").alias("chunk_lo"), F.col("hi").alias("chunk_hi"))
@@ -75,6 +85,14 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), F.round(F.max("covered"), 6).alias("largest_share"))
 
 
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -84,7 +102,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_report, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_report, p9_mix, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"
