@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codectx.llm import credentials, encoding, handwritten, leakage, mixing, set_join, split_overlap, splitter, validity
+from codectx.llm import credentials, encoding, handwritten, leakage, mixing, set_join, split_overlap, splitter, validity, vector_graph
 from codectx.llm.common import table
 
 SETS = ["defined_symbols", "used_symbols", "call_names"]
@@ -23,6 +23,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(table(spark, d, "training_samples"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return vector_graph.nearest_pairs(vector_graph.nearest_vectors(table(spark, d, "text_vectors")))
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return vector_graph.nearest_vectors(table(spark, d, "text_vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = set_join.similar_sets(table(spark, d, "code_chunks"), "chunk_key", SETS)
     return set_join.record_pairs(pairs, members).select(F.col("lo").alias("chunk_lo"), F.col("hi").alias("chunk_hi"))
@@ -102,7 +110,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_report, p9_mix, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_report, p9_mix, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"
