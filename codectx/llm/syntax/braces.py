@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from codectx.llm.syntax.core import Wrong
+from codectx.llm.syntax.core import LOOK, Wrong
 
 JS_WORDS = frozenset(
     "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split()
@@ -129,7 +129,8 @@ def lex_js(text: str, errors: list[Wrong], single: bool = False) -> tuple[list[s
                 put(c, start)
     if templates:
         errors.append(Wrong(n, "unterminated template"))
-    put("", n)
+    for _ in range(LOOK):
+        put("", n)
     return kinds, starts, breaks, words
 
 
@@ -198,5 +199,6 @@ def lex_simple(text: str, errors: list[Wrong], token: re.Pattern, words: frozens
         else:
             kinds.append("S" if kind != "char" or not semicolons else "0"), starts.append(start)
     end_line(n)
-    kinds.append(""), starts.append(n)
+    kinds += [""] * LOOK
+    starts += [n] * LOOK
     return kinds, starts

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+#: How many ends stand behind the last token, so that parsers may look ahead anywhere.
+LOOK = 8
+
+
 class Wrong(Exception):
     """The text isn't valid at an offset."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from keyword import kwlist
 
-from codectx.llm.syntax.core import Parser, Wrong
+from codectx.llm.syntax.core import LOOK, Parser, Wrong
 
 KEYWORDS = frozenset(kwlist)
 NEWLINE, INDENT, DEDENT = "newline", "indent", "dedent"
@@ -242,7 +242,8 @@ def lex(text: str, errors: list[Wrong], shift: int = 0, inside: bool = False) ->
             kinds.append(NEWLINE), starts.append(shift + n)
         for _ in indents[1:]:
             kinds.append(DEDENT), starts.append(shift + n)
-    kinds.append(""), starts.append(shift + n)
+    kinds += [""] * LOOK
+    starts += [shift + n] * LOOK
     return kinds, starts
 
 
