@@ -92,7 +92,7 @@ class PairModel:
     @classmethod
     def of(cls, df: DataFrame, text_col: str = "text") -> PairModel:
         """Reads at most 2**18 + 2**16 counts into the driver, whatever the corpus' size."""
-        rows = count_pairs(df, text_col).toPandas()
+        rows = count_pairs(df, text_col).toArrow().to_pandas()
         out = []
         for kind, bits in (("c", CHAR_BITS), ("p", PAIR_BITS)):
             table, part = np.zeros(1 << bits, np.int64), rows[rows.kind == kind]

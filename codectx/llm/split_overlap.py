@@ -84,9 +84,9 @@ def run_counts(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(table)
         yield pd.DataFrame({"slot": at, "n": table[at]})
 
-    rows = classes.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << SKETCH_BITS, np.int64)
-    table[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    rows = classes.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SKETCH_BITS, np.int32)
+    table[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
     return table
 
 
