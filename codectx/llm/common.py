@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extension (lower case, with dot) of files whose whole content is judged per language.
-ARROW_ROWS = 2000
+from codectx.storage import shared_dir, written
+
+__all__ = ["crossfile_entries", "shared_dir", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,42 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset, as in local tests, a folder of this machine is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), f"codectx-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already
-        pass
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there.
-
-    Unlike a cached frame the files outlive a lost executor, and unlike
-    ``checkpoint()`` the last stage runs once. The files go when Python exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codectx/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -64,14 +24,3 @@ def crossfile_entries(samples: DataFrame) -> DataFrame:
     return samples.select(
         F.col("sample_id").alias("record_id"), F.explode("crossfile_context").alias("file_path", "content")
     )
-
-
-def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """``df`` as it is: the scan's splits already follow ``spark.sql.files.maxPartitionBytes``.
-
-    A single large Parquet row group can't be split by a scan, so text-heavy
-    Python stages ask for more tasks where the input has fewer tasks than cores.
-    """
-    n = df.rdd.getNumPartitions()
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if n >= want else df.repartition(want)
