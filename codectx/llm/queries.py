@@ -135,6 +135,6 @@ ORACLES: dict[str, str] = {
         r AS (SELECT chunk_key, x, n.n, row_number() OVER (PARTITION BY chunk_key ORDER BY df, x) AS pos FROM e JOIN n USING (chunk_key) JOIN f USING (x)),
         p AS (SELECT * FROM r WHERE pos <= n - ((n * 7 + 9) // 10) + 1),
         c AS (SELECT DISTINCT a.chunk_key AS lo, b.chunk_key AS hi, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.x = b.x AND a.chunk_key < b.chunk_key),
-        s AS (SELECT lo, hi, na, nb, count(*) AS both FROM c JOIN r a ON a.chunk_key = lo JOIN r b ON b.chunk_key = hi AND a.x = b.x GROUP BY ALL)
-        SELECT lo AS chunk_lo, hi AS chunk_hi FROM s WHERE both * 10 >= (na + nb - both) * 7""",
+        s AS (SELECT lo, hi, na, nb, count(*) AS n_both FROM c JOIN r a ON a.chunk_key = lo JOIN r b ON b.chunk_key = hi AND a.x = b.x GROUP BY ALL)
+        SELECT lo AS chunk_lo, hi AS chunk_hi FROM s WHERE n_both * 10 >= (na + nb - n_both) * 7""",
 }
