@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codectx.functions.text import identifier_set, strip, text
 
@@ -18,7 +19,7 @@ def exact_match(predicted: Column, target: Column) -> Column:
     return (strip(predicted) == strip(target)).cast("double")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matched_ratio(predicted: pd.Series, target: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which isn't symmetric and has no built-in."""
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(predicted, target)], dtype="float64")

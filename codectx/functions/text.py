@@ -16,7 +16,7 @@ IDENTIFIER = r"[_a-zA-Z][_a-zA-Z0-9]*"
 CALL = r"(?<!def\s)(?<!class\s)([_a-zA-Z][_a-zA-Z0-9]*)\s*\("
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: Words that are never call names, and Python's keywords, which are no identifiers of a query. Fixed values.
-NO_CALLS = ["if", "for", "while", "return", "switch", "catch", "with"]
+NO_CALLS = ["if", "for", "while", "with", "return", "class", "def"]
 KEYWORDS = (
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 ).split()

@@ -13,7 +13,7 @@ TOLERANCE, REDUCTION, EPSILON = 0.01, 0.20, 1e-12
 def gate_metrics(df: DataFrame, label: Column, p: Column, threshold: float = 0.5) -> DataFrame:
     """One row: tp, fp, tn, fn, precision, recall, f1, n. Rows with a null label or probability are left out."""
     rows = df.select(label.alias("l"), (p >= threshold).alias("y")).filter("l is not null and y is not null")
-    c = rows.agg(F.count_if("l and y").alias("tp"), F.count_if("not l and y").alias("fp"), F.count_if("not l and not y").alias("tn"), F.count_if("l and not y").alias("fn"), F.count("*").alias("n"))
+    c = rows.agg(F.count_if(F.expr("l and y")).alias("tp"), F.count_if(F.expr("not l and y")).alias("fp"), F.count_if(F.expr("not l and not y")).alias("tn"), F.count_if(F.expr("l and not y")).alias("fn"), F.count("*").alias("n"))
     precision, recall = F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp")), F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn"))
     return c.select("tp", "fp", "tn", "fn", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"), "n")
 
@@ -25,7 +25,7 @@ def auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     are summed apart from each other and shifted by the sums of the ranges before, so no task orders all scores.
     """
     rows = df.select(label.alias("l"), score.alias("s")).filter("l is not null and s is not null and not isnan(s)")
-    each = rows.groupBy("s").agg(F.count_if("l").alias("p"), F.count_if("not l").alias("q"))
+    each = rows.groupBy("s").agg(F.count_if(F.expr("l")).alias("p"), F.count_if(F.expr("not l")).alias("q"))
     parts = each.repartitionByRange(F.col("s")).withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = parts.withColumn("b", F.coalesce(F.sum("q").over(w), F.lit(0)))

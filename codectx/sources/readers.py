@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Folders that a file tree scan leaves out. Fixed values.
-EXCLUDED = (".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", "node_modules", "dist", "build", ".mypy_cache", ".pytest_cache")
+EXCLUDED = (".git", ".hg", ".mypy_cache", ".pytest_cache", "__pycache__", "node_modules", "dist", "build", ".venv", "venv")
 #: Rows that are numbered together when flags are summed up along a table.
 BLOCK = 1 << 16
 
