@@ -33,7 +33,7 @@ ONE_BYTE = (
 REPLACED = "�"
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 RUN = re.compile(r"[^\x00-\x7f]+")
-SPAN = re.compile(r"\S+")
+RUSSIAN = re.compile("[\u0410-\u044f\u0401\u0451]+")
 #: A pair below this mutual information is improbable; what a pair of ASCII characters inside a segment costs.
 LEAST_PMI, BRIDGE = -1.0, -0.45
 #: Bits per non-ASCII pair that a one-byte mapping must gain over the text as it stands.
@@ -120,7 +120,7 @@ class PairModel:
             if len(self.logs) > 1 << 18:
                 self.logs.clear()
             n = float(self.pairs[_slots(np.array([ord(a)]), np.array([ord(b)]), PAIR_BITS)[0]])
-            known = self.logs[a + b] = float(np.log2((n + 0.05) / self.total))
+            known = self.logs[a + b] = float(np.log2((n + 1) / self.total))
         return known
 
     def likelihood(self, text: str, left: str = " ", right: str = " ") -> float:
@@ -163,6 +163,28 @@ def utf8_pair(a: str, b: str) -> bool:
     return False
 
 
+def maximal_segments(worth: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of all maximal scoring segments (Ruzzo and Tompa): none can be made longer or shorter for a larger sum.
+
+    >>> maximal_segments(np.array([1.0, -0.5, 1.0, -3.0, 2.0]))
+    [(0, 3), (4, 5)]
+    """
+    sums = np.concatenate(([0.0], np.cumsum(worth)))
+    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
+    for k in np.flatnonzero(worth > 0).tolist():
+        start, end, left, right = k, k + 1, float(sums[k]), float(sums[k + 1])
+        while True:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= left:
+                j -= 1
+            if j < 0 or stack[j][3] >= right:
+                stack.append((start, end, left, right))
+                break
+            start, left = stack[j][0], stack[j][2]
+            del stack[j:]
+    return [(s, e) for s, e, _, _ in stack]
+
+
 def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     """Maximum-scoring segments of improbable pairs, widened to whole words; a replacement character opens one by itself."""
     hits = [m.span() for m in RUN.finditer(text)]
@@ -176,22 +198,7 @@ def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     for k in np.flatnonzero((x[:-1] > 127) & (x[1:] > 127)).tolist():
         if utf8_pair(text[k], text[k + 1]):
             worth[k] = 2.0
-    found: list[list[int]] = []
-    best, total, start, stop = 0.0, 0.0, -1, -1
-    for k in np.flatnonzero(worth > 0).tolist():
-        if start >= 0:
-            gap = float(worth[last + 1 : k].sum())
-            total += gap
-        if start < 0 or total <= 0:
-            if start >= 0:
-                found.append([start, stop])
-            start, total, best = k, 0.0, 0.0
-        total += float(worth[k])
-        last = k
-        if total >= best:
-            best, stop = total, k + 2
-    if start >= 0:
-        found.append([start, stop])
+    found = [(s, e + 1) for s, e in maximal_segments(worth)]
     out: list[list[int]] = []
     for s, e in [*found, *([m.start(), m.end()] for m in re.finditer(REPLACED, text))]:
         while s > 0 and not text[s - 1].isspace():
@@ -209,11 +216,11 @@ def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     return [(s, e) for s, e in merged]
 
 
-def _whole_utf8(run: str) -> tuple[str, str] | None:
+def _whole_utf8(run: str, encodings: tuple[str, ...] = OVER_UTF8) -> tuple[str, str] | None:
     """(original, encoding) if the whole run of non-ASCII characters is UTF-8 read as another encoding."""
     if len(run) < 2:
         return None
-    for e in OVER_UTF8:
+    for e in encodings:
         raw = as_bytes(run, e)
         if raw:
             try:
@@ -237,7 +244,8 @@ def utf8_parts(run: str) -> list[tuple[str, list[tuple[str, str]]]]:
         for end in (len(run), *range(min(len(run) - 1, k + 24), k + 1, -1)):
             if end > k + 1 and (back := _whole_utf8(run[k:end])):
                 steps = [back]
-                while len(steps) < 4 and (more := _whole_utf8(steps[0][0])):
+                same = ("cp1252", "latin-1") if back[1] in ("cp1252", "latin-1") else (back[1],)
+                while len(steps) < 4 and (more := _whole_utf8(steps[0][0], same)):  # what went wrong twice went wrong the same way
                     steps.insert(0, (more[0], f"{more[1]}, {steps[0][1]}"))
                 out.append((run[k:end], steps))
                 k = end
@@ -269,8 +277,10 @@ def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
                 left = (pieces[-1] or " ")[-1] if pieces else " "
                 right = parts[k + 1][0][0] if k + 1 < len(parts) else part[done : done + 1] or " "
                 here = model.likelihood(old, left, right)
+                # a part of a run, or a run of Russian letters, may be UTF-8 by chance
+                slack = SLACK if len(parts) == 1 and not RUSSIAN.fullmatch(old) else 0.0
                 for back, encodings in steps:
-                    if model.likelihood(back, left, right) >= here - SLACK:
+                    if model.likelihood(back, left, right) >= here - slack:
                         seen.append(encodings)
                         old = back
                         break
