@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 IDENTIFIER = r"[_a-zA-Z][_a-zA-Z0-9]*"
 CALL = r"(?<!def\s)(?<!class\s)([_a-zA-Z][_a-zA-Z0-9]*)\s*\("
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: The characters that Python strips. Fixed values.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Words that are never call names, and Python's keywords, which are no identifiers of a query. Fixed values.
 NO_CALLS = ["if", "for", "while", "with", "return", "class", "def"]
 KEYWORDS = (
@@ -29,11 +31,15 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text(c), F.lit(SPACE))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(text(c), F.lit(SPACE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(text(c), r"(?U)\s+\z", "")
+    return F.rtrim(text(c), F.lit(SPACE))
 
 
 def lines(c: Column) -> Column:
@@ -79,13 +85,13 @@ def call_names(c: Column) -> Column:
 
 def trailing_identifier(c: Column) -> Column:
     """The identifier that ends the right-stripped text, else ''."""
-    return F.regexp_extract(rstrip(c), IDENTIFIER + r"\z", 0)
+    return F.regexp_extract(F.substring_index(rstrip(c), "\n", -1), IDENTIFIER + r"\z", 0)
 
 
 def member_access(c: Column) -> tuple[Column, Column]:
     """(owner, begun member) of a member access that ends the text's last line, else two ''."""
     pattern = rf"({IDENTIFIER})\s*\.\s*({IDENTIFIER})?\z"
-    end = rstrip(last_line(rstrip(c)))
+    end = rstrip(last_line(F.substring_index(rstrip(c), "\n", -1)))
     return F.regexp_extract(end, pattern, 1), F.regexp_extract(end, pattern, 2)
 
 

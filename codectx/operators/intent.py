@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codectx.functions import text as t
@@ -12,17 +12,19 @@ TAIL_LINES, MOST_HINTS, MOST_IDENTIFIERS, MOST_LOCALS = 80, 12, 40, 24
 GATE_WEIGHTS, GATE_BIAS, LONG = (0.4, 0.3, 0.0), 0.0, 2000
 
 
-def tail(c: Column, n: int = TAIL_LINES) -> Column:
-    own = t.lines(c)
-    return F.array_join(F.slice(own, -F.least(F.lit(n), F.greatest(F.size(own), F.lit(1))), n), "\n")
+def with_sketch(df: DataFrame, text_col: str, name: str = "sketch") -> DataFrame:
+    """``df`` with the intent sketch of a left context as a struct; its query has no line for what is empty. The labels are fixed values.
 
-
-def sketch(c: Column) -> Column:
-    """The intent sketch of a left context as a struct; its query has no line for what is empty. The labels are fixed values."""
-    end = tail(c)
-    prefix = t.trailing_identifier(c)
-    owner, member = t.member_access(c)
-    classes, imports, names = t.class_hints(end), t.import_hints(end), t.query_identifiers(end)
+    Lines, tail and name lists are columns of their own on the way, so that each is computed once.
+    """
+    own = df.withColumn("_lines", t.lines(F.col(text_col)))
+    cut = own.withColumn("_tail", F.array_join(F.slice("_lines", -F.least(F.lit(TAIL_LINES), F.greatest(F.size("_lines"), F.lit(1))), TAIL_LINES), "\n")).withColumn("_end", t.rstrip(F.col(text_col)))
+    owner, member = t.member_access(F.col("_end"))
+    rows = cut.withColumn("_s", F.struct(
+        t.trailing_identifier(F.col("_end")).alias("prefix"), owner.alias("member_owner"), member.alias("member_prefix"),
+        t.query_identifiers(F.col("_tail")).alias("identifiers"), t.class_hints(F.col("_tail")).alias("class_hints"), t.import_hints(F.col("_tail")).alias("import_hints"),
+    ))
+    s = {c: F.col(f"_s.{c}") for c in ("prefix", "member_owner", "member_prefix", "identifiers", "class_hints", "import_hints")}
 
     def line(label: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(f"{label}: "), value))
@@ -31,12 +33,10 @@ def sketch(c: Column) -> Column:
         return F.when(F.size(value) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(value, 1, most), " ")))
 
     query = F.concat_ws(
-        "\n", F.lit("### Intent sketch"), line("incomplete_prefix", prefix), line("member_owner", owner), line("member_prefix", member),
-        listed("class_hints", classes, MOST_HINTS), listed("imports", imports, MOST_HINTS), listed("local_identifiers", names, MOST_IDENTIFIERS), F.lit("### Left context tail"), end,
-    )
-    return F.struct(
-        prefix.alias("prefix"), owner.alias("member_owner"), member.alias("member_prefix"), names.alias("identifiers"), classes.alias("class_hints"), imports.alias("import_hints"), t.strip(query).alias("query")
+        "\n", F.lit("### Intent sketch"), line("incomplete_prefix", s["prefix"]), line("member_owner", s["member_owner"]), line("member_prefix", s["member_prefix"]),
+        listed("class_hints", s["class_hints"], MOST_HINTS), listed("imports", s["import_hints"], MOST_HINTS), listed("local_identifiers", s["identifiers"], MOST_IDENTIFIERS), F.lit("### Left context tail"), F.col("_tail"),
     )
+    return rows.withColumn(name, F.struct(*(c.alias(k) for k, c in s.items()), t.strip(query).alias("query"))).drop("_lines", "_tail", "_end", "_s")
 
 
 def cursor_index(cursor: Column, n: Column) -> Column:
@@ -46,29 +46,28 @@ def cursor_index(cursor: Column, n: Column) -> Column:
 
 def _last(own: Column, word: str) -> Column:
     """The last of some lines that begins with a word and ends with ':'; null if there is none."""
-    found = F.filter(own, lambda x: t.strip(x).startswith(f"{word} ") & t.rstrip(x).endswith(":"))
-    return F.when(F.size(found) > 0, t.rstrip(F.get(found, F.size(found) - 1)))
-
-
-def scope(c: Column, cursor: Column, context_lines: int = 15) -> Column:
-    """The scope at a cursor from a scan of Python lines: imports, the nearest class and def header above (whether or not they enclose it), the lines before, local variables."""
-    own = t.lines(t.newline_normalised(c))
-    index = cursor_index(cursor, F.size(own))
-    above = F.slice(own, 1, index + 1)
-    imports = F.array_distinct(F.transform(F.filter(above, lambda x: t.strip(x).startswith("import ") | t.strip(x).startswith("from ") & t.strip(x).contains(" import ")), t.rstrip))
-    first = F.greatest(F.lit(1), index + 1 - max(1, context_lines))
-    code = F.array_join(F.slice(own, first, index + 2 - first), "\n")
-    function = _last(above, "def")
-    return F.struct(
-        imports.alias("imports"), _last(above, "class").alias("parent_class"), function.alias("parent_function"), code.alias("local_code"), local_variables(code, function).alias("local_variables"), (index + 1).alias("cursor_line")
-    )
+    found = F.filter(own, lambda x: t.lstrip(x).startswith(f"{word} ") & t.rstrip(x).endswith(":"))
+    return F.rtrim(F.try_element_at(found, F.lit(-1)), F.lit(t.SPACE))
+
+
+def with_scope(df: DataFrame, text_col: str, cursor_col: str, name: str = "scope", context_lines: int = 15) -> DataFrame:
+    """``df`` with the scope at a cursor, from a scan of Python lines: imports, the nearest class and def header above (whether or not they enclose it), the lines before, local variables."""
+    own = df.withColumn("_lines", t.lines(t.newline_normalised(F.col(text_col)))).withColumn("_at", cursor_index(F.col(cursor_col), F.size("_lines")))
+    rows = own.withColumn("_above", F.slice("_lines", 1, F.col("_at") + 1))
+    first = F.greatest(F.lit(1), F.col("_at") + 1 - max(1, context_lines))
+    rows = rows.withColumn("_code", F.slice("_lines", first, F.col("_at") + 2 - first)).withColumn("_class", _last(F.col("_above"), "class")).withColumn("_def", _last(F.col("_above"), "def"))
+    imports = F.array_distinct(F.transform(F.filter("_above", lambda x: t.lstrip(x).startswith("import ") | t.lstrip(x).startswith("from ") & t.strip(x).contains(" import ")), t.rstrip))
+    rows = rows.withColumn("_imports", imports).withColumn("_locals", local_variables(F.col("_code"), F.col("_def")))
+    return rows.withColumn(name, F.struct(
+        F.col("_imports").alias("imports"), F.col("_class").alias("parent_class"), F.col("_def").alias("parent_function"), F.array_join("_code", "\n").alias("local_code"), F.col("_locals").alias("local_variables"), (F.col("_at") + 1).alias("cursor_line")
+    )).drop("_lines", "_at", "_above", "_code", "_class", "_def", "_imports", "_locals")
 
 
 def local_variables(code: Column, function: Column) -> Column:
-    """Parameters of a def header, then by line the targets of assignments and loops; distinct, without self and cls, 24 at most."""
+    """Parameters of a def header, then by line of the code the targets of assignments and loops; distinct, without self and cls, 24 at most."""
     inner = F.regexp_extract(F.coalesce(function, F.lit("")), r"def\s+\w+\(([^)]*)\)", 1)
     parameters = F.transform(F.split(inner, ",", -1), lambda p: t.strip(F.regexp_extract(p, r"^[^:=]*", 0)))
-    own = F.filter(F.transform(t.lines(code), t.strip), lambda x: ~x.startswith("#"))
+    own = F.filter(F.transform(code, t.strip), lambda x: ~x.startswith("#"))
     found = F.flatten(F.transform(own, lambda x: F.array(F.regexp_extract(x, rf"^({t.IDENTIFIER})\s*=", 1), F.regexp_extract(x, rf"^for\s+({t.IDENTIFIER})\s+in\s+", 1))))
     return F.slice(F.array_except(F.array_distinct(F.concat(parameters, found)), F.array(F.lit("self"), F.lit("cls"), F.lit(""))), 1, MOST_LOCALS)
 
@@ -86,7 +85,7 @@ def scope_prompt(s: Column, path: Column) -> Column:
 
 def gate_features(c: Column) -> list[Column]:
     """Member access in the last line, an identifier broken off at an underscore, length over 2,000 characters capped at 1."""
-    end = t.last_line(t.rstrip(c))
+    end = t.last_line(F.substring_index(t.rstrip(c), "\n", -1))
     return [
         end.contains(".").cast("double"), end.rlike(t.IDENTIFIER + r"_\z").cast("double"), F.least(F.lit(1.0), F.length(t.text(c)) / float(LONG)),
     ]

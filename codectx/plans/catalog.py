@@ -249,7 +249,7 @@ SPLIT_R = SPLIT.format("r").replace("coalesce(r, '')", "r")
             list_filter(regexp_extract_all(tail, '[_a-zA-Z][_a-zA-Z0-9]*'), lambda w: w NOT IN ({KEYWORD_SQL}) AND regexp_matches(w, '^[A-Z]')))))::BIGINT AS n_class_hints
     FROM c LEFT JOIN i USING (sample_id)""")
 def intent_sketch(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "training_samples").select("sample_id", intent.sketch(F.col("left_context")).alias("s"))
+    s = intent.with_sketch(table(spark, d, "training_samples").select("sample_id", "left_context"), "left_context", "s")
     return s.select("sample_id", "s.prefix", "s.member_owner", "s.member_prefix", *(n(F.size(f"s.{c}")).alias(f"n_{c}") for c in ("class_hints", "import_hints", "identifiers")))
 
 
@@ -257,7 +257,7 @@ def intent_sketch(spark: SparkSession, d: str) -> DataFrame:
 def scope_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The scope at the middle line of every document."""
     rows = table(spark, d, "documents").select("doc_id", "text", F.floor((F.size(t.lines(F.col("text"))) + 1) / 2).cast("int").alias("cursor"))
-    s = rows.select("doc_id", intent.scope(F.col("text"), F.col("cursor")).alias("s"))
+    s = intent.with_scope(rows, "text", "cursor", "s")
     return s.select("doc_id", F.size("s.imports").alias("n_imports"), "s.parent_class", "s.parent_function", F.size("s.local_variables").alias("n_locals"), "s.cursor_line", F.length(intent.scope_prompt(F.col("s"), F.lit("current_file.py"))).alias("n_prompt"))
 
 
