@@ -232,7 +232,7 @@ def record_overlaps(pairs: DataFrame, members: DataFrame) -> DataFrame:
     train, held = _sides(members)
     t, h = train.select("class_id", F.col("sample_id").alias("train_id")), held.select("class_id", F.col("sample_id").alias("held_id"))
     across = pairs.select("a", "b").join(t.withColumnRenamed("class_id", "a"), "a").join(h.withColumnRenamed("class_id", "b"), "b").select("train_id", "held_id")
-    return across.unionByName(t.join(h, "class_id").select("train_id", "held_id")).distinct()
+    return across.unionByName(t.join(h, "class_id").select("train_id", "held_id"))
 
 
 def overlap_report(samples: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:

@@ -203,8 +203,16 @@ def search_cell(x: np.ndarray, want: int, width: int = BEAM) -> tuple[np.ndarray
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
-def usable(vectors: DataFrame, vec: str = "vec") -> DataFrame:
-    """(vec_id, vec) with vectors of double precision; null vectors, null or non-finite elements and lengths of 0 are left out."""
+def usable(vectors: DataFrame, vec: str = "vec", dim: int | None = None) -> DataFrame:
+    """(vec_id, vec) with vectors of double precision; null vectors, null or non-finite elements and lengths of 0 are left out.
+
+    So are vectors with another number of elements than ``dim``, by default than most vectors have (the smaller number of two equally frequent ones).
+    """
+    if dim is None:
+        sizes = vectors.filter(F.size(vec) > 0).groupBy(F.size(vec).alias("d")).agg(F.count("*").alias("n"))
+        most = sizes.agg(F.min_by("d", F.struct(-F.col("n"), F.col("d")))).first()[0]
+        dim = most or 0
+    vectors = vectors.filter(F.size(vec) == dim)
     v = F.transform(vec, lambda x: x.cast("double"))
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     return vectors.select("vec_id", v.alias("vec")).filter(good).filter(F.exists("vec", lambda x: x != 0))
@@ -251,14 +259,14 @@ def nearest_classes(classes: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> D
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank")
 
 
-def nearest_vectors(vectors: DataFrame, k: int = NEAREST, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = NEAREST, cell_rows: int = CELL_ROWS, dim: int | None = None) -> DataFrame:
     """(vec_id, rank, other, cos): for each usable vector its k nearest others, equal cosines by smaller id; fewer if there are fewer.
 
-    vectors: vec_id, vec (array of any number type and of one length). Equal vectors are searched once; a class's list holds its own
+    vectors: vec_id, vec (array of any number type; see ``usable`` for what takes part). Equal vectors are searched once; a class's list holds its own
     members too, of which only the k + 1 smallest ids can be among the k nearest of anything, so no more of them are looked at.
     The result is approximate as far as a neighbour lies in no cell of a vector or a beam misses it.
     """
-    rows = usable(vectors).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vec")))
+    rows = usable(vectors, dim=dim).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vec")))
     ids = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"))
     members = written(rows.select("vec_id", "h1", "h2").join(ids, ["h1", "h2"]).select("class_id", "vec_id"))
     classes = written(rows.join(ids.select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("class_id"), "vec"))

@@ -31,7 +31,9 @@ def frame(spark, rows):
 
 def found(spark, rows):
     pairs, members = so.split_overlaps(frame(spark, rows))
-    return {(r.train_id, r.held_id) for r in so.record_overlaps(pairs, members).collect()}
+    got = [(r.train_id, r.held_id) for r in so.record_overlaps(pairs, members).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
 
 
 def test_finds_what_brute_force_finds(spark):

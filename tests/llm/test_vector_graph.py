@@ -10,7 +10,7 @@ def frame(spark, vectors):
 
 
 def brute(vectors, k=5):
-    ids = [i for i, v in vectors if v is not None and None not in v and any(v) and not any(np.isnan(v))]
+    ids = [i for i, v in vectors if v is not None and i != 205 and None not in v and any(v) and not any(np.isnan(v))]
     x = {i: np.array(v, np.float32).astype(float) for i, v in vectors if i in set(ids)}
     out = {}
     for i in ids:
@@ -22,7 +22,7 @@ def brute(vectors, k=5):
 def test_small_tables_are_exact_with_ties_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(3)
     v = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(40)]
-    v += [(100 + i, v[3][1]) for i in range(9)] + [(200, None), (201, [0.0] * 8), (202, [None] * 8), (203, [float("nan")] * 8), (204, (2 * np.array(v[5][1], np.float32)).tolist())]
+    v += [(100 + i, v[3][1]) for i in range(9)] + [(200, None), (201, [0.0] * 8), (202, [None] * 8), (203, [float("nan")] * 8), (204, (2 * np.array(v[5][1], np.float32)).tolist()), (205, [1.0, 2.0])]
     got = {}
     for r in vg.nearest_vectors(frame(spark, v)).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.other))
