@@ -68,7 +68,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, skip_self:
             yield cut(pd.concat(keep)) if keep else pd.DataFrame({"qid": [], "cid": [], "pos": [], "score": []})
 
         def cut(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["qid", "score", "pos"], ascending=[True, False, True], kind="stable")
+            rows = rows.assign(r=rows["score"].round(12)).sort_values(["qid", "r", "pos"], ascending=[True, False, True], kind="stable").drop(columns="r")
             return rows[rows.groupby("qid").cumcount() < k + 8]
 
         part = vectors.select("cid", "vec", "pos").mapInPandas(best, "qid long, cid long, pos long, score double")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codectx.functions import quality
 from codectx.functions import text as t
-from codectx.operators import chunking, dense, entities, evaluation, intent, packing, ranking, sampling, strategies, structural, utility
+from codectx.operators import chunking, dense, entities, evaluation, intent, packing, ranking, samples, sampling, strategies, structural, utility
 from codectx.plans import proxy
 from codectx.plans.config import ProxyConfig
 from codectx.sources import readers
@@ -649,3 +649,12 @@ def ast_cuts(spark: SparkSession, d: str) -> DataFrame:
     cut = rows.select("doc_id", "level", found("text", "level").alias("c")).filter("size(c) > 0")
     pick = F.element_at("c", (F.floor(dense.uniform(29, F.col("doc_id")) * F.size("c")) + 1).cast("int"))
     return cut.select("doc_id", "level", F.size("c").alias("candidates"), pick["a"].alias("first_row"), pick["b"].alias("last_row"))
+
+
+@query()
+def built_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples cut from the source files among the documents: as many attempts as there are files, and every sample they give."""
+    docs = table(spark, d, "documents").filter("doc_kind = 'source_file'")
+    files = docs.select(F.col("repo").alias("repo_id"), F.concat_ws(".", F.col("doc_id").cast("string"), "code_lang").alias("path"), F.col("text").alias("content"))
+    made, _ = samples.build_samples(files, files.count(), files.count(), least_lines=40, least_chars=1000, least_left=10)
+    return made.select("sample_id", "repo_id", "path", "cut_level", "n_lines", F.length("left_context").alias("n_left"), "target", F.length("right_context").alias("n_right"))

@@ -233,3 +233,23 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, tmp_path):
     q = spark.createDataFrame([(1, "g", ["alpha"])], "qid long, grp string, tokens array<string>")
     plan = ranking.lexical_top_k(q, c, 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan and "CartesianProduct" not in plan and "text" not in plan.split("ReadSchema: ")[1].split(">")[0]
+
+
+def test_built_samples_put_their_files_together_again(spark):
+    from codectx.operators import samples
+
+    body = "import os\n" + "".join(f"def f{i}(a):\n    x = a + {i}\n    # note\n    if x:\n        return x\n    return {i}\n" for i in range(20))
+    files = [("r", f"m{i}.py", body.replace("note", f"note {i}")) for i in range(3)] + [("q", "big.go", "x\n" * 130), ("q", "n.py", None), ("s", "short.py", "x = 1\n"), ("r", "m.txt", "tiny")]
+    df = spark.createDataFrame(files, "repo_id string, path string, content string")
+    made, cross = samples.build_samples(df, 12, 60, least_lines=50, least_chars=100, least_left=10)
+    rows = made.collect()
+    text = {p: c for _, p, c in files}
+    assert len(rows) == 12 and len({r.sample_id for r in rows}) == 12
+    for r in rows:
+        assert "\n".join([r.left_context, r.target, r.right_context]) == text[r.path] and r.target.strip() and not r.target.strip().startswith(("#", "import"))
+        assert r.left_context.count("\n") + 1 >= 10 and r.n_lines == r.target.count("\n") + 1 and r.path != "m.txt"
+    others = {(c.sample_id, c.path) for c in cross.collect()}
+    assert others == {(r.sample_id, p) for r in rows for g, p, c in files if g == r.repo_id and p != r.path and c is not None}
+    again = samples.build_samples(df.repartition(5), 12, 60, least_lines=50, least_chars=100, least_left=10)[0].collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in rows}
+    assert samples.build_samples(df.limit(0), 5, 5)[0].collect() == []
