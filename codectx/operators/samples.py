@@ -53,10 +53,12 @@ def build_samples(files: DataFrame, wanted: int, attempts: int, seed: int = 13,
     spark = files.sparkSession
     tries = spark.range(attempts).select(F.col("id").alias("sample_id"), (F.floor(uniform(seed, F.lit("repo"), F.col("id")) * n) + 1).alias("place"))
     drawn = tries.join(pool, "place").select("sample_id", "repo_id")
-    # which file: only paths and flags meet the attempts, contents are joined to the one chosen
-    order = F.struct(~F.col("good"), sampling.order_key(seed, F.lit("file"), F.col("sample_id"), F.col("path")))
-    chosen = drawn.join(base.select("repo_id", "path", "good"), "repo_id").groupBy("sample_id", "repo_id").agg(F.min_by("path", order).alias("path"))
-    rows = chosen.join(base.groupBy("repo_id", "path").agg(F.max("content").alias("content")), ["repo_id", "path"])
+    # a file is drawn by its place among the eligible ones of its repository, so that an attempt meets one file and no other
+    offered = base.join(repos.withColumnRenamed("good", "any"), "repo_id").filter("good or not any").groupBy("repo_id", "path").agg(F.max("content").alias("content"))
+    placed = sampling.hash_positions(offered, sampling.order_key(seed, F.lit("file"), F.col("repo_id"), F.col("path")), "file_place", ["repo_id"])
+    sizes = offered.groupBy("repo_id").agg(F.count("*").alias("n_files"))
+    pick = drawn.join(sizes, "repo_id").select("sample_id", "repo_id", (F.floor(uniform(seed, F.lit("file"), F.col("sample_id")) * F.col("n_files")) + 1).alias("file_place"))
+    rows = pick.join(placed, ["repo_id", "file_place"])
     rows = rows.withColumn("cut_level", sampling.cut_level(uniform(seed, F.lit("level"), F.col("sample_id")), shares)).withColumn("language", t.language(F.col("path")))
 
     @F.pandas_udf("a int, b int")

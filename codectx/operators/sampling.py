@@ -32,17 +32,19 @@ def order_key(seed: int, *key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)), 256)
 
 
-def hash_positions(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """``df`` with each row's place from 1 in the order of a hexadecimal hash, ties by nothing (keys must be unique).
+def hash_positions(df: DataFrame, key: Column, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with each row's place from 1, within its group if ``by`` names one, in the order of a hexadecimal hash; ties by nothing (keys must be unique).
 
-    Rows are numbered within slices of the hash and shifted by the slices' counts, so no task holds more than a slice.
+    Rows are numbered within slices of the hash and shifted by the slices' counts, so no task holds more than a slice, however large a group is.
     """
+    by = by or []
     cut = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
     rows = df.withColumn("_h", key).withColumn("_slice", cut)
-    counts = rows.groupBy("_slice").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_slice")) - F.col("_c")).drop("_c")  # SLICES rows at most
-    inner = F.row_number().over(Window.partitionBy("_slice").orderBy("_h"))
-    return rows.join(F.broadcast(before), "_slice").withColumn(name, inner + F.col("_before")).drop("_h", "_slice", "_before")
+    counts = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_c")).drop("_c")  # SLICES rows for each group at most
+    inner = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h"))
+    placed = rows.withColumn("_inner", inner).join(before if by else F.broadcast(before), [*by, "_slice"])
+    return placed.withColumn(name, F.col("_inner") + F.col("_before")).drop("_h", "_slice", "_before", "_inner")
 
 
 def train_eval_split(df: DataFrame, key: str, ratio: float = 0.1, most: int = 100, seed: int = 13) -> DataFrame:
