@@ -29,8 +29,8 @@ NOTICES = {
         "wygenerowan", "nie edytować", "nie edytowac", "nie modyfikować", "сгенерирован", "не редактировать", "не изменять", "не правьте", "создан автоматически", "non modificare", "generato automaticamente", "自动生成", "請勿修改", "请勿修改", "自動生成",
     ),
     "t": (
-        "bundled copy of", "bundled from", "vendored from", "vendored copy", "^vendored", "third-party source", "third party source", "third-party code", "^third-party", "^third party", "taken unchanged from", "copied unchanged from", "copied verbatim", "imported from upstream", "unmodified copy", "local changes go upstream", "unchanged from upstream", "redistribution permitted", "redistribution and use in source",
-        "contributors | permissive", "permissive licence", "permissive license", "released under the mit", "licensed under the mit", "| mit license", "(c) the", "@license", "@preserve", "not covered by our style", "minified by", "released under the terms", "copyright the original authors", "see license.", "under the terms in license",
+        "bundled copy of", "bundled from", "vendored from", "vendored copy", "^vendored", "third-party source", "third party source", "third-party code", "^third-party", "^third party", "taken unchanged from", "copied unchanged from", "copied verbatim", "imported from upstream", "unmodified copy", "local changes go upstream", "unchanged from upstream", "redistribution permitted",
+        "contributors | permissive", "contributors | mit", "contributors | bsd", "contributors | apache", "@license", "@preserve", "not covered by our style", "minified by", "under the terms in license",
     ),
 }
 #: Folders whose files come from elsewhere or from a program. Fixed values.
