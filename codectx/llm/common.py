@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codectx.storage import shared_dir, written
+from codectx.storage import shared_dir, spread, written
 
-__all__ = ["crossfile_entries", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["crossfile_entries", "shared_dir", "spread", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codectx.llm.common import spread
+
 #: Sizes of the tables of counts; what a broadcast of them takes doesn't depend on the corpus.
 PAIR_BITS, CHAR_BITS = 18, 16
 #: Encodings whose misuse on UTF-8 bytes is undone, and (read as, really) for bytes of another one-byte encoding. Fixed values.
@@ -77,7 +79,7 @@ def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"kind": kind, "slot": at, "n": counts[at]})
 
     return (
-        df.filter(F.length(text_col) > 0).select(text_col)
+        spread(df.filter(F.length(text_col) > 0).select(text_col))
         .mapInPandas(run, "kind string, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
     )
 
@@ -335,4 +337,4 @@ def find_garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     rows.append((key, new, used, bad, lost))
             yield pd.DataFrame(rows, columns=[id_col, "text", "encodings", "segments", "lost"])
 
-    return df.filter(F.col(text_col).rlike(r"[^\x00-\x7f]")).select(id_col, text_col).mapInPandas(run, out)
+    return spread(df.filter(F.col(text_col).rlike(r"[^\x00-\x7f]")).select(id_col, text_col)).mapInPandas(run, out)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codectx.llm.common import crossfile_entries
+from codectx.llm.common import crossfile_entries, spread
 
 #: Notices in lower case. 'g' generated, 't' third-party. A phrase that begins with '^' must stand at the start of a header line. Fixed values.
 NOTICES = {
@@ -176,7 +176,7 @@ def judged(texts: DataFrame) -> DataFrame:
             rows = [(key, path, why) for key, path, text, first in b.itertuples(index=False) if (why := judge_path(path or "") or judge(path or "", text or "", first))]
             yield pd.DataFrame(rows, columns=["key", "path", "reason"])
 
-    return texts.select("key", "path", "content", "first").mapInPandas(run, "key long, path string, reason string")
+    return spread(texts.select("key", "path", "content", "first")).mapInPandas(run, "key long, path string, reason string")
 
 
 def not_handwritten(loader_samples: DataFrame, code_chunks: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codectx.llm.common import spread
+
 TOKEN = re.compile(r"[a-z0-9_]+")
 #: Masks over token positions. No mask is longer than the shortest run that must be found, so that run holds a whole seed of each. Fixed values.
 MASKS = ("11101001101011", "110010110111")
@@ -119,7 +121,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN, b
     sizes = own.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-sizes // block_tokens))
     out = None
-    docs = documents.filter(F.length("text") >= 2 * min_run - 1).select("doc_id", "text")
+    docs = spread(documents.filter(F.length("text") >= 2 * min_run - 1).select("doc_id", "text"))
     for k in range(blocks):
         part = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text")
         index = spark.sparkContext.broadcast(SeedIndex([tuple(r) for r in part.collect()]))

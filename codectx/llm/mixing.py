@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from codectx.llm.common import written
+from codectx.llm.common import spread, written
 
 #: A byte-level BPE of 50,256 ranks; any file of lines 'base64 rank' will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,7 +48,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(encode(x)) for x in b["text"]]})
 
     texts = documents.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, source string, tokens long")
+    return spread(texts).mapInPandas(run, "doc_id long, source string, tokens long")
 
 
 @dataclass(frozen=True)

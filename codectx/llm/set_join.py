@@ -42,11 +42,6 @@ def set_classes(df: DataFrame, id_col: str, columns: list[str], min_size: int) -
     return classes, members
 
 
-def needed(n: Column, t: Fraction) -> Column:
-    """ceil(t * n) in whole numbers."""
-    return F.expr(f"cast(({n._jc.toString()} * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
-
-
 def class_pairs(classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b, shared, either) of every pair a < b of classes with shared >= threshold * either."""
     p, q = threshold.numerator, threshold.denominator

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codectx.llm.common import crossfile_entries
+from codectx.llm.common import spread
 from codectx.llm.syntax import PARSERS
 
 JUDGED = r"(?i)\.(py|js|ts|java|go)$"
@@ -71,7 +71,7 @@ def check_files(texts: DataFrame) -> DataFrame:
                 rows.append((origin, key, path, repo, language, not errors, *first, [{"line": n, "cause": c} for n, c in errors]))
             yield pd.DataFrame(rows, columns=["origin", "record_id", "file_path", "repo", "language", "valid", "first_line", "first_cause", "errors"]).astype({"first_line": "Int32"})
 
-    return texts.select("origin", "record_id", "file_path", "repo", "content").mapInPandas(run, OUT)
+    return spread(texts.select("origin", "record_id", "file_path", "repo", "content")).mapInPandas(run, OUT)
 
 
 def rates(checked: DataFrame) -> DataFrame:
