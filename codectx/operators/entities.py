@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codectx.functions.text import call_names, identifier_set, lines, strip
+from codectx.storage import spread
 
 MOST_LINES, FALLBACK_LINES = 120, 40
 SPAN = "kind string, start int, end int, defined array<string>, parent string, bases array<string>, methods array<string>, split boolean"
@@ -112,7 +113,7 @@ def entity_chunks(files: DataFrame, keys: list[str], path: str, content: str, mo
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([spans(x) for x in texts])
 
-    base = files.select(*keys, F.col(path).alias("file_path"), F.coalesce(F.col(content), F.lit("")).alias("_text"))
+    base = spread(files.select(*keys, F.col(path).alias("file_path"), F.coalesce(F.col(content), F.lit("")).alias("_text")))
     n = F.greatest(F.size("_lines"), F.lit(1))
     empty = F.array().cast("array<string>")
     whole = F.array(F.struct(F.lit("fallback").alias("kind"), F.lit(1).alias("start"), n.cast("int").alias("end"), empty.alias("defined"), F.lit(None).cast("string").alias("parent"), empty.alias("bases"), empty.alias("methods"), F.lit(True).alias("split")))

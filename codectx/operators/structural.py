@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codectx.storage import spread
+
 TEMPLATES = ("none", "default", "coderagbench-repoeval", "coderagbench-swebench-lite")
 #: The bytes that count as white space. Fixed values.
 BLANK = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
@@ -193,7 +195,7 @@ def structural_chunks(
                     rows.append((key, k, name, first, last, len(w), size, around, title, body))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return files.select(F.col(doc).cast("string"), path, content).mapInPandas(run, OUT)
+    return spread(files.select(F.col(doc).cast("string"), path, content)).mapInPandas(run, OUT)
 
 
 def cut_candidates(root: Node, level: str, kinds: frozenset[str]) -> list[tuple[int, int]]:

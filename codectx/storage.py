@@ -39,3 +39,15 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for stages that spend their time in Python.
+
+    A scan can't split a Parquet row group, so a small table may arrive in one partition; a large one has more than there are cores and stays as it is, without a shuffle.
+    Give it a frame of a scan and narrow steps with only the columns that are needed.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
