@@ -13,6 +13,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codectx.functions.text import call_names, identifier_set, lines, strip
 from codectx.storage import spread
@@ -127,13 +128,8 @@ def entity_chunks(files: DataFrame, keys: list[str], path: str, content: str, mo
     chunk = cut.withColumn("text", text).withColumn("end_line", F.least(F.col("start_line") + F.col("_step") - 1, stop))
     first = identifier_set(F.regexp_extract("text", "^[^\n]*", 0))
     return chunk.filter((F.col("s.kind") != "rest") | (strip(F.col("text")) != "")).select(
-        *keys, (F.row_number().over(_order(keys)) - 1).alias("chunk_pos"), "file_path", "start_line", "end_line", F.when(F.col("s.kind") == "rest", "global").otherwise(F.col("s.kind")).alias("chunk_type"), "text",
+        *keys, (F.row_number().over(Window.partitionBy(*keys, "file_path").orderBy("_at", "_piece")) - 1).alias("chunk_pos"), "file_path", "start_line", "end_line", F.when(F.col("s.kind") == "rest", "global").otherwise(F.col("s.kind")).alias("chunk_type"), "text",
         F.when(F.col("s.kind") == "rest", first).when((F.col("_piece") > 0) | (F.col("s.kind") == "fallback"), empty).otherwise(F.col("s.defined")).alias("defined_symbols"),
         identifier_set(F.col("text")).alias("used_symbols"), call_names(F.col("text")).alias("call_names"), F.col("s.parent").alias("parent_class"), F.col("s.bases").alias("class_bases"), F.col("s.methods").alias("method_names"),
     )
 
-
-def _order(keys: list[str]):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*keys, "file_path").orderBy("_at", "_piece")

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codectx.functions import text as t
-
 #: Signals of the lexical score. Fixed values.
 OVERLAP, TYPE_BONUS, PREFIX_BONUS = 1.5, 0.15, 2.0
 BONUS_TYPES = ("method", "function", "class_header")

@@ -10,9 +10,6 @@ from codectx.operators.dense import uniform
 
 #: Shares of the levels at which files are cut. Fixed values.
 LEVELS = {"line": 0.70, "block": 0.20, "mixed": 0.10}
-#: Values of the hash that are counted apart when a whole table is put in hash order.
-SLICES = 4096
-
 
 def level_shares(shares: dict[str, float]) -> dict[str, float]:
     """Shares that add up to 1; a missing level or a sum that isn't positive is an error."""
@@ -41,7 +38,7 @@ def hash_positions(df: DataFrame, key: Column, name: str, by: list[str] | None =
     cut = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
     rows = df.withColumn("_h", key).withColumn("_slice", cut)
     counts = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_c")).drop("_c")  # SLICES rows for each group at most
+    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_c")).drop("_c")  # 4,096 rows for each group at most, one for each slice
     inner = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h"))
     placed = rows.withColumn("_inner", inner).join(before if by else F.broadcast(before), [*by, "_slice"])
     return placed.withColumn(name, F.col("_inner") + F.col("_before")).drop("_h", "_slice", "_before", "_inner")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codectx.schemas import AST_NODE
 from codectx.storage import spread
 
 TEMPLATES = ("none", "default", "coderagbench-repoeval", "coderagbench-swebench-lite")
@@ -198,6 +199,43 @@ def structural_chunks(
     return spread(files.select(F.col(doc).cast("string"), path, content)).mapInPandas(run, OUT)
 
 
+def node_table(files: DataFrame, doc: str, content: str, source: Callable[[str], Node | None] = python_tree) -> DataFrame:
+    """One row for each node of each file's tree, numbered in preorder, with parent, place among its siblings, bytes, rows, columns and size without white space; none for a file that doesn't parse."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text in b.itertuples(index=False):
+                root = source(text) if text else None
+                sums = nws_sums(text.encode()) if root else None
+                stack = [(root, None, 0)] if root else []
+                k = 0
+                while stack:
+                    n, parent, place = stack.pop()
+                    rows.append((key, k, parent, place, n.kind, n.start, n.stop, n.start_row, n.start_col, n.end_row, n.end_col, int(sums[n.stop] - sums[n.start])))
+                    stack += [(c, k, i) for i, c in reversed(list(enumerate(n.children)))]
+                    k += 1
+            yield pd.DataFrame(rows, columns=AST_NODE.names).astype({"parent_id": "Int32"})
+
+    return spread(files.select(F.col(doc).cast("string"), content)).mapInPandas(run, AST_NODE)
+
+
+def code_windows(chunks: DataFrame, template: str = "default", repo: str | None = None) -> DataFrame:
+    """Windows of structural_chunks() in the shape of a metadata template: (content, metadata), or (_id, title, text) for the one that has titles. The field names are fixed values."""
+    if template not in TEMPLATES:
+        raise ValueError(f"unknown template {template!r}")
+    if template == "coderagbench-swebench-lite":
+        return chunks.select(F.col("title").alias("_id"), F.col("filepath").alias("title"), F.col("content").alias("text"))
+    numbers = [
+        F.col("chunk_size").alias("chunk_size"), (F.col("end_row") - F.col("start_row") + 1).alias("line_count"), F.col("start_row").alias("start_line_no"), F.col("end_row").alias("end_line_no"), F.col("n_nodes").alias("node_count"),
+    ]
+    if template == "none":
+        return chunks.select("content", F.create_map().cast("map<string,string>").alias("metadata"))
+    if template == "default":
+        return chunks.select("content", F.struct(F.col("filepath").alias("filepath"), *numbers).alias("metadata"))
+    return chunks.select("content", F.struct(F.split("filepath", "/").alias("fpath_tuple"), F.lit(repo).alias("repo"), *numbers).alias("metadata"))
+
+
 def cut_candidates(root: Node, level: str, kinds: frozenset[str]) -> list[tuple[int, int]]:
     """(first row, last row) of nodes at which a file may be cut: in its 10th to 75th part, not above row 5, by level of one row, of more, or of any."""
     total = root.end_row + 1

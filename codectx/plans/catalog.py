@@ -183,6 +183,13 @@ def structural_windows(spark: SparkSession, d: str) -> DataFrame:
     return structural.structural_chunks(files, "doc_id", "path", "text", 400, 1, True)
 
 
+@query()
+def ast_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by type over the trees of all Python source files among the documents."""
+    nodes = structural.node_table(table(spark, d, "documents").filter("code_lang = 'py'"), "doc_id", "text")
+    return nodes.groupBy("type").agg(F.count("*").alias("n"), F.sum("nws").alias("size"))
+
+
 # sources and packing
 
 

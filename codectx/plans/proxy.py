@@ -16,7 +16,6 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codectx.functions import quality
 from codectx.functions import text as t

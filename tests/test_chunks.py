@@ -143,3 +143,15 @@ def test_nodes_in_a_range():
     assert structural.largest_in_range(root, structural.nws_sums(b"a = 1\nb = [2, 3]\n"), 6, 16) == 7
     with pytest.raises(ValueError):
         structural.nodes_in_range(root, 3, 2)
+
+
+def test_node_table_and_templates(spark):
+    df = spark.createDataFrame([("d", "a = 1\nb = f(2)\n", "p/q.py"), ("e", "x = (", "r.py"), ("f", None, None)], "doc string, content string, path string")
+    nodes = structural.node_table(df, "doc", "content").orderBy("node_id").collect()
+    assert [n.type for n in nodes] == ["module", "Assign", "Name", "Constant", "Assign", "Name", "Call", "Name", "Constant"] and nodes[0].parent_id is None and nodes[6].parent_id == 4 and nodes[6].nws == 4
+    out = structural.structural_chunks(df, "doc", "path", "content", 100)
+    row = structural.code_windows(out, "coderagbench-repoeval", "repo").first()
+    assert row.metadata.fpath_tuple == ["p", "q.py"] and row.metadata.repo == "repo" and row.metadata.line_count == 3 and row.metadata.node_count == 1
+    assert structural.code_windows(out).first().metadata.chunk_size == 9 and structural.code_windows(out, "none").first().metadata == {}
+    lite = structural.structural_chunks(df, "doc", "path", "content", 100, template="coderagbench-swebench-lite")
+    assert structural.code_windows(lite, "coderagbench-swebench-lite").first()._id == "d_0-2"

@@ -253,3 +253,19 @@ def test_built_samples_put_their_files_together_again(spark):
     again = samples.build_samples(df.repartition(5), 12, 60, least_lines=50, least_chars=100, least_left=10)[0].collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in rows}
     assert samples.build_samples(df.limit(0), 5, 5)[0].collect() == []
+
+
+def test_checkpoints_reports_warmup_and_joint_scores(spark, tmp_path):
+    w = spark.createDataFrame([("a", 0.5)], "token string, w double")
+    h = spark.createDataFrame([(1, 0.5, 1.0, 2, 0.1, 0.2)], "epoch int, avg_quality double, retrieval_rate double, dpo_pairs int, gate_loss double, prompt_loss double")
+    sinks.save_checkpoint(spark, str(tmp_path / "ck"), w, w.withColumnRenamed("w", "affinity"), {"weights": [1, 2, 3, 4]}, h, {"top_k": 3})
+    weights, liking, gate = sinks.load_checkpoint(spark, str(tmp_path / "ck"))
+    assert weights.first().w == 0.5 and liking.first().affinity == 0.5 and gate == {"weights": [1, 2, 3, 4]}
+    sinks.text_report(spark.createDataFrame([("t", "body")], "title string, content string"), str(tmp_path / "rep"))
+    assert "=== t ===" in [r.value for r in spark.read.text(str(tmp_path / "rep")).collect()]
+    s = spark.createDataFrame([(i, i / 10) for i in range(10)], "sid long, u double")
+    one = s.select("sid", F.lit(1).alias("rk"), F.col("sid").alias("cid"))
+    kinds = {r.sid: (r.kind, r.cid) for r in strategies.warmup_contexts(s, one.filter("sid <> 3"), one, 0.2, 0.5, F.col("u")).collect()}
+    assert kinds[0] == ("none", None) and kinds[2] == ("oracle", 2) and kinds[3] == ("oracle", None) and kinds[7] == ("noisy", 7)
+    r = spark.range(1).select(dense.combined_score(F.lit(0.25), F.lit(0.5), F.lit(True)), dense.combined_score(F.lit(0.25), F.lit(0.5), F.lit(False))).first()
+    assert r[0] == pytest.approx(math.log(0.75)) and r[1] == pytest.approx(math.log(0.25) + 0.5)
