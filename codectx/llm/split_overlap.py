@@ -34,7 +34,6 @@ THRESHOLD = Fraction(3, 5)
 SKETCH_BITS = 20
 TRAIN, HELD_OUT = "train", ("valid", "test", "repoeval")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-FACTOR = np.uint64(0x100000001B3)
 
 
 class TokenHashes(dict):
