@@ -126,6 +126,17 @@ ORACLES: dict[str, str] = {
         item_runs AS (SELECT DISTINCT item_id, array_to_string(t[i:i+14], ' ') AS run FROM (SELECT item_id, t, unnest(range(1, len(t) - 13)) AS i FROM item_tokens)),
         doc_runs AS (SELECT doc_id, array_to_string(t[i:i+14], ' ') AS run FROM (SELECT doc_id, t, unnest(range(1, len(t) - 13)) AS i FROM doc_tokens))
         SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)""",
+    "p1_found": f"""
+        WITH s AS (SELECT sample_id, split_name = 'train' AS train, {TOKENS.format("coalesce(left_context, '') || chr(10) || coalesce(target, '')")} AS t FROM training_samples WHERE split_name IN ('train', 'valid', 'test', 'repoeval')),
+        r AS (SELECT DISTINCT sample_id, train, array_to_string(t[i:i+3], ' ') AS run FROM (SELECT sample_id, train, t, unnest(range(1, len(t) - 2)) AS i FROM s)),
+        n AS (SELECT sample_id, count(*) AS n FROM r GROUP BY 1),
+        c AS (SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS m FROM r a JOIN r b USING (run) WHERE a.train AND NOT b.train GROUP BY ALL)
+        SELECT least(x, y) AS sample_lo, greatest(x, y) AS sample_hi FROM c JOIN n a ON a.sample_id = x JOIN n b ON b.sample_id = y WHERE m * 5 >= (a.n + b.n - m) * 3""",
+    "p2_found": """
+        WITH v AS (SELECT vec_id, vec::DOUBLE[] AS e FROM text_vectors WHERE vec IS NOT NULL), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v WHERE list_dot_product(e, e) > 0),
+        t AS (SELECT a.vec_id AS q, b.vec_id AS o FROM u a JOIN u b ON a.vec_id <> b.vec_id
+            QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e) / (a.l * b.l), 12) DESC, b.vec_id) <= 5)
+        SELECT DISTINCT least(q, o) AS vec_lo, greatest(q, o) AS vec_hi FROM t""",
     "p3_found": """
         WITH v AS (
             SELECT DISTINCT chunk_key, unnest(list_concat(coalesce(defined_symbols, []), coalesce(used_symbols, []), coalesce(call_names, []))) AS x FROM code_chunks),
