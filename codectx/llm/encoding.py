@@ -7,7 +7,9 @@ isolates the maximum-scoring segments of improbable ones, and tests inverse mapp
 
 Garbling that is itself common in the corpus supports its own pairs ('Ã' is mostly followed by '©' or '¼'), so
 mutual information alone would call it probable. A pair therefore also counts as improbable if under some mapping
-its bytes begin a UTF-8 sequence, which pairs of correctly decoded text hardly ever do.
+its bytes begin a UTF-8 sequence, which pairs of correctly decoded text hardly ever do. For the same reason a run is also
+restored if its characters are less likely than the original ones by counts of characters outside such runs, which
+garbling cannot feed however often it is repeated.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ ONE_BYTE = (
 REPLACED = "�"
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 RUN = re.compile(r"[^\x00-\x7f]+")
+RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 RUSSIAN = re.compile("[\u0410-\u044f\u0401\u0451]+")
 #: A pair below this mutual information is improbable; what a pair of ASCII characters inside a segment costs.
 LEAST_PMI, BRIDGE = -1.0, -0.45
@@ -42,6 +45,8 @@ LEAST_PMI, BRIDGE = -1.0, -0.45
 GAIN = 2.0
 #: Bits by which text restored from UTF-8 may be less likely than it was.
 SLACK = 3.0
+#: Bits by counts outside of UTF-8-like runs: a gain that decides by itself, as a loss of as much refuses; what a letter of another alphabet beside an ASCII letter costs there, and the weight of the fixed shares in these counts.
+CLEAN_GAIN, MIXED, FIXED = 4.0, 12.0, 4096.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,10 +63,10 @@ def _char_slots(a: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, slot, n) over all texts: kind 'c' single characters, 'p' pairs with one outside ASCII. Null texts count as empty."""
+    """(kind, slot, n) over all texts: kind 'c' single characters, 'u' those of them that are in runs like UTF-8 read as another encoding, 'p' pairs with one outside ASCII. Null texts count as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars, pairs = np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
+        chars, like, pairs = np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
         ascii_counts = np.zeros(128, np.int64)
         for batch in batches:
             for text in batch[text_col]:
@@ -73,8 +78,10 @@ def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
                 a, b = x[:-1], x[1:]
                 far = (a > 127) | (b > 127)
                 np.add.at(pairs, _slots(a[far], b[far], PAIR_BITS), 1)
+                if doubtful := "".join(utf8_like(r) for r in RUNS.findall(text)):
+                    np.add.at(like, _char_slots(codes(doubtful)), 1)
         np.add.at(chars, _char_slots(np.arange(128)), ascii_counts)
-        for kind, counts in (("c", chars), ("p", pairs)):
+        for kind, counts in (("c", chars), ("u", like), ("p", pairs)):
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"kind": kind, "slot": at, "n": counts[at]})
 
@@ -87,16 +94,18 @@ def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
 class PairModel:
     """Mutual information of adjacent characters, from tables of fixed size."""
 
-    def __init__(self, chars: np.ndarray, pairs: np.ndarray):
+    def __init__(self, chars: np.ndarray, pairs: np.ndarray, like: np.ndarray | None = None):
+        self.clean = chars.astype(np.float64) - (0 if like is None else like)
+        self.clean_total = float(self.clean.sum())
         self.chars, self.pairs, self.total = chars.astype(np.float64), pairs.astype(np.float64), max(1.0, float(chars.sum()))
         self.logs: dict[str, float] = {}
 
     @classmethod
     def of(cls, df: DataFrame, text_col: str = "text") -> PairModel:
-        """Reads at most 2**18 + 2**16 counts into the driver, whatever the corpus' size."""
+        """Reads at most 2**18 + 2**17 counts into the driver, whatever the corpus' size."""
         rows = count_pairs(df, text_col).toArrow().to_pandas()
         out = []
-        for kind, bits in (("c", CHAR_BITS), ("p", PAIR_BITS)):
+        for kind, bits in (("c", CHAR_BITS), ("p", PAIR_BITS), ("u", CHAR_BITS)):
             table, part = np.zeros(1 << bits, np.int64), rows[rows.kind == kind]
             table[part.slot.to_numpy(np.int64)] = part.n.to_numpy(np.int64)
             out.append(table)
@@ -135,6 +144,32 @@ class PairModel:
                 total += self.pair_log(a, b)
         return total / n if n else 0.0
 
+    def clean_bits(self, text: str, left: str = " ", right: str = " ") -> float:
+        """Sum of log2 of the shares of the non-ASCII characters outside of UTF-8-like runs, with fixed shares for what is rare there."""
+        far = [c for c in text if c > "\x7f"]
+        n = self.clean[_char_slots(codes("".join(far)))] if far else np.zeros(0)
+        bits = float(np.log2((n + FIXED * np.array([2.0 ** -usual(c) for c in far])) / (self.clean_total + FIXED)).sum())
+        for a, b in ((left, text[0]), (right, text[-1])):
+            if a.isascii() and a.isalpha() and b > "\u024f" and not "\u2000" <= b <= "\u22ff":
+                bits -= MIXED
+        return bits
+
+
+@lru_cache(1 << 16)
+def usual(c: str) -> float:
+    """Bits of a character's fixed share: small letters and marks of European text are the usual ones, controls the least so."""
+    if "\u00df" <= c <= "\u00ff" and c != "\u00f7" or c in "\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u00ab\u00bb\u00b0\u20ac\u00a0":
+        return 10.0
+    if "\u0430" <= c <= "\u044f":
+        return 11.0
+    if "\u0402" <= c <= "\u040f" and c not in "\u0404\u0406\u0407\u040e" or "\u0452" <= c <= "\u045f" and c not in "\u0454\u0456\u0457\u045e":
+        return 20.0
+    if "\u00c0" <= c <= "\u017f" or "\u0386" <= c <= "\u03ce" or "\u0400" <= c <= "\u045f":
+        return 13.0
+    if "\u00a1" <= c <= "\u00bf" or "\u2000" <= c <= "\u22ff" or "\u0590" <= c <= "\u06ff" or "\u0e00" <= c <= "\u0e5b" or "\u3000" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or c >= "\U0001f300":
+        return 16.0
+    return 24.0 if c < "\u00a0" else 20.0
+
 
 @lru_cache(1 << 16)
 def as_bytes(text: str, encoding: str) -> bytes | None:
@@ -258,6 +293,14 @@ def utf8_parts(run: str) -> list[tuple[str, list[tuple[str, str]]]]:
     return out
 
 
+@lru_cache(1 << 16)
+def utf8_like(run: str) -> str:
+    """The characters of a run that are in parts like UTF-8 read as another encoding; none of a run of Russian letters."""
+    if not any(utf8_pair(a, b) for a, b in zip(run, run[1:])):
+        return ""
+    return "".join(old for old, steps in utf8_parts(run) if steps and not RUSSIAN.fullmatch(old))
+
+
 def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
     """(restored text, mappings undone, garbled segments, segments that stay damaged).
 
@@ -280,9 +323,16 @@ def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
                 right = parts[k + 1][0][0] if k + 1 < len(parts) else part[done : done + 1] or " "
                 here = model.likelihood(old, left, right)
                 # a part of a run, or a run of Russian letters, may be UTF-8 by chance
-                slack = SLACK if len(parts) == 1 and not RUSSIAN.fullmatch(old) else 0.0
-                for back, encodings in steps:
-                    if model.likelihood(back, left, right) >= here - slack:
+                russian = RUSSIAN.fullmatch(old)
+                slack = SLACK if len(parts) == 1 and not russian else 0.0
+                gains = []
+                if len(parts) == 1 and steps and not russian:
+                    clean = model.clean_bits(old)
+                    gains = [model.clean_bits(back, left, right) - clean for back, _ in steps]
+                for j, (back, encodings) in enumerate(steps):
+                    if gains and gains[j] <= max(0.0, *gains) - CLEAN_GAIN:
+                        continue
+                    if gains and gains[j] >= CLEAN_GAIN or model.likelihood(back, left, right) >= here - slack:
                         seen.append(encodings)
                         old = back
                         break
@@ -324,7 +374,7 @@ def find_garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Python's part. The counts behind the decision are those of all texts of ``df`` unless a ``model`` is given.
     """
     model = model or PairModel.of(df, text_col)
-    shared = df.sparkSession.sparkContext.broadcast((model.chars, model.pairs))
+    shared = df.sparkSession.sparkContext.broadcast((model.chars, model.pairs, model.chars - model.clean))
     out = f"{id_col} long, text string, encodings array<string>, segments int, lost int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,3 +55,16 @@ def test_counts_do_not_depend_on_partitions(corpus):
     a = {(r.kind, r.slot): r.n for r in e.count_pairs(corpus).collect()}
     b = {(r.kind, r.slot): r.n for r in e.count_pairs(corpus.repartition(9)).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("word", ["naïve", "été", "größe", "“x”", "привет", "łąka"])
+def test_garbling_that_is_repeated_is_still_found(spark, word):
+    rows = [(i, f"a {lenient(word)} b") for i in range(300)] + [(1000 + i, p) for i, p in enumerate(PLAIN) if word not in p]
+    out = {r.doc_id: r.text for r in e.find_garbled(spark.createDataFrame([(*r, "", 1, 1) for r in rows], DOCS)).collect()}
+    assert out == {i: f"a {word} b" for i in range(300)}
+
+
+@pytest.mark.parametrize("text", ["l’été", "список", "c’était à l’école", "il dit —été— ici", "GEHÖ“"])
+def test_runs_that_are_utf8_by_chance_stay(spark, text):
+    rows = [(i, f"{text} {FRENCH if i % 2 else RUSSIAN}", "", 1, 1) for i in range(60)]
+    assert e.find_garbled(spark.createDataFrame(rows, DOCS)).collect() == []
