@@ -58,21 +58,29 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def header(text: str) -> list[str]:
-    """The comment and docstring lines before the first line of code, without their marks; '#!' and coding lines are skipped.
+def lines_of(text: str) -> Iterator[str]:
+    """The lines one by one, so that a reader that stops early has split no more of the text."""
+    at = 0
+    while (end := text.find("\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
-    >>> header('# a\\n\\nx = 1\\n# b')
+
+def header(text: str) -> Iterator[str]:
+    """The comment and docstring lines before the first line of code, however many, without their marks; '#!' and coding lines are skipped.
+
+    >>> list(header('# a\\n\\nx = 1\\n# b'))
     ['a']
     """
-    out: list[str] = []
     closing = ""
-    for k, line in enumerate(text[:8000].split("\n")):
+    for k, line in enumerate(lines_of(text)):
         body = line.strip()
         if not body or k < 2 and (body.startswith("#!") or "coding" in body[:24] and body[0] == "#"):
             continue
         if closing:
             done = closing in body
-            out.append(body.replace(closing, " ").lstrip("* ").strip())
+            yield body.replace(closing, " ").lstrip("* ").strip()
             closing = "" if done else closing
             continue
         m = COMMENT.match(body)
@@ -86,13 +94,10 @@ def header(text: str) -> list[str]:
             if at < 0:
                 closing = close
             elif rest[at + len(close) :].strip():
-                out.append(rest[:at].lstrip("!* ").strip())
+                yield rest[:at].lstrip("!* ").strip()
                 break  # code follows on the same line
             rest = rest[:at] if at >= 0 else rest
-        out.append(rest.lstrip("!*/#-; ").strip())
-        if len(out) > 60:
-            break
-    return out
+        yield rest.lstrip("!*/#-; ").strip()
 
 
 def notice(text: str) -> str:
@@ -101,6 +106,8 @@ def notice(text: str) -> str:
         low = line.lower()
         for end, (kind, phrase, at_start) in automaton().iter(low):
             start = end + 1 - len(phrase)
+            if phrase == "do not modify" and low.startswith(" the licen", end + 1):  # Apache's text says so of its notices
+                continue
             if at_start and start > 0 or low[:start].count("'") % 2 or low[:start].count('"') % 2 or low[:start].count("`") % 2:
                 continue
             return kind

@@ -43,3 +43,19 @@ def test_one_chunk_or_spelling_shows_it_for_the_whole_file(spark):
     got = sorted((r.origin, r.record_id, r.file_path or "") for r in h.not_handwritten(loader, chunks).collect())
     assert got == [("chunk", 1, "a/b.py"), ("chunk", 2, "./a//b.py"), ("chunk", 3, "a\\b.py"), ("chunk", 5, "vendor/z.py"), ("chunk", 7, ""), ("chunk", 9, "a/b.py"), ("crossfile", 1, "vendor/q.py"), ("crossfile", 1, "x.py")]
     assert h.not_handwritten(loader.limit(0), chunks.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("mark", ["# ", "// "])
+def test_a_notice_after_a_long_licence_counts(mark):
+    licence = "".join(f"{mark}{i}. You may reproduce and distribute copies of the work in any medium, with or without modifications.\n" for i in range(200))
+    licence += f"{mark}The contents of the notice are for informational purposes only and do not modify the License.\n"
+    assert h.notice(licence + CODE) == ""
+    assert h.notice(licence + mark + "Code generated by x-gen v1. DO NOT EDIT.\n" + CODE) == "g"
+    assert h.notice(licence + CODE + mark + "Code generated by x-gen v1. DO NOT EDIT.\n") == ""
+    assert h.notice(licence.replace(mark, "# ") + "#\n" * 100 + "# Vendored from the x project\n" + CODE) == "t"
+    assert h.notice("/*\n" + licence.replace(mark, " * ") + " * Automatically generated by x\n */\nclass A {}") == "g"
+
+
+def test_the_header_of_a_long_text_is_read_no_further_than_its_code():
+    lines = h.header("# a\n" + CODE * 200_000)
+    assert list(lines) == ["a"]
