@@ -37,16 +37,21 @@ CONFIG = re.compile(r"(?i)\.(env|ini|cfg|conf|cnf|properties|ya?ml|json|toml)$|(
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BODY = re.compile(r"""(?:\\r|\\n|["'`+\s\\,]|#|//|(?:Proc-Type|DEK-Info|Version|Comment)[^\n]*)*[A-Za-z0-9+/=]{16,}|\s*\Z""")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s:/@\"'`<>{}$]{1,64}):([^\s/@\"'`]{1,128})@([^\s\"'`/<>]+)")
+ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s:/@\"'`<>{}$]{1,64}):([^\s/@\"'`]+)@([^\s\"'`/<>]+)")
 HEADER = re.compile(r"\b(?:(Basic) +([A-Za-z0-9+/_-]{8,}={0,2})|(Bearer|Token) +([A-Za-z0-9._~+/=-]{16,}))")
 #: A short prefix and a long random rest, as issuers of tokens write them: the rest, and what stands before it.
 RANDOM = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{14,}(?![\w/+-])")
 PREFIX = re.compile(r"(?<![\w/.+-])(?!sha\d|md5|rev|v\d)[A-Za-z][A-Za-z0-9]{1,7}(?:[-_.][a-z]{2,6})?[-_.]\Z")
 ASSIGNED = re.compile(r"""(?:["'`]([\w.$ -]{1,64})["'`]|([A-Za-z_$\u00c0-\u04ff][\w.$-]{0,80}))[ \t]*\]?[ \t]*(?::[ \t]*[\w<>\[\], ?.|]{1,40}?[ \t]*=|=>|:=|=(?!=)|:)[ \t]*([rbuRBU]{0,2})(\"{3}|'{3}|["'`])""")
 JOINED = re.compile(r"""(?:\s*(?:\+|\.\.?)(?:\s|\\\n)*|[ \t]*\\\n[ \t]*|[ \t]+)[rbu]?(?!\"{3}|'{3})(["'`])""")
-CALL = re.compile(r"(?i)\b(?:\w+\.)*\w*(?:connect|login|log_in|authenticate|sign_?in|auth|credentials?|set_?password|set_?pass|with_?password)\w*\s*\(([^()\n]{3,300})")
+CALL = re.compile(r"(?i)\b(?:\w+\.)*\w*(?:connect|login|log_in|authenticate|sign_?in|auth|credentials?|set_?password|set_?pass|with_?password)\w*\s*\(([^()\n]{3,}+)")
 STRING = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
-REMARK = re.compile(r"(?:^|[\s;{})])(?:#|//|/\*+|--|;|<!--|\*)[ \t]*(.*)|\"{3}(.*)")
+REMARK = re.compile(r"(?:^|(?<=[\s;{})]))(?:#|//|/\*+|--|;|<!--|\*)[ \t]*|\"{3}")
+#: The marks of remarks on a line too long to have been typed, where most of these characters are operators, selectors or separators.
+LONG, LONG_REMARK = 2000, re.compile(r"(?:^|(?<=[\s;{})]))(?://|/\*+|<!--|(?:#|--)(?=[ \t])|(?:^|(?<=\s))#)[ \t]*|^(?:--|;|\*)[ \t]*|\"{3}")
+REMARK_END = {"/*": "*/", "<!": "-->", '""': '"""'}
+REMARK_VALUE = re.compile(r"[^\s\"'`,;()]+")
+NO_SECRET = re.compile(r"(?i)\b(?:sha-?\d*|md5|checksum|revision|commit|uuid|id)\W*\Z")
 REMARK_WORD = re.compile(r"(?i)(?<![\w-])(?:pw|pwd|pass|password|passwd|passwort|kennwort|passphrase|contraseña|contrasena|mot de passe|mdp|senha|hasło|login|log ?in|creds?|credentials?|secret|api[- ]?key|token|key|x-[a-z-]*(?:token|key)|auth)s?(?![\w])")
 #: A line with none of these, in lower case, holds no sensitive name, call or remark. Fixed values.
 TRIGGERS = ("pass", "pwd", "pw ", "pw:", "pw=", "secret", "token", "key", "cred", "contrase", "kennw", "mot de", "mot_de", "motde", "mdp", "senha", "has\u0142o", "haslo", "wachtw", "lozink", "parol", "\u043f\u0430\u0440\u043e\u043b", "login", "log in", "log_in", "auth", "sign", "connect")
@@ -217,6 +222,24 @@ def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def remarks(line: str) -> list[tuple[int, int]]:
+    """(start, end) of the remarks of a line of whatever length, each up to its closing mark or the end of the line.
+
+    >>> [" /* a */ b // c"[s:e] for s, e in remarks(" /* a */ b // c")]
+    ['a ', 'c']
+    """
+    out, at = [], 0
+    mark = REMARK if len(line) < LONG else LONG_REMARK
+    while m := mark.search(line, at):
+        close = REMARK_END.get(m.group()[:2])
+        end = line.find(close, m.end()) if close else -1
+        out.append((m.end(), end if end >= 0 else len(line)))
+        if end < 0:
+            break
+        at = end + len(close)
+    return out
+
+
 def _on_line(text: str, line: int, stop: int) -> list[Finding]:
     """Findings that begin on one line: literals behind names, arguments of calls, remarks."""
     found: list[Finding] = []
@@ -242,17 +265,13 @@ def _on_line(text: str, line: int, stop: int) -> list[Finding]:
         if len(strings) >= 2 and (strong(v := strings[-1].group(2)) or chosen(v) and len(v) >= 9 and re.search(r"\d", v) and not re.search(r"[/.]", v)) and not ADDRESS.search(v):
             found.append(Finding(m.start(1) + strings[-1].start(2), m.start(1) + strings[-1].end(2), "call", ""))
     here = text[line:stop]
-    for m in REMARK.finditer(here) if len(here) < 2000 else ():
-        g = 1 if m.group(1) is not None else 2
-        remark = m.group(g)
-        word = REMARK_WORD.search(remark)
+    for start, end in remarks(here):
+        word = REMARK_WORD.search(here, start, end)
         if not word:
             continue
-        for t in re.finditer(r"[^\s\"'`,;()]+", remark[word.end() :]):
-            v = t.group()
-            if strong(v.rstrip(".")) and not re.search(r"(?i)\b(?:sha-?\d*|md5|checksum|revision|commit|uuid|id)\W*$", remark[: word.end() + t.start()]):
-                at = line + m.start(g) + word.end()
-                found.append(Finding(at + t.start(), at + t.end(), "remark", word.group()))
+        for t in REMARK_VALUE.finditer(here, word.end(), end):
+            if strong(t.group().rstrip(".")) and not NO_SECRET.search(here, max(start, t.start() - 64), t.start()):
+                found.append(Finding(line + t.start(), line + t.end(), "remark", word.group()))
                 break
     return found
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -48,3 +50,21 @@ def test_origins_nulls_and_byte_ranges(spark):
 
 def test_a_very_long_text_takes_little_time():
     assert c.find("x = call(password, token)\n" * 20_000, "a.py") == []
+
+
+CODE = "var a1=b2(c3);if(a1){d4(a1)}" * 200
+
+
+@pytest.mark.parametrize("text,secrets", [
+    (CODE + " // password is aB3dE6gH9x", ["aB3dE6gH9x"]), (CODE + "/* no */ /* login: bob aB3dE6gH9x */" + CODE, ["aB3dE6gH9x"]), ("1,2,3," * 900 + " # key Zt7!kkQ2pp", ["Zt7!kkQ2pp"]), (CODE + ";/* token */" + "x=aB3dE6gH9x;" * 9, []),
+    ("c = connect('bob', " + "option, " * 60 + "'IK0nAD0Vk9qtduGx89hULgI64yhruK0')", ["IK0nAD0Vk9qtduGx89hULgI64yhruK0"]), ("u = 'https://bob:" + "aB3dE6gH" * 20 + "@h.example/'", ["aB3dE6gH" * 20]),
+])
+def test_long_lines_are_searched_whole(text, secrets):
+    assert [text[f.start : f.end] for f in c.find(text, "a.js")] == secrets
+
+
+def test_a_very_long_line_takes_little_time():
+    begin = time.process_time()
+    assert c.find("/* no */ x = call(password, token) ;" * 20_000, "a.js") == []
+    assert c.find("// password " + "sha1 5e18bbf7ab6b8dc7e9 " * 20_000, "a.js") == []
+    assert time.process_time() - begin < 10
