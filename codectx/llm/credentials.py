@@ -152,6 +152,41 @@ def _closing(text: str, at: int, quote: str) -> int:
     return len(text)
 
 
+FLOW = re.compile(r"""\"(?:\\.|[^\"\\])*\"|'(?:''|[^'])*'|(?<=\s)\#[^\n]*|[{}\[\],]|:(?=[\s,{}\[\]"']|\Z)|(?:[^\s{}\[\],:]|:(?![\s,{}\[\]"']|\Z))+""")
+BLOCK = re.compile(r"(?:[!&]\S*\s+)*[|>](?:[+-]?\d?|\d[+-])(?:\s+#.*)?")
+ITEM = re.compile(r"(\s*)((?:-\s+)+)")
+
+
+def flow_values(text: str, at: int, stop: int) -> tuple[list[tuple[str, int, int]], int]:
+    """([(key path, start, end)] of a YAML flow map or sequence that begins at ``at``, where it ends); the end is -1 if it isn't closed.
+
+    >>> [(k, "{a: x, b: [y]}"[s:e]) for k, s, e in flow_values("{a: x, b: [y]}", 0, 14)[0]]
+    [('a', 'x'), ('b', 'y')]
+    """
+    out: list[tuple[str, int, int]] = []
+    stack: list[str] = []
+    name, here = "", None  # here: the scalar that is being read
+    for t in FLOW.finditer(text, at, stop):
+        g = t.group()
+        if g == ":" and here:
+            name, here = text[here[0] : here[1]], None
+        elif g[0] in "{[":
+            stack.append(name)
+            name, here = "", None
+        elif g[0] in "}],":
+            if here:
+                out.append((".".join(x for x in (*stack, name) if x), *here))
+            here, name = None, ""
+            if g != ",":
+                stack.pop()
+                if not stack:
+                    return out, t.end()
+        elif g[0] != "#" and g != ":":
+            quoted = len(g) > 1 and g[0] == g[-1] and g[0] in "\"'"
+            here = (t.start() + 1, t.end() - 1) if quoted else (here[0] if here else t.start(), t.end())
+    return out, -1
+
+
 def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
     """[(key path, start, end)] of the values of a configuration text; quotes stand outside of the ranges.
 
@@ -180,7 +215,14 @@ def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
                 out.append((".".join(x for x in (*stack, name) if x), s, e))
         return out
     depth: list[tuple[int, str]] = []
-    section, at, block = "", 0, -1
+    section, at, block, whole = "", 0, -1, True
+    body_at: list[int] = []  # of a block scalar: its start and end
+    block_key, passed = "", 0
+    yaml = kind in ("yaml", "yml")
+
+    def path_of(*last: str) -> str:
+        return ".".join(x for x in (section, *(n for _, n in depth), *last) if x)
+
     for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         start, at = at, at + len(line)
         body = line.rstrip()
@@ -189,36 +231,58 @@ def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
         if block >= 0:
             if bare and indent <= block:
                 block = -1
+                if body_at:
+                    out.append((block_key, *body_at))
             else:
+                if bare:
+                    body_at = [body_at[0] if body_at else start + indent, start + len(body)]
                 continue
-        if not bare or bare[0] in "#;!":
+        if start < passed or not bare or bare[0] in "#;!":
             continue
         if kind in ("ini", "cfg", "conf", "cnf", "toml") and bare[0] == "[":
             section = bare.strip("[]")
             continue
         sep = r"\s*:(?:\s+|$)" if kind in ("yaml", "yml") else r"\s*[=:]\s*" if kind == "properties" else r"\s*=\s*"
-        m = re.match(r"(\s*(?:- +)*(?:export +)?)[\"']?([^\s:=\"'\[\]{}][^:=\"']*?)[\"']?" + sep, body)
-        if not m:
-            continue
-        lead, name = len(m.group(1)), m.group(2).strip()
-        s, e = start + m.end(), start + len(body)
-        if kind in ("yaml", "yml"):
-            while depth and depth[-1][0] >= lead:
+        m = re.match(r"(\s*(?:- +)*(?:export +)?)[\"']?((?!-\s)[^\s:=\"'\[\]{}][^:=\"']*?)[\"']?" + sep, body)
+        item = ITEM.match(body) if yaml and not m else None
+        if item:
+            while depth and depth[-1][0] > len(item.group(1)):
                 depth.pop()
-            if m.end() == len(body):
-                depth.append((lead, name))
+            lead, name = item.end() - 1, ""
+            s, e = start + item.end(), start + len(body)
+        elif not m:
+            continue
+        else:
+            lead, name = len(m.group(1)), m.group(2).strip()
+            s, e = start + m.end(), start + len(body)
+        if yaml:
+            if m:
+                while depth and depth[-1][0] >= lead:
+                    depth.pop()
+                if m.end() == len(body):
+                    depth.append((lead, name))
+                    continue
+            if BLOCK.fullmatch(text, s, e):
+                block, block_key, body_at = lead if m else indent, path_of(name), []
                 continue
-            if re.fullmatch(r"[|>][+-]?\d*", text[s:e]):
-                block = indent
+            if text[s] == "[" or text[s] == "{" and text[s : s + 2] != "{{":
+                inner, end = flow_values(text, s, len(text) if whole else e)
+                if end < 0 and whole:  # not closed anywhere: neither are those behind it
+                    whole = False
+                    inner, end = flow_values(text, s, e)
+                passed = max(passed, end)
+                out += [(path_of(name, k) if k else path_of(name), a, b) for k, a, b in inner]
                 continue
         elif c := re.search(r"\s+[#;]\s", text[s:e]) if text[s : s + 1] not in "\"'" else None:
             e = s + c.start()
         if e - s >= 2 and text[s] in "\"'":
             q = text.find(text[s], s + 1, e)
             s, e = s + 1, q if q > 0 else e
-        elif kind in ("yaml", "yml") and (c := re.search(r"\s+#", text[s:e])):
+        elif yaml and (c := re.search(r"\s+#", text[s:e])):
             e = s + c.start()
-        out.append((".".join(x for x in (section, *(n for _, n in depth), name) if x), s, e))
+        out.append((path_of(name), s, e))
+    if block >= 0 and body_at:
+        out.append((block_key, *body_at))
     return out
 
 
@@ -304,8 +368,11 @@ def find(text: str, path: str = "") -> list[Finding]:
     found += [Finding(s, e, "issued token", "") for s, e in issued(text)]
     if CONFIG.search(path):
         for key, s, e in config_values(path, text):
-            level = sensitive(key.rpartition(".")[2])
-            if level == 2 and chosen(text[s:e]) or level == 1 and strong(text[s:e]):
+            name, value = key.rpartition(".")[2], text[s:e]
+            level = sensitive(name) or int(name[-1:] in "sS" and sensitive(name[:-1]) == 2)  # of several, each must look like one
+            if "\n" in value:
+                level, value = min(level, 1), re.sub(r"\s*\n\s*", "", value)
+            if level == 2 and chosen(value) or level == 1 and strong(value):
                 found.append(Finding(s, e, "configuration", key))
     for line, stop in marked_lines(text):
         found += _on_line(text, line, stop)

@@ -68,3 +68,21 @@ def test_a_very_long_line_takes_little_time():
     assert c.find("/* no */ x = call(password, token) ;" * 20_000, "a.js") == []
     assert c.find("// password " + "sha1 5e18bbf7ab6b8dc7e9 " * 20_000, "a.js") == []
     assert time.process_time() - begin < 10
+
+
+@pytest.mark.parametrize("text,values", [
+    ("a:\n  password: |\n    Xy12!kkQ2pp\n  b: x1\n", [("a.password", "Xy12!kkQ2pp"), ("a.b", "x1")]), ("password: >-\n  Xy12kkQ2\n  pp34RRt\n\nb: y2", [("password", "Xy12kkQ2\n  pp34RRt"), ("b", "y2")]), ("- pw: |\n    Xy12\n  b: y2\n", [("pw", "Xy12"), ("b", "y2")]),
+    ("tokens:\n  - Xy12kkQ2pp\n  - 'Zt7!kkQ2pp' # c\nb:\n- y2\n", [("tokens", "Xy12kkQ2pp"), ("tokens", "Zt7!kkQ2pp"), ("b", "y2")]), ("db: {user: a, password: Xy12, x: [b, 'c d']}\ne: f1", [("db.user", "a"), ("db.password", "Xy12"), ("db.x", "b"), ("db.x", "c d"), ("e", "f1")]),
+    ("db: {\n  user: a b, # no\n  password: Xy12\n}\ne: f1", [("db.user", "a b"), ("db.password", "Xy12"), ("e", "f1")]), ("a: {b: c\nd: e1\n", [("d", "e1")]), ("l:\n  - {name: a, pw: Xy12}\n  - |\n    Zt7\n", [("l.name", "a"), ("l.pw", "Xy12"), ("l", "Zt7")]),
+    ("a: {{ vault.b }}\n", [("a", "{{ vault.b }}")]),
+])
+def test_yaml_values_of_every_style(text, values):
+    assert [(k, text[s:e]) for k, s, e in c.config_values("a.yaml", text)] == values
+
+
+def test_yaml_secrets_are_found_and_blanked():
+    text = "db:\n  password: |\n    Xy12!kkQ2pp\ntokens:\n- Xy12kkQ2pp\n- plain-word\ncache: {user: bob, password: aB3dE6gH9}\nsecret_note: |\n  words that say\n  nothing\n"
+    found = c.find(text, "a.yaml")
+    assert [text[f.start : f.end] for f in found] == ["Xy12!kkQ2pp", "Xy12kkQ2pp", "aB3dE6gH9"]
+    assert c.redact(text, found).count("[REDACTED]") == 3
+    assert c.find("x: {a\n" * 20_000 + "password: |\n" * 3 + "- [\n" * 20_000, "a.yaml") == []
