@@ -46,6 +46,9 @@ ASSIGNED = re.compile(r"""(?:["'`]([\w.$ -]{1,64})["'`]|([A-Za-z_$\u00c0-\u04ff]
 JOINED = re.compile(r"""(?:\s*(?:\+|\.\.?)(?:\s|\\\n)*|[ \t]*\\\n[ \t]*|[ \t]+)[rbu]?(?!\"{3}|'{3})(["'`])""")
 CALL = re.compile(r"(?i)\b(?:\w+\.)*\w*(?:connect|login|log_in|authenticate|sign_?in|auth|credentials?|set_?password|set_?pass|with_?password)\w*\s*\(([^()\n]{3,}+)")
 STRING = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+#: A name before an argument; values of hosts, paths, ids and words with numbers, which by their shape might be secrets.
+NAMED = re.compile(r"(\w+)[\"']?\s*[=:]\s*\Z")
+NAMELIKE = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}|[^@]+@[\w-]+\.[\w.-]+|[\w.-]+(?:/[\w.-]+)+\.\w{1,5}|[a-z]+/[a-z0-9.+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[a-z]++\d{0,4}+(?:[-_.](?:[a-z]++\d{0,4}+|\d{1,4}+))*+|[A-Z]*[a-z]+(?:[A-Z][a-z]+)*\d{0,4}")
 REMARK = re.compile(r"(?:^|(?<=[\s;{})]))(?:#|//|/\*+|--|;|<!--|\*)[ \t]*|\"{3}")
 #: The marks of remarks on a line too long to have been typed, where most of these characters are operators, selectors or separators.
 LONG, LONG_REMARK = 2000, re.compile(r"(?:^|(?<=[\s;{})]))(?://|/\*+|<!--|(?:#|--)(?=[ \t])|(?:^|(?<=\s))#)[ \t]*|^(?:--|;|\*)[ \t]*|\"{3}")
@@ -326,8 +329,16 @@ def _on_line(text: str, line: int, stop: int) -> list[Finding]:
             found.append(Finding(start, last, "name", name))
     for m in CALL.finditer(text, line, stop):
         strings = list(STRING.finditer(m.group(1)))
-        if len(strings) >= 2 and (strong(v := strings[-1].group(2)) or chosen(v) and len(v) >= 9 and re.search(r"\d", v) and not re.search(r"[/.]", v)) and not ADDRESS.search(v):
-            found.append(Finding(m.start(1) + strings[-1].start(2), m.start(1) + strings[-1].end(2), "call", ""))
+        for k, t in enumerate(strings if len(strings) >= 2 else ()):
+            v = t.group(2)
+            last = k == len(strings) - 1
+            if last:
+                good = strong(v) or chosen(v) and len(v) >= 9 and re.search(r"\d", v) and not re.search(r"[/.]", v)
+            else:  # hosts, names and ids stand there as well
+                named = NAMED.search(m.group(1), max(0, t.start() - 80), t.start())
+                good = strong(v) and not NAMELIKE.fullmatch(v) and not (named and not sensitive(named.group(1)))
+            if good and not ADDRESS.search(v):
+                found.append(Finding(m.start(1) + t.start(2), m.start(1) + t.end(2), "call", ""))
     here = text[line:stop]
     for start, end in remarks(here):
         word = REMARK_WORD.search(here, start, end)
@@ -336,7 +347,6 @@ def _on_line(text: str, line: int, stop: int) -> list[Finding]:
         for t in REMARK_VALUE.finditer(here, word.end(), end):
             if strong(t.group().rstrip(".")) and not NO_SECRET.search(here, max(start, t.start() - 64), t.start()):
                 found.append(Finding(line + t.start(), line + t.end(), "remark", word.group()))
-                break
     return found
 
 

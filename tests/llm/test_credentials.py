@@ -86,3 +86,12 @@ def test_yaml_secrets_are_found_and_blanked():
     assert [text[f.start : f.end] for f in found] == ["Xy12!kkQ2pp", "Xy12kkQ2pp", "aB3dE6gH9"]
     assert c.redact(text, found).count("[REDACTED]") == 3
     assert c.find("x: {a\n" * 20_000 + "password: |\n" * 3 + "- [\n" * 20_000, "a.yaml") == []
+
+
+@pytest.mark.parametrize("text,secrets", [
+    ("# key aB3dE6gH9x old key Zt7!kkQ2pp", ["aB3dE6gH9x", "Zt7!kkQ2pp"]), ("# key aB3dE6gH9x of revision 5e18bbf7ab6b8dc7e9fbddf21e92b4022e5ea9e2", ["aB3dE6gH9x"]),
+    ("c = login('bob', 'IK0nAD0Vk9qtduGx89', 'staff')", ["IK0nAD0Vk9qtduGx89"]), ("c = login('Zt7!kkQ2pp', 'IK0nAD0Vk9qtduGx89')", ["Zt7!kkQ2pp", "IK0nAD0Vk9qtduGx89"]),
+    ("c = connect('db01.Main.example', 'eu-west-1-cluster-2', 'Server2019', 'reader')", []), ("c = connect(host='db01Main!East', user='reader')", []),
+])
+def test_every_secret_of_a_remark_or_call(text, secrets):
+    assert [text[f.start : f.end] for f in c.find(text, "a.py")] == secrets
