@@ -37,6 +37,7 @@ ONE_BYTE = (
 REPLACED = "�"
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 RUN = re.compile(r"[^\x00-\x7f]+")
+INSIDE = re.compile(r"(?<=[a-z])[^\x00-\x7f](?=[a-z])")
 RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 RUSSIAN = re.compile("[\u0410-\u044f\u0401\u0451]+")
 #: A pair below this mutual information is improbable; what a pair of ASCII characters inside a segment costs.
@@ -301,6 +302,18 @@ def utf8_like(run: str) -> str:
     return "".join(old for old, steps in utf8_parts(run) if steps and not RUSSIAN.fullmatch(old))
 
 
+def short_damage(part: str, here: float, ranked: list[tuple[float, str, str]], model: PairModel) -> bool:
+    """Whether a segment too short to be restored is damaged: its pairs are improbable, those of a one-byte mapping are all probable."""
+    inside = any(not c.isalpha() for c in INSIDE.findall(part))
+    least = here + GAIN * (2 if inside else 4)  # a letter in place of another may belong there
+    if max(ranked)[0] <= least:
+        return False
+    far = np.array([a > "\x7f" or b > "\x7f" for a, b in zip(part, part[1:])])
+    if not far.any() or (model.scores(part)[far] >= LEAST_PMI).any():
+        return False
+    return any(found > least and (model.scores(back)[[a > "\x7f" or b > "\x7f" for a, b in zip(back, back[1:])]] > 0).all() for found, back, _ in ranked)
+
+
 def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
     """(restored text, mappings undone, garbled segments, segments that stay damaged).
 
@@ -356,6 +369,8 @@ def restore(text: str, model: PairModel) -> tuple[str, list[str], int, int]:
                 most = max(ranked)
                 if n >= 2 and most[0] > here + GAIN * (1 + 2 / n):
                     new, seen = most[1], [most[2]]
+                else:
+                    damaged = short_damage(part, here, ranked, model)
         if seen or damaged:
             bad += 1
             lost += damaged
@@ -370,7 +385,7 @@ def find_garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, text, encodings, segments, lost) of the records that show garbled characters.
 
     text: the text restored where that can be had; encodings: the mappings undone; lost: segments that hold
-    replacement characters and stay as they are. Null, empty and ASCII texts are never garbled and don't reach
+    replacement characters, or are too short to tell how they read, and stay as they are. Null, empty and ASCII texts are never garbled and don't reach
     Python's part. The counts behind the decision are those of all texts of ``df`` unless a ``model`` is given.
     """
     model = model or PairModel.of(df, text_col)

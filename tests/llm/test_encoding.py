@@ -68,3 +68,10 @@ def test_garbling_that_is_repeated_is_still_found(spark, word):
 def test_runs_that_are_utf8_by_chance_stay(spark, text):
     rows = [(i, f"{text} {FRENCH if i % 2 else RUSSIAN}", "", 1, 1) for i in range(60)]
     assert e.find_garbled(spark.createDataFrame(rows, DOCS)).collect() == []
+
+
+def test_a_single_damaged_word_is_found(spark):
+    polish = POLISH + "Zażalenie, każdy wyraża pożar, mażą i ważą. "
+    rows = [(i, [polish, FRENCH, GERMAN, ENGLISH][i % 4]) for i in range(600)] + [(1000, "The word Za¿alenie stands here alone."), (1001, "A naïve señor stands here alone. ¿Qué? Muñoz")]
+    out = {r.doc_id: r for r in e.find_garbled(spark.createDataFrame([(*r, "", 1, 1) for r in rows], DOCS)).collect()}
+    assert set(out) == {1000} and out[1000].lost == 1 and out[1000].text == rows[600][1] and out[1000].encodings == []
