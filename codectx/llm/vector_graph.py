@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,8 @@ NEAREST = 5
 #: Classes that are meant to be in a cell, cells that a class is in, and rows that the cells are fitted to. Beyond
 #: SAMPLE / LEAST_LEAF cells, cells grow with the collection instead.
 CELL_ROWS, CELLS_EACH, SAMPLE, LEAST_LEAF = 6000, 2, 20_000, 10
+#: Steps of a unit vector's elements that tell directions apart, and classes of one direction that are indexed.
+STEP, ALIKE = 1e-5, 24
 DEGREE, BEAM, RELAX, EXPAND = 24, 40, 1.2, 4
 BATCH = 1024
 
@@ -259,19 +261,48 @@ def nearest_classes(classes: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> D
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank")
 
 
+def directions(classes: DataFrame) -> DataFrame:
+    """(class_id, vec, d0, d1): with hashes of the direction on two grids, of which one is shifted, as copies of a scaled vector may lie on both sides of a line."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("vec", lambda x: x / F.col("norm") / STEP)
+    grids = [F.xxhash64(F.transform("unit", lambda x, by=by: F.floor(x + by))).alias(f"d{k}") for k, by in enumerate((0.25, 0.75))]
+    return classes.withColumn("norm", norm).withColumn("unit", unit).select("class_id", "vec", *grids)
+
+
+def of_one_direction(classes: DataFrame, k: int) -> DataFrame:
+    """(class_id, other, cos): for each class the k + 1 first other classes of its direction, whose cosines tie; cos exact, rounded to 12 decimals."""
+    found = []
+    for d in ("d0", "d1"):
+        first = Window.partitionBy(d).orderBy("class_id")
+        heads = classes.select("class_id", d).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 2)
+        several = heads.filter("place = 2").select(d)
+        heads = heads.join(several, d).select(d, F.col("class_id").alias("other")).join(classes.select(F.col("class_id").alias("other"), F.col("vec").alias("to")), "other")
+        found.append(classes.select("class_id", "vec", d).join(heads, d).filter("class_id != other").select("class_id", "other", "vec", "to"))
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    cos = dot("vec", "to") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("to", "to"))
+    return found[0].unionByName(found[1]).select("class_id", "other", F.round(cos, 12).alias("cos"))
+
+
 def nearest_vectors(vectors: DataFrame, k: int = NEAREST, cell_rows: int = CELL_ROWS, dim: int | None = None) -> DataFrame:
     """(vec_id, rank, other, cos): for each usable vector its k nearest others, equal cosines by smaller id; fewer if there are fewer.
 
     vectors: vec_id, vec (array of any number type; see ``usable`` for what takes part). Equal vectors are searched once; a class's list holds its own
-    members too, of which only the k + 1 smallest ids can be among the k nearest of anything, so no more of them are looked at.
+    members too, of which only the k + 1 smallest ids can be among the k nearest of anything, so no more of them are looked at. Scaled copies
+    of a vector tie as well: each gets the first of its direction, and of a direction's classes the first ALIKE are indexed for the other vectors.
     The result is approximate as far as a neighbour lies in no cell of a vector or a beam misses it.
     """
     rows = usable(vectors, dim=dim).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.col("vec")))
     ids = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"))
     members = written(rows.select("vec_id", "h1", "h2").join(ids, ["h1", "h2"]).select("class_id", "vec_id"))
-    classes = written(rows.join(ids.select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("class_id"), "vec"))
+    classes = written(directions(rows.join(ids.select(F.col("class_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("class_id"), "vec")))
+    place = F.row_number().over(Window.partitionBy("d0").orderBy("class_id"))
+    leading = classes.select("class_id", "d0").withColumn("place", place).filter(F.col("place") <= ALIKE).select("class_id")
     first = members.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("vec_id"))).filter(F.col("place") <= k + 1).select("class_id", F.col("vec_id").alias("other"))
-    near = nearest_classes(classes, k, cell_rows)
+    indexed = written(classes.join(leading, "class_id", "left_semi").select("class_id", "vec"))
+    near = nearest_classes(indexed, k, cell_rows).unionByName(of_one_direction(classes, k)).groupBy("class_id", "other").agg(F.max("cos").alias("cos"))
     lists = near.withColumnRenamed("other", "of").join(first.withColumnRenamed("class_id", "of"), "of").select("class_id", "other", "cos")
     lists = lists.unionByName(first.select("class_id", "other", F.lit(1.0).alias("cos")))
     top = lists.withColumn("rank", F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("cos"), "other"))).filter(F.col("rank") <= k + 1)

@@ -55,3 +55,17 @@ def test_graph_keeps_its_degree_and_is_searchable():
     g = vg.build_graph(x)
     assert g.shape == (700, vg.DEGREE) and (g < 700).all()
     assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(g))
+
+
+def test_scaled_copies_tie_and_go_by_id(spark):
+    rng = np.random.default_rng(11)
+    v = [(1000 + i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
+    one = np.array(v[7][1], np.float32)
+    v += [(int(i), (np.float32(s) * one).tolist()) for i, s in zip(rng.permutation(150), np.linspace(0.3, 9, 150))]
+    got = {}
+    for r in vg.nearest_vectors(frame(spark, v)).collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.other))
+    want = brute([x for x in v if x[0] != 205])
+    copies = [i for i, _ in v if i < 1000] + [1007]
+    assert {i: [o for _, o in sorted(got[i])] for i in copies} == {i: want[i] for i in copies}
+    assert all(len(x) == 5 for x in got.values()) and len(got) == 210
