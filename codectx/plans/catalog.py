@@ -628,14 +628,14 @@ def dpo_gradient(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def proxy_history(spark: SparkSession, d: str) -> DataFrame:
-    """Two epochs of training over the search samples."""
-    samples = search_samples(spark, d).filter(t.strip(F.col("target")) != "").select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), "left_context", "target")
+    """Two epochs of training over all samples."""
+    samples = table(spark, d, "training_samples").filter(t.strip(F.col("target")) != "").select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), "left_context", "target")
     return proxy.train(samples, chunk_table(spark, d), ProxyConfig(epochs=2), written).history_frame()
 
 
 @query()
 def proxy_predict(spark: SparkSession, d: str) -> DataFrame:
-    samples = search_samples(spark, d).select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), "left_context", "target")
+    samples = table(spark, d, "training_samples").select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), "left_context", "target")
     zero = proxy.ProxyState(spark.createDataFrame([], "token string, w double"), spark.createDataFrame([], "token string, affinity double"))
     return proxy.predict(samples, chunk_table(spark, d), zero, ProxyConfig())
 

@@ -269,3 +269,11 @@ def test_checkpoints_reports_warmup_and_joint_scores(spark, tmp_path):
     assert kinds[0] == ("none", None) and kinds[2] == ("oracle", 2) and kinds[3] == ("oracle", None) and kinds[7] == ("noisy", 7)
     r = spark.range(1).select(dense.combined_score(F.lit(0.25), F.lit(0.5), F.lit(True)), dense.combined_score(F.lit(0.25), F.lit(0.5), F.lit(False))).first()
     assert r[0] == pytest.approx(math.log(0.75)) and r[1] == pytest.approx(math.log(0.25) + 0.5)
+
+
+def test_proxy_queries_take_all_samples(spark):
+    from codectx.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    n = catalog.table(spark, d, "training_samples").count()
+    assert catalog.proxy_predict(spark, d).count() == n > catalog.search_samples(spark, d).count()
