@@ -23,6 +23,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(table(spark, d, "training_samples"))
 
 
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each held-out row that a train row overlaps: its class, its train rows, and how much of its tokens the best class covers."""
+    return split_overlap.overlap_coverage(table(spark, d, "training_samples"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return vector_graph.nearest_pairs(vector_graph.nearest_vectors(table(spark, d, "text_vectors")))
 
@@ -110,7 +115,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"

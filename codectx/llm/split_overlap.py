@@ -4,108 +4,166 @@ Records with equal tokens form a class; classes are compared, not records. Of ea
 k-token runs one is selected as fingerprint: the rarest by a table of counts of fixed size, ties by hash. Any order of
 the runs keeps winnowing's guarantee (two texts that share ``WINDOW`` consecutive runs share a fingerprint), and this
 one keeps boilerplate from becoming a join key where anything rarer stands near.
-Fingerprints seen on both sides are joined within classes of similar length; the seeds of a pair are chained and extended
-token by token, and the pair is verified on the whole texts.
+
+Fingerprints of train and held-out classes are joined. A fingerprint that stands in very many classes is split: its train
+rows are dealt to parts, its held-out rows go to each of them, so no task gets all of them. A row carries its class's number of
+runs and a parity signature of them, from which a bound of what two texts can share follows; pairs below it are dropped in the join, before
+anything is shuffled for them. The pairs left, each once, are verified on the whole texts; seeds of the verified ones are chained
+and extended token by token to say how much of each text is covered.
+
+Why a pair at the threshold shares a fingerprint: let s runs be common to two texts and stand in b + 1 blocks that are in a row in both. Each
+of the b breaks costs each text at least 3 runs (those that span it) and 7 in all (an inserted token: 3 and 4; a replaced one: 4 and 4; a moved
+block: 3 and 3 at each of its ends). At 0.6 the runs not shared are at most 2s/3, so b <= s/9, and the mean length of a block
+is at least s / (s/9 + 1), which is over WINDOW - 1 = 5 from s = 12 on. Texts of at most SHORT runs, which may share fewer, offer all of theirs.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codectx.llm.common import written
+from codectx.llm.common import spread, written
+from codectx.llm.tokens import TOKEN, owners, portions, run_hashes, token_hashes
+
+__all__ = ["TOKEN", "overlap_coverage", "overlap_report", "record_overlaps", "split_overlaps"]
 
-TOKEN = re.compile(r"[a-z0-9_]+")
 RUN, WINDOW = 4, 6
-#: Texts of at most so many runs offer all of them; in longer ones a pair above the threshold must share WINDOW runs in a row.
+#: Texts of at most so many runs offer all of them; in longer ones a pair above the threshold shares WINDOW runs in a row.
 SHORT = 32
 THRESHOLD = Fraction(3, 5)
 #: Counts of runs are kept in 2**SKETCH_BITS numbers, whatever the corpus' size.
-SKETCH_BITS = 20
+SKETCH_BITS = 18
+#: Classes above the usual number of a slot's classes that one part of a fingerprint is meant to have.
+PART = 5_000
 TRAIN, HELD_OUT = "train", ("valid", "test", "repoeval")
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class TokenHashes(dict):
-    """Token -> 64-bit hash, the same in every process; starts anew when it has grown large."""
+def text_of() -> Column:
+    e = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(e("left_context"), F.lit("\n"), e("target")).alias("text")
+
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[token] = xxhash.xxh64_intdigest(token)
-        return h
+def slots(runs: np.ndarray) -> np.ndarray:
+    return (runs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def token_hashes(text: str, known: TokenHashes) -> np.ndarray:
-    return np.fromiter((known[t] for t in TOKEN.findall(text.lower())), np.uint64)
+def distinct(runs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs, numbers of their texts) of the different runs of each text, by text and run."""
+    order = np.lexsort((runs, own))
+    runs, own = runs[order], own[order]
+    first = np.ones(len(runs), bool)
+    first[1:] = (runs[1:] != runs[:-1]) | (own[1:] != own[:-1])
+    return runs[first], own[first]
 
 
-def run_hashes(tokens: np.ndarray) -> np.ndarray:
-    """A hash of each run of RUN consecutive tokens; none if there are fewer tokens."""
-    n = len(tokens) - RUN + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        h = (h ^ tokens[k : k + n]) * MIX
-        h ^= h >> np.uint64(29)
-    return h
+def signatures(runs: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """(n, 2) 64-bit numbers: for each of 128 classes of runs, whether a text has an odd number of them."""
+    bits = np.bincount(own * 128 + (runs & np.uint64(127)).astype(np.int64), minlength=n * 128).reshape(n, 128) & 1
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
 
-def select(runs: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Positions of the fingerprints of a text."""
-    if len(runs) <= SHORT:
-        return np.unique(runs, return_index=True)[1]
-    rank = (np.minimum(sketch[(runs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (runs >> np.uint64(20))
-    at = sliding_window_view(rank, WINDOW).argmin(axis=1) + np.arange(len(rank) - WINDOW + 1)
-    at = np.unique(at)
-    return at[np.unique(runs[at], return_index=True)[1]]
+def selected(runs: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which runs are the fingerprints of their texts. rank: the place of each slot, the rarest first."""
+    n = len(runs)
+    counts = np.diff(ends, prepend=0)
+    out = np.repeat(counts <= SHORT, counts)
+    if n < WINDOW:
+        return out
+    key = (rank[slots(runs)].astype(np.uint64) << np.uint64(64 - SKETCH_BITS)) | (runs >> np.uint64(SKETCH_BITS))
+    m = n - WINDOW + 1
+    least = key[:m].copy()
+    for k in range(1, WINDOW):
+        np.minimum(least, key[k : k + m], out=least)
+    whole = np.repeat(ends, counts)[:m] - np.arange(m) >= WINDOW
+    for k in range(WINDOW):
+        out[k : k + m] |= whole & (key[k : k + m] == least)
+    return out
 
 
-def run_counts(classes: DataFrame) -> np.ndarray:
-    """How often each of the fixed number of slots is hit by the runs of all classes."""
+KEYS = "kind byte, sample_id long, split_name string, source string, h1 long, h2 long, runs int"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, table = TokenHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+
+def keys_and_counts(rows: DataFrame) -> DataFrame:
+    """Kind 0: sample_id, split_name, source, two hashes of the tokens, number of runs. Kind 1: h1 a slot, h2 how many texts of the task have a run of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for text in b["text"]:
-                np.add.at(table, (np.unique(run_hashes(token_hashes(text, known))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            texts = b.column("text").to_pylist()
+            first, second, runs_of = [], [], []
+            for s in portions(texts):
+                tokens, ends = token_hashes(texts[s])
+                runs, run_ends = run_hashes(tokens, ends, RUN)
+                table += np.bincount(slots(distinct(runs, owners(run_ends))[0]), minlength=len(table))
+                runs_of.append(np.diff(run_ends, prepend=0))
+                for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    h = xxhash.xxh3_128_intdigest(tokens[lo:hi].tobytes())
+                    first.append(h >> 64), second.append(h & 0xFFFFFFFFFFFFFFFF)
+            n = len(texts)
+            whole = [np.array(x, np.uint64).view(np.int64) for x in (first, second)]
+            sizes = np.concatenate(runs_of).astype(np.int32) if runs_of else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), b.column("sample_id"), b.column("split_name"), b.column("source"), pa.array(whole[0]), pa.array(whole[1]), pa.array(sizes)], names=[c.split()[0] for c in KEYS.split(", ")])
         at = np.flatnonzero(table)
-        yield pd.DataFrame({"slot": at, "n": table[at]})
+        none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.string(), pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), *none, pa.array(at), pa.array(table[at]), pa.nulls(len(at), pa.int32())], names=[c.split()[0] for c in KEYS.split(", ")])
+
+    return spread(rows.select("sample_id", "split_name", "source", "text")).mapInArrow(run, KEYS)
+
 
-    rows = classes.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << SKETCH_BITS, np.int32)
-    table[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
+def sketch_of(keys: DataFrame) -> np.ndarray:
+    """How many texts have a run of each slot; its size doesn't depend on the corpus."""
+    rows = keys.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n")).toArrow()
+    table = np.zeros(1 << SKETCH_BITS, np.int64)
+    table[rows["h1"].to_numpy()] = rows["n"].to_numpy()
     return table
 
 
+def ranks_and_parts(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each slot by its count, equal counts alike; parts that a fingerprint of the slot is dealt to).
+
+    What a slot has beyond twice the middle one belongs to few runs, as the slots' rare runs add up to about the same everywhere.
+    """
+    _, rank = np.unique(sketch, return_inverse=True)
+    beyond = np.maximum(sketch - 2 * np.median(sketch), 0)
+    return rank.astype(np.int32), np.maximum(np.ceil(beyond / PART), 1).astype(np.int32)
+
+
+PRINTS = "class_id long, train boolean, held boolean, n int, g0 long, g1 long, fp long, parts int"
+
+
 def fingerprints(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(class_id, train, held, n, fp, pos): n is the number of different runs of the class's text."""
-    shared = classes.sparkSession.sparkContext.broadcast(sketch)
+    """(class_id, train, held, n, g0, g1, fp, parts): n is the number of different runs of the class's text, g0 and g1 their signature."""
+    shared = classes.sparkSession.sparkContext.broadcast(ranks_and_parts(sketch))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = TokenHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, parts = shared.value
         for b in batches:
-            parts = []
-            for key, train, held, text in b.itertuples(index=False):
-                runs = run_hashes(token_hashes(text, known))
-                if len(runs):
-                    at = select(runs, shared.value)
-                    parts.append((np.full(len(at), key), np.full(len(at), train), np.full(len(at), held), np.full(len(at), len(np.unique(runs)), np.int32), runs[at].view(np.int64), at.astype(np.int32)))
-            columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 6
-            yield pd.DataFrame(dict(zip(("class_id", "train", "held", "n", "fp", "pos"), columns)))
-
-    return classes.select("class_id", "train", "held", "text").mapInPandas(run, "class_id long, train boolean, held boolean, n int, fp long, pos int")
+            texts = b.column("text").to_pylist()
+            for s in portions(texts):
+                tokens, ends = token_hashes(texts[s])
+                runs, run_ends = run_hashes(tokens, ends, RUN)
+                every = owners(run_ends)
+                different, of = distinct(runs, every)
+                marks = signatures(different, of, len(run_ends))
+                sizes = np.bincount(of, minlength=len(run_ends)).astype(np.int32)
+                chosen = selected(runs, run_ends, rank)
+                r, own = distinct(runs[chosen], every[chosen])
+                part = b.slice(s.start, s.stop - s.start)
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("class_id").take(take), part.column("train").take(take), part.column("held").take(take), pa.array(sizes[own]), pa.array(marks[own, 0]), pa.array(marks[own, 1]), pa.array(r.view(np.int64)), pa.array(parts[slots(r)])],
+                    names=[c.split()[0] for c in PRINTS.split(", ")],
+                )
+
+    return classes.select("class_id", "train", "held", "text").mapInArrow(run, PRINTS)
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,68 +204,76 @@ def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], gap: int
     return int(used_a.sum()), int(used_b.sum())
 
 
-def length_level(n: Column, threshold: Fraction) -> Column:
-    """Texts whose numbers of runs differ by at most the threshold's factor are at most one level apart."""
-    return F.floor(F.log(n.cast("double")) / math.log(1 / float(threshold)) + 1e-9).cast("int")
-
-
-def classes_of(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes: class_id, train, held, text; members: class_id, sample_id, split_name, source). Rows of other splits take no part."""
-    e = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = samples.filter(F.col("split_name").isin(TRAIN, *HELD_OUT)).select(
-        "sample_id", "split_name", "source", F.concat(e("left_context"), F.lit("\n"), e("target")).alias("text")
-    )
-    flat = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), " ")
-    keyed = rows.withColumn("flat", flat).withColumn("h1", F.xxhash64("flat")).withColumn("h2", F.xxhash64(F.lit(1), F.col("flat"))).drop("flat")
-    ids = keyed.groupBy("h1", "h2").agg(
+def classes_of(samples: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(classes: class_id, train, held, text, of those with runs; members: class_id, sample_id, split_name, source; counts of runs). Rows of other splits take no part."""
+    rows = samples.filter(F.col("split_name").isin(TRAIN, *HELD_OUT)).select("sample_id", "split_name", "source", text_of())
+    keys = written(keys_and_counts(rows))
+    known = keys.filter("kind = 0 and runs > 0")
+    ids = known.groupBy("h1", "h2").agg(
         F.min("sample_id").alias("class_id"), F.max(F.col("split_name") == TRAIN).alias("train"), F.max(F.col("split_name") != TRAIN).alias("held")
     )
-    members = written(keyed.drop("text").join(ids.select("h1", "h2", "class_id"), ["h1", "h2"]).select("class_id", "sample_id", "split_name", "source"))
-    classes = written(keyed.select("sample_id", "text").join(ids.select("class_id", "train", "held"), F.col("sample_id") == F.col("class_id")).select("class_id", "train", "held", "text"))
-    return classes, members
+    members = written(known.join(ids, ["h1", "h2"]).select("class_id", "sample_id", "split_name", "source", "train", "held"))
+    leaders = members.filter("sample_id = class_id").select("sample_id", "class_id", "train", "held")
+    return rows.select("sample_id", "text").join(leaders, "sample_id").select("class_id", "train", "held", "text"), members.drop("train", "held"), sketch_of(keys)
 
 
 PAIR = "a long, b long, shared int, either int, seeds int, covered_a double, covered_b double"
 
 
-def class_overlaps(classes: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+def close_enough(threshold: Fraction) -> str:
+    """Whether two classes can be a pair by their numbers of runs and their signatures: of |a| + |b| runs, at least as many are not shared as the signatures have bits apart."""
+    p, q = threshold.numerator, threshold.denominator
+    shared = "(t.n + h.n - bit_count(t.g0 ^ h.g0) - bit_count(t.g1 ^ h.g1))"  # twice the bound
+    return f"t.n * {q} >= h.n * {p} and h.n * {q} >= t.n * {p} and {shared} * {p + q} >= 2 * {p} * (t.n + h.n)"
+
+
+def class_overlaps(classes: DataFrame, sketch: np.ndarray, texts: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(a, b, shared, either, seeds, covered_a, covered_b) of pairs of a class with train rows and another with held-out rows.
 
-    shared and either count different runs, seeds the chain's length, covered the share of each text's tokens in agreement.
+    shared and either count different runs, seeds the chain's length, covered the share of each text's tokens in agreement. texts: class_id, text.
     """
     p, q = threshold.numerator, threshold.denominator
-    fp = written(fingerprints(classes, run_counts(classes)).withColumn("level", length_level(F.col("n"), threshold)))
-    sides = fp.groupBy("fp").agg(F.max("train").alias("t"), F.max("held").alias("h"), F.count("*").alias("df")).filter("t and h and df > 1").select("fp")
-    both = fp.join(sides, "fp")
-    train = both.filter("train").select("fp", "level", F.col("class_id").alias("a"), F.col("pos").alias("x"), F.col("n").alias("na"))
-    held = both.filter("held").select("fp", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), F.col("class_id").alias("b"), F.col("pos").alias("y"), F.col("n").alias("nb"))
-    seeds = (
-        train.join(held, ["fp", "level"]).filter(f"a <> b and na * {q} >= nb * {p} and nb * {q} >= na * {p}")
-        .groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("seeds"))
-    )
-    texts = classes.select("class_id", "text")
+    prints = written(fingerprints(classes, sketch))
+    rank = classes.sparkSession.sparkContext.broadcast(ranks_and_parts(sketch)[0])
+    t = prints.filter("train").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")).alias("t")
+    h = prints.filter("held").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("h")
     pairs = (
-        seeds.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", F.transform("seeds", lambda s: s["x"]).alias("xs"), F.transform("seeds", lambda s: s["y"]).alias("ys"), "ta", "tb")
+        t.join(h, F.expr(f"t.fp = h.fp and t.part = h.part and t.class_id <> h.class_id and {close_enough(threshold)}"))
+        .select(F.col("t.class_id").alias("a"), F.col("h.class_id").alias("b")).distinct()
+    )
+    both = (
+        pairs.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = TokenHashes()
-        for b in batches:
+        for batch in batches:
             rows = []
-            for one, two, xs, ys, ta, tb in b.itertuples(index=False):
-                u, v = token_hashes(ta, known), token_hashes(tb, known)
-                r, s = np.unique(run_hashes(u)), np.unique(run_hashes(v))
-                shared = len(np.intersect1d(r, s, assume_unique=True))
-                either = len(r) + len(s) - shared
-                if shared * q >= either * p:
-                    line = chain(list(zip(xs.tolist(), ys.tolist())))
-                    cu, cv = extend(u, v, line)
-                    rows.append((one, two, shared, either, len(line), cu / len(u), cv / len(v)))
+            for s in portions(batch["ta"].tolist(), 1 << 19):
+                part = batch.iloc[s]
+                known = dict(zip([*part["a"], *part["b"]], [*part["ta"], *part["tb"]]))
+                at = {key: k for k, key in enumerate(known)}
+                tokens, ends = token_hashes(list(known.values()))
+                runs, run_ends = run_hashes(tokens, ends, RUN)
+                chosen = selected(runs, run_ends, rank.value)
+                span = lambda e, k: slice(e[k - 1] if k else 0, e[k])  # noqa: B023, E731
+                sets: dict[int, np.ndarray] = {}
+                for one, two in zip(part["a"], part["b"]):
+                    i, j = at[one], at[two]
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = np.unique(runs[span(run_ends, k)])
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    either = len(sets[i]) + len(sets[j]) - shared
+                    if shared * q >= either * p:
+                        x, y = ({r: n for n, (r, c) in reversed(list(enumerate(zip(runs[span(run_ends, k)].tolist(), chosen[span(run_ends, k)].tolist())))) if c} for k in (i, j))
+                        line = chain([(n, y[r]) for r, n in x.items() if r in y])
+                        u, v = tokens[span(ends, i)], tokens[span(ends, j)]
+                        cu, cv = extend(u, v, line)
+                        rows.append((one, two, shared, either, len(line), cu / len(u), cv / len(v)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR.split(", ")])
 
-    return pairs.mapInPandas(verify, PAIR)
+    return both.mapInPandas(verify, PAIR)
 
 
 def split_overlaps(samples: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -215,11 +281,12 @@ def split_overlaps(samples: DataFrame, threshold: Fraction = THRESHOLD) -> tuple
 
     samples: sample_id, split_name, source, left_context, target. Null texts are empty; rows with fewer than RUN tokens have no
     runs and are in no pair, not even with equal rows; rows of a null or other split take no part. Repeated rows are members of one class.
+    Thresholds below 0.6 would void the reason given above, so they are refused.
     """
-    classes, members = classes_of(samples)
-    held = classes.filter(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))) >= RUN)
-    pairs = class_overlaps(held, threshold)
-    return pairs, members.join(held.select("class_id"), "class_id", "left_semi")
+    if threshold < THRESHOLD:
+        raise ValueError(f"a threshold below {THRESHOLD} isn't sure to give a common fingerprint")
+    classes, members, sketch = classes_of(samples)
+    return class_overlaps(classes, sketch, samples.select(F.col("sample_id").alias("class_id"), text_of()), threshold), members
 
 
 def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,3 +322,20 @@ def overlap_report(samples: DataFrame, threshold: Fraction = THRESHOLD) -> DataF
     return t.join(f, F.col("t.split_name").eqNullSafe(F.col("f.split_name")) & F.col("t.source").eqNullSafe(F.col("f.source")), "left").select(
         "t.split_name", "t.source", F.col("all_rows").alias("rows"), F.coalesce("overlapping_rows", F.lit(0)).alias("overlapping_rows"), F.coalesce("pairs", F.lit(0)).alias("pairs"), "mean_coverage"
     )
+
+
+def overlap_coverage(samples: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """One row for each held-out row with a train partner: sample_id, class_id, split_name, source, links (train rows), best_class and the coverage of its tokens by that one.
+
+    The best class covers most; of equals the one of the smallest id. Rows that agree wholly with a train row are covered by their own class.
+    """
+    pairs, members = split_overlaps(samples, threshold)
+    pairs = written(pairs)
+    train, held = _sides(members)
+    size = train.groupBy("class_id").agg(F.count("*").alias("n"))
+    own = size.select(F.col("class_id").alias("b"), F.col("class_id").alias("a"), "n", F.lit(1.0).alias("covered"))
+    other = pairs.join(size.withColumnRenamed("class_id", "a"), "a").select("b", "a", "n", F.col("covered_b").alias("covered"))
+    best = own.unionByName(other).groupBy("b").agg(F.sum("n").alias("links"), F.min(F.struct((-F.col("covered")).alias("less"), F.col("a"))).alias("best"))
+    return held.join(best.withColumnRenamed("b", "class_id"), "class_id").select(
+        "sample_id", "class_id", "split_name", "source", "links", F.col("best.a").alias("best_class"), F.round(-F.col("best.less"), 6).alias("coverage")
+    )

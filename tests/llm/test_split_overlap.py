@@ -1,8 +1,11 @@
 from itertools import product
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 
 from codectx.llm import split_overlap as so
+from codectx.llm import tokens
 
 SCHEMA = "sample_id long, split_name string, source string, left_context string, target string, file_path string, text string, class_id long"
 
@@ -72,15 +75,61 @@ def test_a_very_long_text(spark):
 
 
 def test_windows_that_two_texts_share_give_a_common_fingerprint():
-    known = so.TokenHashes()
-    sketch = np.random.default_rng(1).integers(0, 9, 1 << so.SKETCH_BITS)
+    rank = np.random.default_rng(1).integers(0, 9, 1 << so.SKETCH_BITS)
     shared = [f"s{i}" for i in range(so.RUN + so.WINDOW - 1)]
     for seed in range(40):
         rng = np.random.default_rng(seed)
         noise = lambda n: [f"n{rng.integers(1 << 40)}" for _ in range(n)]  # noqa: B023,E731
-        a, b = noise(40) + shared + noise(30), noise(35) + shared + noise(50)
-        fps = [set(r[so.select(r, sketch)].tolist()) for r in (so.run_hashes(so.token_hashes(" ".join(x), known)) for x in (a, b))]
-        assert fps[0] & fps[1]
+        texts = [" ".join(x) for x in (noise(40) + shared + noise(30), noise(35) + shared + noise(50))]
+        runs, ends = so.run_hashes(*so.token_hashes(texts), so.RUN)
+        chosen = so.selected(runs, ends, rank)
+        assert set(runs[: ends[0]][chosen[: ends[0]]].tolist()) & set(runs[ends[0] :][chosen[ends[0] :]].tolist())
+
+
+@given(st.lists(st.sampled_from(["", " ", None, "a B c_1 d e", "a b c_1 d e f g", "\u212a x y z", "na\u00efve " * 3, "x" * 70, "p q r s " * 9]), max_size=6))
+def test_hashes_over_many_texts_are_those_of_each(texts):
+    h, ends = so.token_hashes(texts)
+    words = [so.TOKEN.findall((x or "").lower()) for x in texts]
+    assert np.diff(ends, prepend=0).tolist() == [len(w) for w in words]
+    name = dict(zip(h.tolist(), [w for x in words for w in x]))
+    assert [name[x] for x in h.tolist()] == [w for x in words for w in x]
+    runs, run_ends = so.run_hashes(h, ends, so.RUN)
+    grams = [tuple(w[k : k + so.RUN]) for w in words for k in range(len(w) - so.RUN + 1)]
+    assert len(grams) == len(runs) == (run_ends[-1] if len(texts) else 0) and len(set(grams)) == len(set(runs.tolist()))
+
+
+def test_pieces_of_a_long_text_are_cut_between_tokens(monkeypatch):
+    text = " ".join(f"w{i}" * (1 + i % 9) for i in range(3000))
+    whole = so.token_hashes([text, "end"])
+    monkeypatch.setattr(tokens, "PIECE", 64)
+    cut = so.token_hashes([text, "end"])
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+@given(st.sets(st.integers(0, 300), min_size=1), st.sets(st.integers(0, 300), min_size=1))
+def test_signatures_bound_what_is_shared(x, y):
+    runs = [np.array(sorted(s), np.uint64) * tokens.MIX for s in (x, y)]
+    marks = so.signatures(np.concatenate(runs), np.repeat([0, 1], [len(x), len(y)]), 2)
+    apart = sum(int(a ^ b).bit_count() if a ^ b >= 0 else int((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() for a, b in zip(*marks.tolist()))
+    assert 2 * len(x & y) <= len(x) + len(y) - apart
+
+
+def test_a_hot_fingerprint_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(so, "PART", 2)
+    common = words("hot", 40)
+    rows = [(k, "train" if k % 3 else "test", "s", f"{common} tail{k} more{k}", "t") for k in range(60)]
+    sketch = np.zeros(1 << so.SKETCH_BITS, np.int64)
+    sketch[5] = 60
+    assert so.ranks_and_parts(sketch)[1][5] == 30
+    assert found(spark, rows) == brute(rows)
+
+
+def test_coverage_of_each_record(spark):
+    base = words("a", 80)
+    rows = [(1, "train", "s", base, "t"), (2, "train", "s", base, "t"), (3, "test", "s", base, "t"), (4, "valid", "q", base + " one two three", "t"), (5, "test", "s", words("z", 50), "t")]
+    got = {r.sample_id: (r.links, r.best_class, r.coverage) for r in so.overlap_coverage(frame(spark, rows)).collect()}
+    assert got[3] == (2, 1, 1.0) and got[4][:2] == (2, 1) and 0.9 < got[4][2] < 1 and set(got) == {3, 4}
+    assert so.overlap_coverage(frame(spark, [])).collect() == []
 
 
 def test_chain_is_collinear_and_extension_crosses_substitutions():
