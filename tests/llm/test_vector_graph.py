@@ -69,3 +69,35 @@ def test_scaled_copies_tie_and_go_by_id(spark):
     copies = [i for i, _ in v if i < 1000] + [1007]
     assert {i: [o for _, o in sorted(got[i])] for i in copies} == {i: want[i] for i in copies}
     assert all(len(x) == 5 for x in got.values()) and len(got) == 210
+
+
+def test_cells_that_get_too_large_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(vg, "FANOUT", 8)
+    monkeypatch.setattr(vg, "MOST", 2)
+    monkeypatch.setattr(vg, "SLICE", 700)
+    monkeypatch.setattr(vg, "CELL_SAMPLE", 300)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([c + 0.3 * rng.normal(size=(n, 16)) for c, n in zip(centres, [2500, 300, 200, 100, 50, 50])]).astype(np.float32)
+    classes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "class_id long, vec array<float>")
+    cells = vg.in_cells(classes, vg.unit(x[::4]), len(x), 16, 150, 300).groupBy("cell", "slice").count().collect()
+    assert max(r["count"] for r in cells) <= 300 and sum(r["count"] for r in cells) >= vg.CELLS_EACH * len(x)
+    got = {tuple(r) for r in vg.nearest_vectors(classes.withColumnRenamed("class_id", "vec_id"), cell_rows=150).select("vec_id", "other").collect()}
+    u = vg.unit(x)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
+    assert len(got & want) / len(want) >= 0.9 and len({i for i, _ in got}) == len(x)
+
+
+def test_vectors_that_cannot_be_told_apart_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(vg, "LEVELS", 1)
+    v = [(i, [1.0, 1.0 + 1e-7 * i]) for i in range(400)]
+    classes = spark.createDataFrame(v, "class_id long, vec array<double>")
+    cells = vg.in_cells(classes, vg.unit(np.array([x for _, x in v])), 400, 2, 20, 40).groupBy("cell", "slice").agg({"class_id": "count"}).collect()
+    assert max(r[2] for r in cells) <= 60
+
+
+def test_lengths_are_collections_of_their_own(spark):
+    v = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [1.0])]
+    assert {(r.vec_id, r.other) for r in vg.nearest_vectors(frame(spark, v)).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
