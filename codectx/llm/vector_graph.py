@@ -22,14 +22,17 @@ from codectx.llm.common import written
 
 NEAREST = 5
 #: Classes that are meant to be in a cell, cells that a class is in, and how many times CELL_ROWS a cell may have before it is split again.
-CELL_ROWS, CELLS_EACH, MOST = 3000, 2, 8
+CELL_ROWS, CELLS_EACH, MOST = 1500, 3, 8
 #: Rows that the first cells are fitted to, those that a cell is split by, and the least of these for a cell below; cells below one cell; rounds of splitting.
-SAMPLE, CELL_SAMPLE, LEAST_LEAF, FANOUT, CELL_BITS, LEVELS = 20_000, 8_000, 4, 1_000, 11, 5
+SAMPLE, CELL_SAMPLE, LEAST_LEAF, FANOUT, CELL_BITS, LEVELS = 20_000, 8_000, 4, 400, 11, 5
 #: Rows of a cell that one task places in the cells below.
 SLICE = 50_000
 #: Steps of a unit vector's elements that tell directions apart, and classes of one direction that are indexed.
 STEP, ALIKE = 1e-5, 24
-DEGREE, BEAM, RELAX, EXPAND = 24, 40, 1.2, 4
+#: A vector is in a further cell only if that cell's centre is no more than so many times as far as the nearest one.
+MARGIN = 1.1
+#: Edges of a node, beam of a search that proposes them and of one that answers, nodes expanded at once, nodes that searches begin at.
+DEGREE, BEAM, WIDE, RELAX, EXPAND, ENTRIES = 24, 24, 40, 1.1, 4, 32
 BATCH = 512
 
 
@@ -166,7 +169,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BEAM, relax: f
     near = order[:first]
     s = x[near] @ x[near].T
     graph[near] = prune(x, near, np.broadcast_to(near, (first, first)).copy(), s, degree, relax)
-    entries = near[:8]
+    entries = near[:ENTRIES]
     at, size = first, first
     while at < n:
         batch = order[at : at + min(size, BATCH)]
@@ -208,7 +211,7 @@ def _reverse(x: np.ndarray, graph: np.ndarray, batch: np.ndarray, degree: int, r
             graph[part[~few]] = prune(x, part[~few], ids[~few], sims[~few], degree, relax)
 
 
-def search_cell(x: np.ndarray, want: int, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def search_cell(x: np.ndarray, want: int, width: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities) of the ``want`` nodes nearest to each row of a cell, itself left out. Each search begins at the row's own node."""
     n = len(x)
     if n <= 2 * width:  # the graph would be complete
@@ -229,14 +232,11 @@ def search_cell(x: np.ndarray, want: int, width: int = BEAM) -> tuple[np.ndarray
 
 
 def prepared(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, h1, h2, d0, d1, vec) of the usable vectors of ``dim`` elements: null, non-finite and all-zero ones are left out.
+    """(vec_id, h1, h2, d0, d1) of the usable vectors of ``dim`` elements: null, non-finite and all-zero ones are left out.
 
     h1 and h2 are hashes of the elements; d0 and d1 hashes of the direction on two grids, of which one is shifted, as copies of a
-    scaled vector may lie on both sides of a line. vec keeps 32-bit elements where the table has them, else they are 64-bit.
+    scaled vector may lie on both sides of a line.
     """
-    element = vectors.schema["vec"].dataType.elementType
-    kind = "float" if isinstance(element, T.FloatType) else "double"
-    at_hand, width = (pa.float32(), np.float32) if kind == "float" else (pa.float64(), np.float64)
     rng = np.random.default_rng(dim)
     weights = rng.integers(1, 1 << 63, (4, dim), dtype=np.uint64) | np.uint64(1)
 
@@ -252,10 +252,9 @@ def prepared(vectors: DataFrame, dim: int) -> DataFrame:
             x, keys = x[good] + 0.0, b.column("vec_id").filter(pa.array(good))
             unit = x / np.linalg.norm(x, axis=1, keepdims=True) / STEP
             h = [hashed(x.view(np.uint64), k) for k in (0, 1)] + [hashed(np.floor(unit + by).astype(np.int64).view(np.uint64), k) for k, by in ((2, 0.25), (3, 0.75))]
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.astype(width).ravel(), at_hand))
-            yield pa.RecordBatch.from_arrays([keys, *map(pa.array, h), vec], names=["vec_id", "h1", "h2", "d0", "d1", "vec"])
+            yield pa.RecordBatch.from_arrays([keys, *map(pa.array, h)], names=["vec_id", "h1", "h2", "d0", "d1"])
 
-    return vectors.filter(F.size("vec") == dim).select("vec_id", "vec").mapInArrow(run, f"vec_id long, h1 long, h2 long, d0 long, d1 long, vec array<{kind}>")
+    return vectors.filter(F.size("vec") == dim).select("vec_id", "vec").mapInArrow(run, "vec_id long, h1 long, h2 long, d0 long, d1 long")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -265,11 +264,13 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def placed_rows(b: pa.RecordBatch | pa.Table, centres: np.ndarray, rank: np.ndarray, cell: np.ndarray) -> pa.Table:
-    """Rows (class_id, cell, slice, rank, vec) of vectors in the cells below theirs: the nearest one, and for those of rank 0 the next ones up to CELLS_EACH."""
-    x = matrix(b.column("vec"), centres.shape[1]).astype(np.float32)
+    """Rows (class_id, cell, slice, rank, vec) of vectors in the cells below theirs: the nearest one, and for those of rank 0 the next ones up to CELLS_EACH that are hardly farther."""
+    x = unit(matrix(b.column("vec"), centres.shape[1]))
     each = min(CELLS_EACH, len(centres))
-    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :each]
-    keep = np.arange(each)[None, :] < np.maximum(CELLS_EACH - rank, 1)[:, None]
+    sims = x @ centres.T
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :each]
+    far = 1 - np.take_along_axis(sims, near, 1)
+    keep = (np.arange(each)[None, :] < np.maximum(CELLS_EACH - rank, 1)[:, None]) & (far <= MARGIN * far[:, :1] + 1e-6)
     at, place = np.nonzero(keep)
     out = (cell[at] << CELL_BITS) | near[at, place]
     take = pa.array(at)
@@ -389,8 +390,7 @@ def nearest_vectors(vectors: DataFrame, k: int = NEAREST, cell_rows: int = CELL_
 
 def _of_length(vectors: DataFrame, k: int, cell_rows: int, dim: int) -> DataFrame:
     spark = vectors.sparkSession
-    rows = prepared(vectors, dim)
-    narrow = written(rows.drop("vec"))
+    narrow = written(prepared(vectors, dim))
     ids = narrow.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"))
     members = written(narrow.join(ids, ["h1", "h2"]).select("class_id", "vec_id", "d0", "d1"))
     classes = members.filter("class_id = vec_id").select("class_id", "d0", "d1")
@@ -399,7 +399,8 @@ def _of_length(vectors: DataFrame, k: int, cell_rows: int, dim: int) -> DataFram
     n = leading.count()
     if n == 0:
         return spark.createDataFrame([], "vec_id long, rank int, other long, cos double")
-    full = rows.select(F.col("vec_id").alias("class_id"), "vec")
+    kind = "float" if isinstance(vectors.schema["vec"].dataType.elementType, T.FloatType) else "double"  # 32-bit elements stay so
+    full = vectors.select(F.col("vec_id").alias("class_id"), F.col("vec").cast(f"array<{kind}>").alias("vec"))
     some = full.join(F.broadcast(leading.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE)), "class_id", "left_semi").orderBy("class_id").toArrow()
     sample = unit(matrix(some["vec"], dim))
     near = nearest_classes(full.join(leading, "class_id", "left_semi"), sample, n, k, dim, cell_rows).unionByName(of_one_direction(classes, full, k))
