@@ -29,8 +29,8 @@ SAMPLE, CELL_SAMPLE, LEAST_LEAF, FANOUT, CELL_BITS, LEVELS = 20_000, 8_000, 4, 4
 SLICE = 50_000
 #: Steps of a unit vector's elements that tell directions apart, and classes of one direction that are indexed.
 STEP, ALIKE = 1e-5, 24
-#: A vector is in a further cell only if that cell's centre is no more than so many times as far as the nearest one.
-MARGIN = 1.1
+#: Cells that a vector is in on the average: those near a border are in the further ones, by a margin that a sample tells.
+COPIES = 1.8
 #: Edges of a node, beam of a search that proposes them and of one that answers, nodes expanded at once, nodes that searches begin at.
 DEGREE, BEAM, WIDE, RELAX, EXPAND, ENTRIES = 24, 24, 40, 1.1, 4, 32
 BATCH = 512
@@ -263,14 +263,21 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def placed_rows(b: pa.RecordBatch | pa.Table, centres: np.ndarray, rank: np.ndarray, cell: np.ndarray) -> pa.Table:
-    """Rows (class_id, cell, slice, rank, vec) of vectors in the cells below theirs: the nearest one, and for those of rank 0 the next ones up to CELLS_EACH that are hardly farther."""
+def margin_of(sample: np.ndarray, centres: np.ndarray) -> float:
+    """How many times as far as its nearest centre another one may be for a vector to be in that cell too, so that vectors are in COPIES cells on the average."""
+    far = np.sort(1 - sample @ centres.T, axis=1)[:, :CELLS_EACH]
+    ratios = np.sort((far[:, 1:] / np.maximum(far[:, :1], 1e-6)).ravel())
+    return float(ratios[min(len(ratios) - 1, int((COPIES - 1) * len(far)))]) if len(ratios) else 1.0
+
+
+def placed_rows(b: pa.RecordBatch | pa.Table, centres: np.ndarray, margin: float, rank: np.ndarray, cell: np.ndarray) -> pa.Table:
+    """Rows (class_id, cell, slice, rank, vec) of vectors in the cells below theirs: the nearest one, and for those of rank 0 the next ones up to CELLS_EACH that aren't farther by the margin."""
     x = unit(matrix(b.column("vec"), centres.shape[1]))
     each = min(CELLS_EACH, len(centres))
     sims = x @ centres.T
     near = np.argsort(-sims, axis=1, kind="stable")[:, :each]
     far = 1 - np.take_along_axis(sims, near, 1)
-    keep = (np.arange(each)[None, :] < np.maximum(CELLS_EACH - rank, 1)[:, None]) & (far <= MARGIN * far[:, :1] + 1e-6)
+    keep = (np.arange(each)[None, :] < np.maximum(CELLS_EACH - rank, 1)[:, None]) & ((far <= margin * np.maximum(far[:, :1], 1e-6)) | (np.arange(each)[None, :] == 0))
     at, place = np.nonzero(keep)
     out = (cell[at] << CELL_BITS) | near[at, place]
     take = pa.array(at)
@@ -288,23 +295,24 @@ def in_cells(classes: DataFrame, sample: np.ndarray, n: int, dim: int, cell_rows
     kind = classes.schema["vec"].dataType.elementType.simpleString()
     schema = f"class_id long, cell long, slice int, rank byte, vec array<{kind}>"
     spark = classes.sparkSession
-    centres = spark.sparkContext.broadcast(fit_cells(sample, int(min(FANOUT, max(1, -(-n // cell_rows))))))
+    top = fit_cells(sample, int(min(FANOUT, max(1, -(-n // cell_rows)))))
+    centres = spark.sparkContext.broadcast((top, margin_of(sample, top)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = b.num_rows
-            yield from placed_rows(b, centres.value, np.zeros(m, np.int8), np.ones(m, np.int64)).to_batches()
+            yield from placed_rows(b, *centres.value, np.zeros(m, np.int8), np.ones(m, np.int64)).to_batches()
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        rows = t.column("n")[0].as_py() // CELLS_EACH
-        c = fit_cells(unit(matrix(t.column("vec"), dim)), int(min(FANOUT, max(2, -(-rows // cell_rows)))))
-        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "n": t.column("n").slice(0, 1), "centres": pa.array([c.ravel()], pa.list_(pa.float32()))})
+        rows, x = t.column("n")[0].as_py() / COPIES, unit(matrix(t.column("vec"), dim))
+        c = fit_cells(x, int(min(FANOUT, max(2, -(-rows // cell_rows)))))
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "n": t.column("n").slice(0, 1), "margin": pa.array([margin_of(x, c)]), "centres": pa.array([c.ravel()], pa.list_(pa.float32()))})
 
     def below(key: tuple, t: pa.Table, split: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"class_id": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "slice": pa.array([], pa.int32()), "rank": pa.array([], pa.int8()), "vec": t.column("vec")})
         c = matrix(split.column("centres"), dim).astype(np.float32)
-        return placed_rows(t, c, t.column("rank").to_numpy(), t.column("cell").to_numpy())
+        return placed_rows(t, c, split.column("margin")[0].as_py(), t.column("rank").to_numpy(), t.column("cell").to_numpy())
 
     current, done = written(classes.select("class_id", "vec").mapInArrow(first, schema)), []
     for level in range(LEVELS + 1):
@@ -319,9 +327,9 @@ def in_cells(classes: DataFrame, sample: np.ndarray, n: int, dim: int, cell_rows
             break
         order = F.xxhash64(F.lit(3), "class_id")
         some = over.filter(F.pmod(order, F.col("n")) < 2 * CELL_SAMPLE).withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy(order, "class_id")))
-        splits = written(some.filter(F.col("place") <= CELL_SAMPLE).select("cell", "n", "vec").groupBy("cell").applyInArrow(fit, "cell long, n long, centres array<float>"))
+        splits = written(some.filter(F.col("place") <= CELL_SAMPLE).select("cell", "n", "vec").groupBy("cell").applyInArrow(fit, "cell long, n long, margin double, centres array<float>"))
         dealt = over.withColumn("slice", part).select("class_id", "cell", "slice", "rank", "vec").groupBy("cell", "slice")
-        each = splits.select("cell", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / SLICE) - 1).cast("int"))).alias("slice"), "centres").groupBy("cell", "slice")
+        each = splits.select("cell", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / SLICE) - 1).cast("int"))).alias("slice"), "margin", "centres").groupBy("cell", "slice")
         current = written(dealt.cogroup(each).applyInArrow(below, schema))
     for x in done:
         current = current.unionByName(x)
@@ -354,14 +362,16 @@ def nearest_classes(classes: DataFrame, sample: np.ndarray, n: int, k: int, dim:
     return cells.select("cell", "slice", "class_id", "vec").groupBy("cell", "slice").applyInArrow(search, "class_id long, other long, cos double")
 
 
-def of_one_direction(classes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(class_id, other, cos): for each class (class_id, d0, d1) the k + 1 first other classes of its direction, whose cosines tie; cos exact, rounded to 12 decimals. vectors: class_id, vec."""
+def of_one_direction(classes: DataFrame, vectors: DataFrame, k: int) -> DataFrame | None:
+    """None if no two classes are of one direction, else (class_id, other, cos): for each class (class_id, d0, d1) the k + 1 first other classes of its direction, whose cosines tie; cos exact, rounded to 12 decimals. vectors: class_id, vec."""
     pairs = []
     for d in ("d0", "d1"):
         heads = classes.select("class_id", d).withColumn("place", F.row_number().over(Window.partitionBy(d).orderBy("class_id"))).filter(F.col("place") <= k + 2)
         several = heads.groupBy(d).agg(F.sort_array(F.collect_list("class_id")).alias("heads")).filter(F.size("heads") > 1)  # k + 2 of them at most
         pairs.append(classes.select("class_id", d).join(several, d).select("class_id", F.explode("heads").alias("other")))
     both = written(pairs[0].unionByName(pairs[1]).filter("class_id <> other").distinct())
+    if not both.head(1):
+        return None
     wide = both.join(vectors, "class_id").join(vectors.select(F.col("class_id").alias("other"), F.col("vec").alias("to")), "other")
 
     def dot(a: str, b: str) -> Column:
@@ -403,7 +413,9 @@ def _of_length(vectors: DataFrame, k: int, cell_rows: int, dim: int) -> DataFram
     full = vectors.select(F.col("vec_id").alias("class_id"), F.col("vec").cast(f"array<{kind}>").alias("vec"))
     some = full.join(F.broadcast(leading.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE)), "class_id", "left_semi").orderBy("class_id").toArrow()
     sample = unit(matrix(some["vec"], dim))
-    near = nearest_classes(full.join(leading, "class_id", "left_semi"), sample, n, k, dim, cell_rows).unionByName(of_one_direction(classes, full, k))
+    near = nearest_classes(full.join(leading, "class_id", "left_semi"), sample, n, k, dim, cell_rows)
+    if (ties := of_one_direction(classes, full, k)) is not None:
+        near = near.unionByName(ties)
     by_class = Window.partitionBy("class_id").orderBy(F.desc("cos"), "other")
     best = near.repartition("class_id").groupBy("class_id", "other").agg(F.max("cos").alias("cos")).withColumn("place", F.row_number().over(by_class)).filter(F.col("place") <= k + 1)
     first = members.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("vec_id"))).filter(F.col("place") <= k + 1)

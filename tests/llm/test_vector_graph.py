@@ -77,12 +77,12 @@ def test_cells_that_get_too_large_are_split_again(spark, monkeypatch):
     monkeypatch.setattr(vg, "SLICE", 700)
     monkeypatch.setattr(vg, "CELL_SAMPLE", 300)
     rng = np.random.default_rng(9)
-    centres = rng.normal(size=(6, 16))
-    x = np.concatenate([c + 0.3 * rng.normal(size=(n, 16)) for c, n in zip(centres, [2500, 300, 200, 100, 50, 50])]).astype(np.float32)
+    centres = rng.normal(size=(6, 8))
+    x = np.concatenate([c + 0.3 * rng.normal(size=(n, 8)) for c, n in zip(centres, [2500, 300, 200, 100, 50, 50])]).astype(np.float32)
     classes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "class_id long, vec array<float>")
-    cells = vg.in_cells(classes, vg.unit(x[::4]), len(x), 16, 150, 300).groupBy("cell", "slice").count().collect()
+    cells = vg.in_cells(classes, vg.unit(x[::4]), len(x), 8, 150, 300).groupBy("cell", "slice").count().collect()
     assert max(r["count"] for r in cells) <= 300 and sum(r["count"] for r in cells) >= len(x)
-    got = {tuple(r) for r in vg.nearest_vectors(classes.withColumnRenamed("class_id", "vec_id"), cell_rows=300).select("vec_id", "other").collect()}
+    got = {tuple(r) for r in vg.nearest_vectors(classes.withColumnRenamed("class_id", "vec_id"), cell_rows=150).select("vec_id", "other").collect()}
     u = vg.unit(x)
     s = u @ u.T
     np.fill_diagonal(s, -1)
