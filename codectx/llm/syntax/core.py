@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
+#: Calls within calls that a parser may make: some 100,000 levels of nesting, for which it takes less than 200 MB (calls among Python functions don't use
+#: the process's stack). Go's compiler refuses more than 100,000 levels by itself, those of JavaScript and Java overflow far earlier. Fixed value.
+MOST_CALLS = 1_000_000
 
 #: How many ends stand behind the last token, so that parsers may look ahead anywhere.
 LOOK = 8
@@ -49,3 +55,17 @@ class Parser:
             elif kind in closing:
                 depth = max(0, depth - 1)
             self.i += 1
+
+
+def deep(parse: Callable[[str], list[Wrong]]) -> Callable[[str], list[Wrong]]:
+    """``parse`` with room for texts as deeply nested as MOST_CALLS allows; deeper ones are invalid, 'nested too deeply'."""
+
+    def parse_deep(text: str) -> list[Wrong]:
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, MOST_CALLS))
+        try:
+            return parse(text)
+        finally:
+            sys.setrecursionlimit(before)
+
+    return parse_deep

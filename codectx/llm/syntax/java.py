@@ -820,6 +820,32 @@ class Java(Parser):
             while self.take(","):
                 self.type()
 
+    def module_ahead(self) -> bool:
+        """Whether the declaration of a module stands here."""
+        k = 1 if self.is_word("open") else 0
+        return self.is_word("module", k) and self.k[self.i + k + 1] == "N" and self.k[self.i + k + 2] in (".", "{")
+
+    def module(self) -> None:
+        self.i += 2 if self.is_word("open") else 1
+        self.dotted()
+        self.need("{")
+        while not self.take("}"):
+            word = next((w for w in ("requires", "exports", "opens", "uses", "provides") if self.is_word(w)), "")
+            if not word:
+                self.fail("expected a directive of a module")
+            self.i += 1
+            while word == "requires" and (self.k[self.i] == "static" or self.is_word("transitive") and self.k[self.i + 1] in ("N", "static")):
+                self.i += 1
+            self.dotted()
+            if word in ("exports", "opens") and self.is_word("to") or word == "provides":
+                if not self.is_word("to" if word != "provides" else "with"):
+                    self.fail("expected 'with'")
+                self.i += 1
+                self.dotted()
+                while self.take(","):
+                    self.dotted()
+            self.need(";")
+
     def file(self) -> list[Wrong]:
         try:
             start = self.i
@@ -832,12 +858,15 @@ class Java(Parser):
                 self.need(";")
         except Wrong as w:
             self.errors.append(w)
+        loose, main = None, False  # members outside of any type make a class of their own if 'main' is among them
         while self.k[self.i]:
             start = self.i
             try:
                 if self.take(";"):
                     continue
-                if self.take("import"):
+                if self.module_ahead():
+                    self.module()
+                elif self.take("import"):
                     self.take("static")
                     if self.is_word("module") and self.k[self.i + 1] == "N":
                         self.i += 1
@@ -845,8 +874,18 @@ class Java(Parser):
                     if self.take("."):
                         self.need("*")
                     self.need(";")
-                else:
+                elif self.type_declaration_ahead():
                     self.type_declaration()
+                else:
+                    self.modifiers()
+                    declared = self.type_declaration_ahead()
+                    self.i = start
+                    if declared or self.k[start] == "}":
+                        self.type_declaration()
+                    else:
+                        self.member()
+                        loose = start if loose is None else loose
+                        main = main or any(self.is_word("main", k - self.i) and self.k[k + 1] == "(" for k in range(start, self.i))
             except Wrong as w:
                 self.errors.append(w)
                 self.i = max(self.i, start + 1)
@@ -855,6 +894,8 @@ class Java(Parser):
             except RecursionError:
                 self.errors.append(Wrong(0, "nested too deeply"))
                 break
+        if loose is not None and not main:
+            self.errors.append(Wrong(self.at[loose], "a member outside of any type"))
         return sorted(self.errors, key=lambda w: w.at)
 
 

@@ -868,11 +868,19 @@ class Script(Parser):
             if word == "using" and after == "N" and not self.nl[self.i + 1]:
                 self.declaration()
                 return
+            if self.await_using():
+                self.i += 1
+                self.declaration()
+                return
             if self.ts and not self.nl[self.i + 1] and self.ts_statement(word, after):
                 return
         self.expression()
         self.semicolon()
 
+    def await_using(self) -> bool:
+        """Whether a declaration 'await using x' stands here."""
+        return self.is_word("await") and self.is_word("using", 1) and self.k[self.i + 2] == "N" and not self.nl[self.i + 1] and not self.nl[self.i + 2]
+
     def ts_statement(self, word: str, after: str) -> bool:
         if word == "type" and after == "N" and self.k[self.i + 2] in ("=", "<"):
             self.i += 2
@@ -972,6 +980,8 @@ class Script(Parser):
         kind = ""
         if self.k[self.i] != ";":
             self.no_in = True
+            if self.await_using() and not self.is_word("of", 2):
+                self.i += 1
             if self.k[self.i] in ("var", "const") or self.is_word("let") and self.k[self.i + 1] in ("N", "[", "{") or self.is_word("using") and self.k[self.i + 1] == "N" and not self.is_word("of", 1):
                 self.i += 1
                 self.variables()

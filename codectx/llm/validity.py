@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +18,6 @@ OUT = "origin string, record_id long, file_path string, repo string, language st
 def check(path: str, text: str) -> tuple[str, list[tuple[int, str]]] | None:
     """(language, [(line, cause), ...]) of a text, None if its extension isn't judged.
 
-    Python's own compiler may overrule an error that the parser reports, never the other way round.
-
     >>> check("a.py", "x = (1")[1][0][0], check("a.txt", "x")
     (1, None)
     """
@@ -30,14 +26,6 @@ def check(path: str, text: str) -> tuple[str, list[tuple[int, str]]] | None:
         return None
     name, parse = language
     errors = parse(text)
-    if errors and name == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            errors = []
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
     return name, [(text.count("\n", 0, min(e.at, len(text))) + 1, e.why) for e in errors]
 
 

@@ -35,6 +35,30 @@ def test_invalid(ext, text):
     assert PARSERS[ext][1](text)
 
 
+def nested(n):
+    o, c = "(" * n, ")" * n
+    return {
+        "js": [f"x = {o}1{c};", "{" * n + "}" * n, "x = " + "[" * n + "]" * n, "(a => " * n + "1" + c],
+        "ts": ["let x: " + "A<" * n + "B" + " >" * n + " = 1;", "type X = " + "{a: " * n + "B" + "}" * n],
+        "java": [f"class A {{ int x = {o}1{c}; }}", "class A { void f() " + "{" * n + "}" * n + " }", "class A {" * n + "}" * n],
+        "go": [f"package x\nvar y = {o}1{c}\n", "package x\nfunc f() " + "{" * n + "}" * n + "\n"],
+    }
+
+
+@pytest.mark.parametrize("ext", ["js", "ts", "java", "go"])
+def test_deep_nesting_is_valid_and_a_truncated_text_is_not(ext):
+    for text in nested(5000)[ext]:
+        assert PARSERS[ext][1](text) == [] and PARSERS[ext][1](text[: len(text) * 2 // 3])
+
+
+def test_modules_and_files_that_are_a_class():
+    java = PARSERS["java"][1]
+    assert java("/** x */\n@Deprecated open module a.b { requires transitive java.base; requires static c; exports d.e to f, g; opens h; uses i.J; provides k.L with m.N, o.P; }") == []
+    assert java("module a { requires; }") and java("module a { exports b to; }") and java("module a {")
+    assert java("import a.B;\nvoid main() { f(1); }\nint f(int x) { return x; }\nrecord R(int a) {}\n") == []
+    assert java("int f(int x) { return x; }\n") and java("void main() { } }")
+
+
 def compiles(text):
     try:
         with warnings.catch_warnings():
