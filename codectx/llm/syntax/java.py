@@ -864,6 +864,10 @@ class Java(Parser):
             try:
                 if self.take(";"):
                     continue
+                if self.k[self.i] == "@" and self.k[self.i + 1] != "interface":
+                    self.annotations()
+                    if not self.module_ahead():
+                        self.i = start
                 if self.module_ahead():
                     self.module()
                 elif self.take("import"):

@@ -8,6 +8,8 @@ from keyword import kwlist
 from codectx.llm.syntax.core import LOOK, Parser, Wrong
 
 KEYWORDS = frozenset(kwlist)
+#: Open brackets and indentations (with the one of no columns) that Python itself allows. Fixed values.
+MOST_BRACKETS, MOST_INDENTS = 200, 100
 NEWLINE, INDENT, DEDENT = "newline", "indent", "dedent"
 #: Everything but strings that need their end looked for, and line starts.
 TOKEN = re.compile(
@@ -144,6 +146,8 @@ def lex(text: str, errors: list[Wrong], shift: int = 0, inside: bool = False) ->
                 if a <= alt[-1]:
                     errors.append(Wrong(shift + at, "inconsistent tabs and spaces"))
                 indents.append(col), alt.append(a)
+                if len(indents) == MOST_INDENTS + 1:
+                    errors.append(Wrong(shift + at, "too many levels of indentation"))
                 kinds.append(INDENT), starts.append(shift + at)
             else:
                 while col < indents[-1]:
@@ -199,6 +203,8 @@ def lex(text: str, errors: list[Wrong], shift: int = 0, inside: bool = False) ->
         elif kind == "op":
             c = m.group()
             if c in PAIRS:
+                if len(stack) == MOST_BRACKETS:
+                    errors.append(Wrong(shift + m.start(), "too many nested parentheses"))
                 stack.append(c)
             elif c in CLOSERS:
                 if len(stack) > base and PAIRS[stack[-1]] == c:

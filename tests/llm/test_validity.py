@@ -51,6 +51,12 @@ def test_deep_nesting_is_valid_and_a_truncated_text_is_not(ext):
         assert PARSERS[ext][1](text) == [] and PARSERS[ext][1](text[: len(text) * 2 // 3])
 
 
+@pytest.mark.parametrize("n", [98, 99, 100, 101, 199, 200, 201, 300])
+def test_python_has_limits_of_its_own(n):
+    for text in ("x = " + "(" * n + "1" + ")" * n + "\n", "".join(" " * k + "if x:\n" for k in range(n)) + " " * n + "y\n"):
+        assert bool(PARSERS["py"][1](text)) != compiles(text)
+
+
 def test_modules_and_files_that_are_a_class():
     java = PARSERS["java"][1]
     assert java("/** x */\n@Deprecated open module a.b { requires transitive java.base; requires static c; exports d.e to f, g; opens h; uses i.J; provides k.L with m.N, o.P; }") == []
