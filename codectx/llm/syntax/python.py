@@ -874,8 +874,6 @@ class Python(Parser):
                     kind = "x"
                 else:
                     kind = self.expressions()
-            if kind == "*":
-                raise Wrong(self.at[start], "a starred expression can't stand alone")
         elif k in AUGMENTED:
             if kind not in ("n", "a", "s"):
                 raise Wrong(self.at[start], "no target of an augmented assignment")
@@ -894,8 +892,6 @@ class Python(Parser):
                     self.yielded()
                 else:
                     self.expressions()
-        elif kind == "*":
-            raise Wrong(self.at[start], "a starred expression can't stand alone")
 
     def if_statement(self) -> None:
         self.i += 1
