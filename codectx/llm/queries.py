@@ -98,12 +98,22 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), F.round(F.max("covered"), 6).alias("largest_share"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: one row for each use of a document, with the share its source was to have and the one it has reached."""
+    return mixing.copies(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+def p9_words_mix(spark: SparkSession, d: str) -> DataFrame:
+    """p9_mix with words for tokens, which SQL can count."""
+    return mixing.copies(*mixing.mix_counts(mixing.word_counts(table(spark, d, "documents")), table(spark, d, "mix_targets")))
+
+
+def p9_words_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_counts(mixing.word_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,11 +125,31 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_mix, p9_report, p9_words_mix, p9_words_report, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"
+SOURCE_KEY = r"regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g')"
+#: The mix by words: the level at which sources not clamped to their caps are filled is found by trying each prefix of clamped ones.
+MIX_SQL = f"""
+    WITH c AS (SELECT doc_id, {SOURCE_KEY} AS source, len({TOKENS.format("coalesce(text, '')")})::BIGINT AS tokens FROM documents),
+    w AS (SELECT {SOURCE_KEY} AS source, sum(coalesce(target_share, 0)) AS w, max(greatest(coalesce(max_repeats, 0), 0)) AS r FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+    b AS (SELECT w.source, w, r, coalesce(sum(tokens), 0)::BIGINT AS n FROM w LEFT JOIN c USING (source) GROUP BY ALL),
+    a AS (SELECT source, w, n, n * r::DOUBLE AS cap, n * r / w AS ratio FROM b WHERE w > 0 AND n * r > 0),
+    t AS (SELECT k.source AS k, ((SELECT sum(n) FROM a) - coalesce(sum(x.cap) FILTER (WHERE x.ratio < k.ratio), 0)) / sum(x.w) FILTER (WHERE x.ratio >= k.ratio) AS level, k.ratio FROM a k CROSS JOIN a x GROUP BY k.source, k.ratio),
+    l AS (SELECT coalesce(arg_min(level, ratio) FILTER (WHERE level < ratio), 0) AS level, count(*) FILTER (WHERE level < ratio) AS open FROM t),
+    s AS (SELECT b.source, b.w, b.r, b.n, round(coalesce(CASE WHEN t.level >= t.ratio THEN a.cap ELSE greatest(l.level, 0) * a.w END, 0), 3) AS wanted FROM b LEFT JOIN a USING (source) LEFT JOIN t ON t.k = b.source CROSS JOIN l),
+    p AS (SELECT *, floor(wanted / n)::INT AS whole, round(wanted - floor(wanted / n) * n, 3) AS part FROM s WHERE wanted > 0),
+    o AS (SELECT doc_id, source, tokens, whole, part, sum(tokens) OVER (PARTITION BY source ORDER BY ('0x' || substr(sha256('{mixing.SEED}|' || doc_id), 1, 13))::BIGINT, doc_id) - tokens AS run FROM c JOIN p USING (source) WHERE tokens > 0),
+    f AS (SELECT *, ('0x' || substr(sha256('{mixing.SEED}|' || doc_id), 1, 13))::BIGINT // {(1 << 52) // mixing.SLICES} AS slice FROM o),
+    e AS (SELECT source, max(slice) AS border FROM (SELECT source, slice, part, min(run) AS run FROM f GROUP BY ALL) WHERE run < part GROUP BY 1),
+    d AS (SELECT doc_id, source, tokens, whole + CASE WHEN slice < border THEN 1 WHEN slice = border AND run + tokens / 2 <= part THEN 1 ELSE 0 END AS repeats FROM f LEFT JOIN e USING (source)),
+    m AS (SELECT * FROM d WHERE repeats > 0), g AS (SELECT source, sum(tokens * repeats) AS drawn, max(repeats) AS most FROM m GROUP BY 1),
+    report AS (SELECT s.source, round(s.w, 9) AS target_share, round(coalesce(coalesce(drawn, 0) / nullif((SELECT sum(drawn) FROM g), 0), 0), 6)::DOUBLE AS reached_share, s.n AS tokens_available, coalesce(drawn, 0)::BIGINT AS tokens_drawn,
+        round(coalesce(coalesce(drawn, 0) / nullif(s.n, 0), 0), 6)::DOUBLE AS mean_repeats, coalesce(most, 0)::INT AS most_repeats, s.r::INT AS max_repeats FROM s LEFT JOIN g USING (source))"""
 ORACLES: dict[str, str] = {
+    "p9_words_report": f"{MIX_SQL} SELECT * FROM report",
+    "p9_words_mix": f"{MIX_SQL} SELECT doc_id, unnest(range(1, repeats + 1))::INT AS copy_no, source, tokens, target_share, reached_share FROM m JOIN report USING (source)",
     "p6_found": """
         SELECT chunk_key FROM code_chunks
         WHERE length(text) > 6000 OR length(text) - length(replace(text, chr(10), ''))

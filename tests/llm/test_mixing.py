@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codectx.llm import mixing as m
@@ -48,3 +48,23 @@ def test_empty(spark):
 def test_whole_texts_are_counted(spark):
     d = spark.createDataFrame([(1, "a", "x" * 200_000 + " <|endoftext|>", 0, 0)], DOCS)
     assert m.token_counts(d).first().tokens == len(m.encoding(m.VOCABULARY).encode_ordinary("x" * 200_000 + " <|endoftext|>"))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(0, 40), st.integers(0, 4)), min_size=1, max_size=6), st.floats(1, 500))
+def test_the_plan_is_where_filling_ends(spark, sources, total):
+    counts = spark.createDataFrame([(k, str(k), n) for k, (_, n, _) in enumerate(sources)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(str(k), w, r) for k, (w, _, r) in enumerate(sources)], "source string, target_share double, max_repeats int")
+    want = {s.source: s.wanted for s in m.fill([(str(k), w, n, r) for k, (w, n, r) in enumerate(sources)], total)}
+    got = {r.source: r.wanted for r in m.plan(counts, targets, total).collect()}
+    assert got == {k: pytest.approx(v, abs=0.002) for k, v in want.items()}
+
+
+def test_copies_are_the_uses(spark):
+    docs = [(i, "a" if i % 3 else "b", "word " * (3 + i % 5), 0, 0) for i in range(90)]
+    targets = [("a", 0.3, 1, 0), ("b", 0.7, 3, 0)]
+    drawn, report = m.mix_counts(m.word_counts(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(targets, TARGETS))
+    uses = m.copies(drawn, report).collect()
+    assert sorted((r.doc_id, r.copy_no) for r in uses) == sorted((r.doc_id, k) for r in drawn.collect() for k in range(1, r.repeats + 1))
+    reached = {r.source: r.reached_share for r in uses}
+    assert reached["b"] == pytest.approx(sum(r.tokens for r in uses if r.source == "b") / sum(r.tokens for r in uses), abs=1e-6)
