@@ -110,10 +110,11 @@ def plan(counts: DataFrame, targets: DataFrame, total: float | None = None) -> D
     have = counts.groupBy("source").agg(F.sum("tokens").alias("n"))
     every = wanted.join(have, "source", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("cap", (F.col("n") * F.col("r")).cast("double"))
     active = (F.col("w") > 0) & (F.col("cap") > 0)
-    order = Window.partitionBy("active").orderBy("ratio", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("active").orderBy("ratio", "source")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy("active")
     goal = F.sum("n").over(whole).cast("double") if total is None else F.lit(float(total))
-    level = F.try_divide(goal - (F.sum("cap").over(order) - F.col("cap")), F.sum("w").over(whole) - (F.sum("w").over(order) - F.col("w")))
+    level = F.try_divide(goal - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("w").over(behind))
     rows = every.withColumn("active", active).withColumn("ratio", F.when(active, F.try_divide("cap", "w"))).withColumn("level", level).withColumn("full", F.col("level") >= F.col("ratio"))
     first = F.min(F.when(~F.col("full"), F.struct("ratio", "source", "level"))).over(whole)["level"]
     take = F.when(~F.col("active"), 0.0).when(F.col("full"), F.col("cap")).otherwise(F.greatest(first, F.lit(0.0)) * F.col("w"))

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 
 from codectx.llm import mixing as m
@@ -50,7 +50,7 @@ def test_whole_texts_are_counted(spark):
     assert m.token_counts(d).first().tokens == len(m.encoding(m.VOCABULARY).encode_ordinary("x" * 200_000 + " <|endoftext|>"))
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, phases=[Phase.explicit, Phase.generate])
 @given(st.lists(st.tuples(st.floats(0, 1), st.integers(0, 40), st.integers(0, 4)), min_size=1, max_size=6), st.floats(1, 500))
 def test_the_plan_is_where_filling_ends(spark, sources, total):
     counts = spark.createDataFrame([(k, str(k), n) for k, (_, n, _) in enumerate(sources)], "doc_id long, source string, tokens long")
