@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return split_overlap.overlap_report(table(spark, d, "training_samples"))
+    return split_overlap.overlap_report(table(spark, d, "training_samples")).drop("mean_coverage")
 
 
 def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -92,10 +92,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_rows")).select("doc_id", "item_id")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each leak with its longest exact run and the share of the item in agreement."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_rows")).withColumn("covered", F.round("covered", 6))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """For each leaked item: documents that hold some of it, its longest run and largest share in any."""
+    """For each leaked item: documents that hold some of it."""
     hits = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_rows"))
-    return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), F.round(F.max("covered"), 6).alias("largest_share"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -125,10 +130,21 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_items, p9_mix, p9_report, p9_words_mix, p9_words_report, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_leaks, p8_items, p9_report, p9_mix, p9_words_mix, p9_words_report, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"
+SETS_SQL = """
+        WITH v AS (
+            SELECT DISTINCT chunk_key, unnest(list_concat(coalesce(defined_symbols, []), coalesce(used_symbols, []), coalesce(call_names, []))) AS x FROM code_chunks),
+        e AS (SELECT chunk_key, x FROM v WHERE x IS NOT NULL),
+        n AS (SELECT chunk_key, count(*) AS n FROM e GROUP BY ALL HAVING count(*) >= 5),
+        f AS (SELECT x, count(*) AS df FROM e JOIN n USING (chunk_key) GROUP BY ALL),
+        r AS (SELECT chunk_key, x, n.n, row_number() OVER (PARTITION BY chunk_key ORDER BY df, x) AS pos FROM e JOIN n USING (chunk_key) JOIN f USING (x)),
+        p AS (SELECT * FROM r WHERE pos <= n - ((n * 7 + 9) // 10) + 1),
+        c AS (SELECT DISTINCT a.chunk_key AS lo, b.chunk_key AS hi, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.x = b.x AND a.chunk_key < b.chunk_key),
+        s AS (SELECT lo, hi, na, nb, count(*) AS n_both FROM c JOIN r a ON a.chunk_key = lo JOIN r b ON b.chunk_key = hi AND a.x = b.x GROUP BY ALL),
+        pairs AS (SELECT lo, hi, na = nb AND n_both = na AS equal FROM s WHERE n_both * 10 >= (na + nb - n_both) * 7)"""
 SOURCE_KEY = r"regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g')"
 #: The mix by words: the level at which sources not clamped to their caps are filled is found by trying each prefix of clamped ones.
 MIX_SQL = f"""
@@ -172,15 +188,17 @@ ORACLES: dict[str, str] = {
         t AS (SELECT a.vec_id AS q, b.vec_id AS o FROM u a JOIN u b ON a.vec_id <> b.vec_id
             QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e) / (a.l * b.l), 12) DESC, b.vec_id) <= 5)
         SELECT DISTINCT least(q, o) AS vec_lo, greatest(q, o) AS vec_hi FROM t""",
-    "p3_found": """
-        WITH v AS (
-            SELECT DISTINCT chunk_key, unnest(list_concat(coalesce(defined_symbols, []), coalesce(used_symbols, []), coalesce(call_names, []))) AS x FROM code_chunks),
-        e AS (SELECT chunk_key, x FROM v WHERE x IS NOT NULL),
-        n AS (SELECT chunk_key, count(*) AS n FROM e GROUP BY ALL HAVING count(*) >= 5),
-        f AS (SELECT x, count(*) AS df FROM e JOIN n USING (chunk_key) GROUP BY ALL),
-        r AS (SELECT chunk_key, x, n.n, row_number() OVER (PARTITION BY chunk_key ORDER BY df, x) AS pos FROM e JOIN n USING (chunk_key) JOIN f USING (x)),
-        p AS (SELECT * FROM r WHERE pos <= n - ((n * 7 + 9) // 10) + 1),
-        c AS (SELECT DISTINCT a.chunk_key AS lo, b.chunk_key AS hi, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.x = b.x AND a.chunk_key < b.chunk_key),
-        s AS (SELECT lo, hi, na, nb, count(*) AS n_both FROM c JOIN r a ON a.chunk_key = lo JOIN r b ON b.chunk_key = hi AND a.x = b.x GROUP BY ALL)
-        SELECT lo AS chunk_lo, hi AS chunk_hi FROM s WHERE n_both * 10 >= (na + nb - n_both) * 7""",
+    "p3_found": f"{SETS_SQL} SELECT lo AS chunk_lo, hi AS chunk_hi FROM pairs",
+    "p3_links": f"""{SETS_SQL}, both_ways AS (SELECT lo AS k, hi AS o, equal FROM pairs UNION ALL SELECT hi, lo, equal FROM pairs)
+        SELECT n.chunk_key, least(n.chunk_key, min(o) FILTER (WHERE equal)) AS class_id, 1 + count(*) FILTER (WHERE equal) AS copies, count(*) FILTER (WHERE NOT equal) AS links FROM n LEFT JOIN both_ways ON k = n.chunk_key GROUP BY n.chunk_key""",
+    "p1_report": f"""
+        WITH s AS (SELECT sample_id, split_name, source, {TOKENS.format("coalesce(left_context, '') || chr(10) || coalesce(target, '')")} AS t FROM training_samples WHERE split_name IN ('train', 'valid', 'test', 'repoeval')),
+        r AS (SELECT DISTINCT sample_id, split_name = 'train' AS train, array_to_string(t[i:i+3], ' ') AS run FROM (SELECT sample_id, split_name, t, unnest(range(1, len(t) - 2)) AS i FROM s)),
+        n AS (SELECT sample_id, count(*) AS n FROM r GROUP BY 1),
+        c AS (SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS m FROM r a JOIN r b USING (run) WHERE a.train AND NOT b.train GROUP BY ALL),
+        f AS (SELECT y, count(*) AS k FROM c JOIN n a ON a.sample_id = x JOIN n b ON b.sample_id = y WHERE m * 5 >= (a.n + b.n - m) * 3 GROUP BY 1)
+        SELECT split_name, source, count(*) AS rows, count(k) AS overlapping_rows, coalesce(sum(k), 0)::BIGINT AS pairs FROM s LEFT JOIN f ON y = sample_id WHERE split_name <> 'train' GROUP BY ALL""",
+    "p8_items": """
+        WITH d AS (SELECT doc_id, item_id FROM ({p8_found})) SELECT item_id, count(*) AS documents FROM d GROUP BY 1""",
 }
+ORACLES["p8_items"] = ORACLES["p8_items"].replace("{p8_found}", ORACLES["p8_found"])

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from codectx.llm.common import written
 
+#: Classes with a value that one part of its rows is meant to have.
+PART = 5_000
+
 
 def value_set(columns: list[str]) -> Column:
     """The distinct non-null values of several array columns together; null arrays are empty.
@@ -52,11 +55,13 @@ def class_pairs(classes: DataFrame, threshold: Fraction) -> DataFrame:
     ranked = written(ranked)
     prefix = ranked.select(
         "class_id", "n", F.posexplode(F.expr(f"slice(order, 1, n - (n * {p} + {q - 1}) div {q} + 1)")).alias("pos", "key")
-    ).filter("key.df > 1").select("class_id", "n", "pos", F.col("key.t").alias("t"))
-    a, b = prefix.alias("a"), prefix.alias("b")
+    ).filter("key.df > 1").select("class_id", "n", "pos", F.col("key.t").alias("t"), F.ceil(F.col("key.df") / PART).cast("int").alias("parts"))
+    # a value of very many classes is split: one side's rows are dealt to parts, the other's go to each of them
+    a = prefix.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")).alias("a")
+    b = prefix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     pairs = (
         a.join(b, F.expr(
-            f"a.t = b.t and a.class_id < b.class_id and a.n * {q} >= b.n * {p} and b.n * {q} >= a.n * {p}"
+            f"a.t = b.t and a.part = b.part and a.class_id < b.class_id and a.n * {q} >= b.n * {p} and b.n * {q} >= a.n * {p}"
             # shared <= 1 + what follows on the shorter side, and shared * (p + q) >= p * (|a| + |b|) is wanted
             f" and (least(a.n - a.pos, b.n - b.pos) + least(a.pos, b.pos)) * {p + q} >= (a.n + b.n) * {p}"
         ))

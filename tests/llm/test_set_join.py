@@ -57,3 +57,9 @@ def test_any_sets(spark, sets, t):
 def test_needs_a_column(spark):
     with pytest.raises(Exception):
         sj.similar_sets(frame(spark, []), "chunk_key", ["missing"])[0].collect()
+
+
+def test_a_hot_value_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(sj, "PART", 4)
+    rows = [(i, ["hot", "warm", "k1", "k2", f"k{i % 5}", f"d{i % 7}"], None) for i in range(60)]
+    assert found(spark, rows, Fraction(3, 5))[0] == brute(rows, 0.6, 5)
