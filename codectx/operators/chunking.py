@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codectx.functions.text import identifier_set, lines, strip, text
 
@@ -38,18 +37,26 @@ def line_windows(df: DataFrame, text_col: str, size: int, keep: list[str], newli
 def line_runs(df: DataFrame, text_col: str, size: int, key: str, occupied: DataFrame | None = None) -> DataFrame:
     """(key, run_no, start_line, end_line, text, defined_symbols) of maximal runs of non-blank lines, cut every ``size`` lines.
 
-    occupied: (key, start_line, end_line) of ranges whose lines belong to other chunks; they are taken out by an anti join on the range.
+    occupied: (key, start_line, end_line) of ranges whose lines belong to other chunks; they are taken out. The ranges of a file are gathered beside its
+    text (there are no more than it has lines); runs are then found within the row, so nothing is shuffled for lines.
     """
-    own = df.select(key, F.posexplode(lines(F.col(text_col))).alias("_at", "_line")).filter(strip(F.col("_line")) != "")
+    own = df.select(key, lines(F.col(text_col)).alias("_lines"))
     if occupied is not None:
-        o = occupied.select(F.col(key).alias("_key"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-        own = own.join(o, (own[key] == o["_key"]) & (own["_at"] + 1).between(o["_s"], o["_e"]), "left_anti")
-    island = own.withColumn("_run", F.col("_at") - F.row_number().over(Window.partitionBy(key).orderBy("_at")))
-    cut = island.withColumn("_cut", F.floor((F.row_number().over(Window.partitionBy(key, "_run").orderBy("_at")) - 1) / size))
-    rows = cut.groupBy(key, "_run", "_cut").agg(F.min("_at").alias("_s"), F.max("_at").alias("_e"), F.array_sort(F.collect_list(F.struct("_at", "_line"))).alias("_l"))
+        ranges = occupied.groupBy(key).agg(F.collect_set(F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e"))).alias("_taken"))
+        own = own.join(ranges, key, "left")
+        free = lambda i: ~F.exists(F.coalesce("_taken", F.array().cast("array<struct<s:int,e:int>>")), lambda r: i.between(r["s"] - 1, r["e"] - 1))
+        own = own.withColumn("_solid", F.transform("_lines", lambda x, i: (strip(x) != "") & free(i)))
+    else:
+        own = own.withColumn("_solid", F.transform("_lines", lambda x: strip(x) != ""))
+    at = F.sequence(F.lit(0), F.size("_solid") - 1)
+    solid = lambda i: F.coalesce(F.get("_solid", i), F.lit(False))
+    some = own.filter(F.exists("_solid", lambda x: x))
+    some = some.withColumn("_s", F.filter(at, lambda i: solid(i) & ~(F.when(i > 0, solid(i - 1)).otherwise(False)))).withColumn("_e", F.filter(at, lambda i: solid(i) & ~solid(i + 1)))
+    cuts = F.flatten(F.zip_with("_s", "_e", lambda s, e: F.transform(F.sequence(s, e, F.lit(size)), lambda k: F.struct(k.alias("s"), F.least(e, k + (size - 1)).alias("e")))))
+    rows = some.withColumn("_cuts", cuts).select(key, "_lines", F.posexplode("_cuts").alias("_no", "_c"))
     return rows.select(
-        key, F.row_number().over(Window.partitionBy(key).orderBy("_s")).alias("run_no"), (F.col("_s") + 1).alias("start_line"), (F.col("_e") + 1).alias("end_line"),
-        F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("text"), identifier_set(F.get(F.col("_l"), F.lit(0))["_line"]).alias("defined_symbols"),
+        key, (F.col("_no") + 1).alias("run_no"), (F.col("_c.s") + 1).alias("start_line"), (F.col("_c.e") + 1).alias("end_line"),
+        F.array_join(F.slice("_lines", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s") + 1), "\n").alias("text"), identifier_set(F.get("_lines", F.col("_c.s"))).alias("defined_symbols"),
     )
 
 
@@ -65,12 +72,27 @@ def fingerprint(df: DataFrame, group: list[str], id_col: str, order: list[str])
     return df.groupBy(*group).agg(F.substring(F.sha2(F.array_join(F.transform(ids, lambda x: x["_id"]), ""), 256), 1, 16).alias("fingerprint"))
 
 
-def range_relations(df: DataFrame, key: str, group: list[str]) -> DataFrame:
-    """(a, b, contains, overlaps) of different ranges of one group that touch: a contains b, or they share more than an end."""
-    base = df.select(*group, F.col(key).alias("k"), F.col("start_line").alias("s"), (F.col("end_line") + 1).alias("e")).filter("s is not null and e is not null and e >= s")
-    a, b = base.alias("a"), base.alias("b")
-    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    on = same + [F.col("a.k") != F.col("b.k"), F.greatest("a.s", "b.s") < F.least("a.e", "b.e")]
+def index_fingerprint(df: DataFrame, id_col: str, slices: int = 3) -> DataFrame:
+    """One row (fingerprint) for any number of ids: the hash of the hashes of slices, which are the ids whose own hash begins with the same ``slices`` hexadecimal digits.
+
+    Within a slice the ids' hashes are put in their own order, so the fingerprint says which ids there are, however they are stored. No task gathers more than a slice.
+    """
+    h = df.select(F.sha2(F.coalesce(F.col(id_col), F.lit("")), 256).alias("h")).withColumn("_slice", F.substring("h", 1, slices))
+    parts = h.groupBy("_slice").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
+    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_slice", "p"))), lambda x: x["p"]), ""), 256), 1, 16).alias("fingerprint"))
+
+
+def range_relations(df: DataFrame, key: str, group: list[str], width: int = 64) -> DataFrame:
+    """(a, b, contains, overlaps) of different ranges of one group that touch: a contains b, or they share more than an end.
+
+    Ranges meet in bins of ``width`` lines, and a pair in the first bin that both are in, so a file of very many ranges isn't compared with itself as a whole.
+    """
+    base = df.select(*group, F.col(key).alias("k"), F.col("start_line").alias("s"), (F.col("end_line") + 1).alias("e")).filter("s is not null and e is not null and e > s")
+    first = F.floor(F.col("s") / width)
+    binned = base.withColumn("first", first).withColumn("bin", F.explode(F.sequence(first, F.floor((F.col("e") - 1) / width))))
+    a, b = binned.alias("a"), binned.alias("b")
+    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in (*group, "bin")]
+    on = same + [F.col("a.bin") == F.greatest("a.first", "b.first"), F.col("a.k") != F.col("b.k"), F.greatest("a.s", "b.s") < F.least("a.e", "b.e")]
     return a.join(b, on).select(
         F.col("a.k").alias("a"), F.col("b.k").alias("b"), ((F.col("a.s") <= F.col("b.s")) & (F.col("a.e") >= F.col("b.e"))).alias("contains"), F.lit(True).alias("overlaps")
     )

@@ -1,6 +1,6 @@
 """Proxy training: a sparse retriever with learned token weights, a logistic gate, symbol affinities and a generator proxy.
 
-Training is bulk-synchronous: within an epoch all samples see the weights of its start, and their steps are summed up and applied at
+Training goes by parts of an epoch's samples: within one all samples see the same weights, and their steps are summed up and applied at
 its end. (The reference applies them sample by sample; ``proxy_in_order`` does so for a bounded number of samples.) Samples, contexts and
 gradients stay distributed; what the driver keeps are three gate weights and one row of history an epoch.
 """
@@ -114,41 +114,58 @@ class ProxyState:
         return self.weights.sparkSession.createDataFrame(self.history, HISTORY)
 
 
-def train(samples: DataFrame, chunks: DataFrame, config: ProxyConfig, keep: Callable[[DataFrame], DataFrame]) -> ProxyState:
+def train(samples: DataFrame, chunks: DataFrame, config: ProxyConfig, keep: Callable[[DataFrame], DataFrame], batches: int = 4) -> ProxyState:
     """Train on samples (qid, grp, left_context, target) with candidate chunks (cid, grp, chunk_id, chunk_type and the symbol columns) of the same group.
 
-    keep: cuts a frame's lineage, by a written table in a shared folder. Every epoch retrieves with the weights of its start and needs one pass for contexts and one for
-    gradients; the gate's gradient is three sums.
+    keep: cuts a frame's lineage, by a written table in a shared folder. An epoch goes through ``batches`` parts of the samples, drawn by a seeded hash; each retrieves with the weights
+    that the parts before have left, and preferences are measured against the weights of the epoch's start. The gate makes a step a part, by the mean of its gradients.
     """
     spark = samples.sparkSession
     state = ProxyState(spark.createDataFrame([], "token string, w double"), spark.createDataFrame([], "token string, affinity double"))
     n = samples.count()
     prepared = chunks.withColumn("tokens", ranking.symbol_set(ranking.LEXICAL)).withColumn("symbols", ranking.symbol_set(ranking.ORACLE))
     queries = samples.select("qid", "grp", t.identifier_set(F.col("left_context")).alias("tokens"), t.trailing_identifier(F.col("left_context")).alias("prefix"))
+    batch = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(config.random_seed)), F.col("qid").cast("string")), 256), 1, 12), 16, 10).cast("long"), F.lit(batches)).cast("int")
+    samples = samples.select("qid", "grp", "left_context", "target", batch.alias("batch"))
     for epoch in range(1, config.epochs + 1):
-        pool = max(4 * config.top_k, config.top_k + 1)
-        ranked = keep(ranking.proxy_top_k(queries, prepared, state.weights, pool))
-        contexts = sampling.sampled_contexts(ranked, config.top_k, config.sampled_contexts, config.random_seed + epoch)
-        chosen = keep(best_and_worst(scored_contexts(samples.select("qid", "left_context", "target"), contexts, chunks, state.affinities)))
-        better = chosen.filter((F.col("best_quality") > F.col("worst_quality")) & (F.col("best") != F.col("worst")))
-        pairs = better.select("qid", F.col("left_context").alias("query"), F.col("best").alias("chosen"), F.col("worst").alias("rejected"))
-        step = dpo_gradient(pairs, chunks, state.weights, state.weights, config.dpo_beta, config.retriever_lr)
-        weights = state.weights.unionByName(step.withColumnRenamed("grad", "w")).groupBy("token").agg(F.sum("w").alias("w"))
-        affinities = state.affinities.unionByName(affinity_steps(chosen, config.soft_prompt_lr)).groupBy("token").agg(F.sum("affinity").alias("affinity"))
-        p = intent.gate_probability(F.col("left_context"), tuple(state.gate[:3]), state.gate[3])
-        label = F.col("retrieve").cast("double")
-        useful = F.size(F.array_intersect(t.identifier_set(F.col("target")), F.coalesce("used", F.array().cast("array<string>"))))
-        f = intent.gate_features(F.col("left_context"))
-        sums = chosen.agg(
-            F.avg("best_quality"), F.avg(label), F.avg(-(label * F.ln(p + 1e-8) + (1 - label) * F.ln(1 - p + 1e-8))), F.avg(1.0 / (useful + 1)), *(F.sum((label - p) * x) for x in (*f, F.lit(1.0)))
-        ).first()
-        n_pairs = pairs.count()
-        state.gate = [w + config.gate_lr * (g or 0.0) / max(1, n) for w, g in zip(state.gate, sums[4:])]
-        state.history.append((epoch, sums[0] or 0.0, sums[1] or 0.0, n_pairs, sums[2] or 0.0, sums[3] or 0.0))
-        state.weights, state.affinities = keep(weights), keep(affinities)
+        reference, totals = state.weights, [0.0] * 5
+        for b in range(batches):
+            part = samples.filter(F.col("batch") == b)
+            queries = part.select("qid", "grp", t.identifier_set(F.col("left_context")).alias("tokens"), t.trailing_identifier(F.col("left_context")).alias("prefix"))
+            pool = max(4 * config.top_k, config.top_k + 1)
+            ranked = keep(ranking.proxy_top_k(queries, prepared, state.weights, pool))
+            contexts = sampling.sampled_contexts(ranked, config.top_k, config.sampled_contexts, config.random_seed + epoch)
+            chosen = keep(best_and_worst(scored_contexts(part.select("qid", "left_context", "target"), contexts, chunks, state.affinities)))
+            step = dpo_gradient(pairs_of(chosen), chunks, state.weights, reference, config.dpo_beta, config.retriever_lr)
+            weights = state.weights.unionByName(step.withColumnRenamed("grad", "w")).groupBy("token").agg(F.sum("w").alias("w"))
+            affinities = state.affinities.unionByName(affinity_steps(chosen, config.soft_prompt_lr)).groupBy("token").agg(F.sum("affinity").alias("affinity"))
+            sums = gate_sums(chosen, state.gate).first()
+            state.gate = [w + config.gate_lr * (g or 0.0) / max(1, sums["n"]) for w, g in zip(state.gate, sums[6:])]
+            totals = [x + (y or 0) for x, y in zip(totals, sums[1:6])]
+            state.weights, state.affinities = keep(weights), keep(affinities)
+        mean = [x / max(1, n) for x in totals]
+        state.history.append((epoch, mean[0], mean[1], int(totals[2]), mean[3], mean[4]))
     return state
 
 
+def pairs_of(chosen: DataFrame) -> DataFrame:
+    """(qid, query, chosen, rejected) of the samples whose best context is better than the worst."""
+    better = chosen.filter((F.col("best_quality") > F.col("worst_quality")) & (F.col("best") != F.col("worst")))
+    return better.select("qid", F.col("left_context").alias("query"), F.col("best").alias("chosen"), F.col("worst").alias("rejected"))
+
+
+def gate_sums(chosen: DataFrame, gate: list[float]) -> DataFrame:
+    """One row: n, sums of quality, retrievals, pairs, gate loss and prompt loss, and the gate's gradient (three weights and the bias)."""
+    p = intent.gate_probability(F.col("left_context"), tuple(gate[:3]), gate[3])
+    label = F.col("retrieve").cast("double")
+    useful = F.size(F.array_intersect(t.identifier_set(F.col("target")), F.coalesce("used", F.array().cast("array<string>"))))
+    pair = (F.col("best_quality") > F.col("worst_quality")) & (F.col("best") != F.col("worst"))
+    f = intent.gate_features(F.col("left_context"))
+    return chosen.agg(
+        F.count("*").alias("n"), F.sum("best_quality"), F.sum(label), F.count_if(pair), F.sum(-(label * F.ln(p + 1e-8) + (1 - label) * F.ln(1 - p + 1e-8))), F.sum(1.0 / (useful + 1)), *(F.sum((label - p) * x) for x in (*f, F.lit(1.0)))
+    )
+
+
 def predict(samples: DataFrame, chunks: DataFrame, state: ProxyState, config: ProxyConfig) -> DataFrame:
     """(qid, retrieve, completion): the gate decides, the top k are put together, the generator proxy completes."""
     prepared = chunks.withColumn("tokens", ranking.symbol_set(ranking.LEXICAL)).withColumn("symbols", ranking.symbol_set(ranking.ORACLE))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,20 +16,24 @@ def save_index(vectors: DataFrame, path: str, dim: int, fingerprint: str) -> Non
     vectors.sparkSession.createDataFrame([(dim, fingerprint)], "dim int, fingerprint string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
+def _meta(spark: SparkSession, path: str) -> Row | None:
+    """The row of metadata of a saved index, None if there is no such folder; any other failure is raised."""
+    try:
+        return spark.read.json(f"{path}/meta").first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def load_index(spark: SparkSession, path: str, dim: int) -> DataFrame | None:
     """The vectors of a saved index; None if it isn't there or has another dimension."""
-    try:
-        meta = spark.read.json(f"{path}/meta").first()
-        return spark.read.parquet(f"{path}/vectors") if meta and meta["dim"] == dim else None
-    except Exception:  # no such path
-        return None
+    meta = _meta(spark, path)
+    return spark.read.parquet(f"{path}/vectors") if meta and meta["dim"] == dim else None
 
 
 def index_valid(spark: SparkSession, path: str, fingerprint: str) -> bool:
-    try:
-        meta = spark.read.json(f"{path}/meta").first()
-    except Exception:  # no such path
-        return False
+    meta = _meta(spark, path)
     return bool(meta) and meta["fingerprint"] == fingerprint
 
 
