@@ -50,10 +50,10 @@ def line_runs(df: DataFrame, text_col: str, size: int, key: str, occupied: DataF
         own = own.withColumn("_solid", F.transform("_lines", lambda x: strip(x) != ""))
     at = F.sequence(F.lit(0), F.size("_solid") - 1)
     solid = lambda i: F.coalesce(F.get("_solid", i), F.lit(False))
-    some = own.filter(F.exists("_solid", lambda x: x))
-    some = some.withColumn("_s", F.filter(at, lambda i: solid(i) & ~(F.when(i > 0, solid(i - 1)).otherwise(False)))).withColumn("_e", F.filter(at, lambda i: solid(i) & ~solid(i + 1)))
+    some = own.withColumn("_s", F.filter(at, lambda i: solid(i) & ~(F.when(i > 0, solid(i - 1)).otherwise(False)))).withColumn("_e", F.filter(at, lambda i: solid(i) & ~solid(i + 1)))
     cuts = F.flatten(F.zip_with("_s", "_e", lambda s, e: F.transform(F.sequence(s, e, F.lit(size)), lambda k: F.struct(k.alias("s"), F.least(e, k + (size - 1)).alias("e")))))
-    rows = some.withColumn("_cuts", cuts).select(key, "_lines", F.posexplode("_cuts").alias("_no", "_c"))
+    # the outer form, as Spark would put the whole expression into a filter before the plain one, once for each use of a column
+    rows = some.withColumn("_cuts", cuts).select(key, "_lines", F.posexplode_outer("_cuts").alias("_no", "_c")).filter("_c is not null")
     return rows.select(
         key, (F.col("_no") + 1).alias("run_no"), (F.col("_c.s") + 1).alias("start_line"), (F.col("_c.e") + 1).alias("end_line"),
         F.array_join(F.slice("_lines", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s") + 1), "\n").alias("text"), identifier_set(F.get("_lines", F.col("_c.s"))).alias("defined_symbols"),

@@ -2,7 +2,8 @@
 
 Tables: documents stand for files, code_chunks for chunks, training_samples for samples (their candidates are the chunks of the same
 repository), eval_rows for evaluation sets, loader_samples for cross-file contexts, preference_pairs for scored strategies, embeddings for vectors.
-Searches take the samples whose id is divisible by 100 as queries, against all chunks. Every query reads whole tables and whole texts.
+Searches of chunks take every sample as a query, against all chunks of its repository; those of vectors take the vectors whose id is divisible by 100, against all vectors.
+Texts are compared by their MD5.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ def n(c: Column) -> Column:
 #: Pieces of SQL. DuckDB's list_distinct keeps no order, so ordered sets filter by first place.
 IDS = "regexp_extract_all(coalesce({}, ''), '[_a-zA-Z][_a-zA-Z0-9]*')"
 SPLIT = r"regexp_split_to_array(coalesce({}, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+WS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 LINES = "CASE WHEN {0}[-1] = '' THEN {0}[:-2] ELSE {0} END"
 SETOF = "list_distinct(list_filter(list_concat({}), lambda x: x IS NOT NULL))"
 LEX = SETOF.format("coalesce(defined_symbols, []), coalesce(used_symbols, []), coalesce(call_names, [])")
@@ -54,6 +56,10 @@ BONUS = "CASE WHEN chunk_type IN ('method', 'function', 'class_header') THEN 0.1
 CID = "file_path || '::L' || start_line || '-' || end_line || '::' || chunk_type"
 
 
+def strip_sql(value: str) -> str:
+    return f"regexp_replace(regexp_replace({value}, '^{WS}+', ''), '{WS}+$', '')"
+
+
 # text
 
 
@@ -117,19 +123,19 @@ def comment_import_only(spark: SparkSession, d: str) -> DataFrame:
     WITH s AS (SELECT doc_id, {SPLIT.format('text')} AS p FROM documents), l AS (SELECT doc_id, {LINES.format('p')} AS x FROM s),
     w AS (SELECT doc_id, x, greatest(len(x), 1) AS c, unnest(range(1, greatest(len(x), 1) + 1, 40)) AS start_line FROM l)
     SELECT 'doc/' || doc_id || '::L' || start_line || '-' || least(start_line + 39, c) || '::fallback' AS chunk_id, doc_id, start_line::BIGINT AS start_line, least(start_line + 39, c)::BIGINT AS end_line,
-        length(array_to_string(x[start_line:start_line + 39], chr(10)))::BIGINT AS n_chars FROM w""")
+        md5(coalesce(array_to_string(x[start_line:start_line + 39], chr(10)), '')) AS text_md5 FROM w""")
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     w = chunking.line_windows(table(spark, d, "documents"), "text", 40, ["doc_id"])
     name = chunking.chunk_id(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), F.col("start_line"), F.col("end_line"), F.lit("fallback"))
-    return w.select(name.alias("chunk_id"), "doc_id", n(F.col("start_line")).alias("start_line"), n(F.col("end_line")).alias("end_line"), n(F.length("text")).alias("n_chars"))
+    return w.select(name.alias("chunk_id"), "doc_id", n(F.col("start_line")).alias("start_line"), n(F.col("end_line")).alias("end_line"), F.md5("text").alias("text_md5"))
 
 
 @query("""
-    WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), w AS (SELECT doc_id, len(x) AS c, unnest(range(0, len(x), 25)) AS o FROM l)
-    SELECT doc_id, (o // 25)::BIGINT AS chunk_no, least(25, c - o)::BIGINT AS n_lines FROM w""")
+    WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), w AS (SELECT doc_id, x, len(x) AS c, unnest(range(0, len(x), 25)) AS o FROM l)
+    SELECT doc_id, (o // 25)::BIGINT AS chunk_no, least(25, c - o)::BIGINT AS n_lines, md5(array_to_string(x[o + 1:o + 25], chr(10))) AS text_md5 FROM w""")
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     w = chunking.line_windows(table(spark, d, "documents"), "text", 25, ["doc_id"], newline_only=True)
-    return w.select("doc_id", n(F.col("chunk_no")).alias("chunk_no"), n(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
+    return w.select("doc_id", n(F.col("chunk_no")).alias("chunk_no"), n(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"), F.md5("text").alias("text_md5"))
 
 
 @query(rf"""
@@ -151,10 +157,10 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
     return chunking.range_relations(table(spark, d, "code_chunks"), "chunk_key", ["repo", "file_path"])
 
 
-@query(f"""SELECT chunk_key, {CID} AS chunk_id, length('### File: ' || file_path || ' L' || start_line || '-' || end_line || ' [' || chunk_type || ']' || CASE WHEN length(parent_class) > 0 THEN ' class=' || parent_class ELSE '' END)::BIGINT AS n_header FROM code_chunks""")
+@query(f"""SELECT chunk_key, {CID} AS chunk_id, md5({strip_sql("'### File: ' || file_path || ' L' || start_line || '-' || end_line || ' [' || chunk_type || ']' || CASE WHEN length(parent_class) > 0 THEN ' class=' || parent_class ELSE '' END || chr(10) || coalesce(text, '')")}) AS text_md5 FROM code_chunks""")
 def chunk_headers(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("file_path", "start_line", "end_line", "chunk_type")]
-    return table(spark, d, "code_chunks").select("chunk_key", chunking.chunk_id(*c).alias("chunk_id"), n(F.length(chunking.retrieval_text(*c, F.col("parent_class"), F.lit("")))).alias("n_header"))
+    return table(spark, d, "code_chunks").select("chunk_key", chunking.chunk_id(*c).alias("chunk_id"), F.md5(chunking.retrieval_text(*c, F.col("parent_class"), F.col("text"))).alias("text_md5"))
 
 
 @query(f"SELECT repo, {CID} AS chunk_id, min(chunk_key) AS chunk_key FROM code_chunks GROUP BY ALL")
@@ -169,6 +175,13 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return chunking.fingerprint(c, ["repo", "file_path"], "chunk_id", ["chunk_key"])
 
 
+@query(f"""WITH h AS (SELECT sha256(coalesce({CID}, '')) AS h FROM code_chunks), p AS (SELECT substr(h, 1, 3) AS slice, sha256(string_agg(h, '' ORDER BY h)) AS p FROM h GROUP BY 1)
+    SELECT substr(sha256(string_agg(p, '' ORDER BY slice)), 1, 16) AS fingerprint FROM p""")
+def index_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "code_chunks").withColumn("chunk_id", chunking.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type")))
+    return chunking.index_fingerprint(c, "chunk_id")
+
+
 @query()
 def py_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Entity chunks of all Python files among the cross-file contexts."""
@@ -213,32 +226,32 @@ def crossfile_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", "path", n(F.length(t.text(F.col("content")))).alias("n_chars"))
 
 
-@query("""
+@query(f"""
     WITH f AS (SELECT sample_id, e.key AS path, coalesce(e.value, '') AS content FROM (SELECT sample_id, unnest(map_entries(crossfile_context)) AS e FROM loader_samples)),
     s AS (SELECT *, length('### File: ' || path || ' ###') + 1 AS head, length('### File: ' || path || ' ###') + 3 + length(content) AS size, row_number() OVER w AS pos, sum(length('### File: ' || path || ' ###') + 3 + length(content)) OVER w AS ends FROM f WINDOW w AS (PARTITION BY sample_id ORDER BY length(content), path)),
     o AS (SELECT *, min(CASE WHEN ends > 3000 THEN pos END) OVER (PARTITION BY sample_id) AS over FROM s)
-    SELECT sample_id, count(*) FILTER (WHERE over IS NULL OR pos < over) AS included, count(*) FILTER (WHERE pos = over AND 3000 - (ends - size) > head) AS truncated FROM o GROUP BY sample_id""")
+    SELECT sample_id, count(*) FILTER (WHERE over IS NULL OR pos < over) AS included, count(*) FILTER (WHERE pos = over AND 3000 - (ends - size) > head) AS truncated,
+        md5(coalesce({strip_sql("string_agg('### File: ' || path || ' ###' || chr(10) || CASE WHEN over IS NULL OR pos < over THEN content ELSE substr(content, 1, (3000 - (ends - size) - head)::INT) END || chr(10) || chr(10), '' ORDER BY pos) FILTER (WHERE over IS NULL OR pos < over OR pos = over AND 3000 - (ends - size) > head)")}, '')) AS text_md5 FROM o GROUP BY sample_id""")
 def crossfile_pack(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "loader_samples").select("sample_id", F.explode("crossfile_context").alias("path", "content"))
-    return packing.crossfile_pack(files, "sample_id", 3000).select("sample_id", "included", "truncated")
+    return packing.crossfile_pack(files, "sample_id", 3000).select("sample_id", "included", "truncated", F.md5("context").alias("text_md5"))
 
 
-@query("""SELECT item_id, coalesce(task_id, '') <> '' AS named, length(coalesce(left_context, ''))::BIGINT AS n_left, length(coalesce(right_context, ''))::BIGINT AS n_right, length(coalesce(groundtruth, ''))::BIGINT AS n_target FROM eval_rows""")
+@query("""SELECT item_id, coalesce(task_id, '') <> '' AS named, md5(coalesce(left_context, '')) AS left_md5, md5(coalesce(right_context, '')) AS right_md5, md5(coalesce(groundtruth, '')) AS target_md5 FROM eval_rows""")
 def eval_set(spark: SparkSession, d: str) -> DataFrame:
     r = readers.eval_rows(table(spark, d, "eval_rows"))
-    return r.select("item_id", (t.text(F.col("task_id")) != "").alias("named"), n(F.length("left_context")).alias("n_left"), n(F.length("right_context")).alias("n_right"), n(F.length("groundtruth")).alias("n_target"))
+    return r.select("item_id", (t.text(F.col("task_id")) != "").alias("named"), F.md5("left_context").alias("left_md5"), F.md5("right_context").alias("right_md5"), F.md5("groundtruth").alias("target_md5"))
 
 
 # queries from left contexts
 
 
-WS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
-
-
 def rstrip_sql(column: str) -> str:
     return f"regexp_replace(coalesce({column}, ''), '{WS}+$', '')"
 
 
+#: A list without repetitions, in the order of first places.
+ONCE = "list_filter({0}, lambda w, i: list_position({0}, w) = i)"
 KEYWORD_SQL = ", ".join(f"'{k}'" for k in t.KEYWORDS)
 SPLIT_R = SPLIT.format("r").replace("coalesce(r, '')", "r")
 
@@ -247,17 +260,19 @@ SPLIT_R = SPLIT.format("r").replace("coalesce(r, '')", "r")
     WITH a AS (SELECT sample_id, {rstrip_sql('left_context')} AS r, {SPLIT.format('left_context')} AS p FROM training_samples),
     b AS (SELECT sample_id, r, {LINES.format('p')} AS x, ({SPLIT_R})[-1] AS last FROM a),
     c AS (SELECT sample_id, r, regexp_replace(last, '{WS}+$', '') AS last, x[-80:] AS y, array_to_string(x[-80:], chr(10)) AS tail FROM b),
-    i AS (SELECT sample_id, count(DISTINCT w) FILTER (WHERE w NOT IN ('import', 'from', 'as')) AS n FROM (
-        SELECT sample_id, unnest(regexp_extract_all(l, '[_a-zA-Z][_a-zA-Z0-9]*')) AS w FROM (SELECT sample_id, unnest(list_transform(y, lambda s: regexp_replace(s, '^{WS}+', ''))) AS l FROM c) WHERE starts_with(l, 'import ') OR starts_with(l, 'from ')) GROUP BY 1)
-    SELECT c.sample_id, regexp_extract(r, '[_a-zA-Z][_a-zA-Z0-9]*$') AS prefix, regexp_extract(last, '([_a-zA-Z][_a-zA-Z0-9]*)\s*\.\s*([_a-zA-Z][_a-zA-Z0-9]*)?$', 1) AS member_owner,
-        regexp_extract(last, '([_a-zA-Z][_a-zA-Z0-9]*)\s*\.\s*([_a-zA-Z][_a-zA-Z0-9]*)?$', 2) AS member_prefix, coalesce(i.n, 0)::BIGINT AS n_import_hints,
-        len(list_distinct(list_filter(regexp_extract_all(tail, '[_a-zA-Z][_a-zA-Z0-9]*'), lambda w: w NOT IN ({KEYWORD_SQL}))))::BIGINT AS n_identifiers,
-        len(list_distinct(list_concat(regexp_extract_all(tail, '([_a-zA-Z][_a-zA-Z0-9]*)\s*=\s*([A-Z][_a-zA-Z0-9]*)\s*\(', 1), regexp_extract_all(tail, '([_a-zA-Z][_a-zA-Z0-9]*)\s*=\s*([A-Z][_a-zA-Z0-9]*)\s*\(', 2),
-            list_filter(regexp_extract_all(tail, '[_a-zA-Z][_a-zA-Z0-9]*'), lambda w: w NOT IN ({KEYWORD_SQL}) AND regexp_matches(w, '^[A-Z]')))))::BIGINT AS n_class_hints
-    FROM c LEFT JOIN i USING (sample_id)""")
+    e AS (SELECT sample_id, tail, regexp_extract(r, '[_a-zA-Z][_a-zA-Z0-9]*$') AS prefix, regexp_extract(last, '([_a-zA-Z][_a-zA-Z0-9]*)\s*\.\s*([_a-zA-Z][_a-zA-Z0-9]*)?$', 1) AS member_owner,
+        regexp_extract(last, '([_a-zA-Z][_a-zA-Z0-9]*)\s*\.\s*([_a-zA-Z][_a-zA-Z0-9]*)?$', 2) AS member_prefix,
+        list_filter(flatten(list_transform(list_filter(list_transform(y, lambda s: regexp_replace(s, '^{WS}+', '')), lambda l: starts_with(l, 'import ') OR starts_with(l, 'from ')), lambda l: regexp_extract_all(l, '[_a-zA-Z][_a-zA-Z0-9]*'))), lambda w: w NOT IN ('import', 'from', 'as')) AS imp,
+        list_filter(regexp_extract_all(tail, '[_a-zA-Z][_a-zA-Z0-9]*'), lambda w: w NOT IN ({KEYWORD_SQL})) AS ids,
+        flatten(list_transform(regexp_extract_all(tail, '[_a-zA-Z][_a-zA-Z0-9]*\s*=\s*[A-Z][_a-zA-Z0-9]*\s*\('), lambda m: [regexp_extract(m, '^[_a-zA-Z0-9]+'), regexp_extract(m, '=\s*([A-Z][_a-zA-Z0-9]*)', 1)])) AS made FROM c),
+    g AS (SELECT *, {ONCE.format("imp")} AS import_hints, {ONCE.format("ids")} AS identifiers, list_concat(made, list_filter(ids, lambda w: regexp_matches(w, '^[A-Z]'))) AS cls FROM e), h AS (SELECT *, {ONCE.format("cls")} AS class_hints FROM g)
+    SELECT sample_id, prefix, member_owner, member_prefix, len(class_hints)::BIGINT AS n_class_hints, len(import_hints)::BIGINT AS n_import_hints, len(identifiers)::BIGINT AS n_identifiers,
+        md5({strip_sql("""concat_ws(chr(10), '### Intent sketch', CASE WHEN prefix <> '' THEN 'incomplete_prefix: ' || prefix END, CASE WHEN member_owner <> '' THEN 'member_owner: ' || member_owner END, CASE WHEN member_prefix <> '' THEN 'member_prefix: ' || member_prefix END,
+            CASE WHEN len(class_hints) > 0 THEN 'class_hints: ' || array_to_string(class_hints[:12], ' ') END, CASE WHEN len(import_hints) > 0 THEN 'imports: ' || array_to_string(import_hints[:12], ' ') END,
+            CASE WHEN len(identifiers) > 0 THEN 'local_identifiers: ' || array_to_string(identifiers[:40], ' ') END, '### Left context tail', tail)""")}) AS query_md5 FROM h""")
 def intent_sketch(spark: SparkSession, d: str) -> DataFrame:
     s = intent.with_sketch(table(spark, d, "training_samples").select("sample_id", "left_context"), "left_context", "s")
-    return s.select("sample_id", "s.prefix", "s.member_owner", "s.member_prefix", *(n(F.size(f"s.{c}")).alias(f"n_{c}") for c in ("class_hints", "import_hints", "identifiers")))
+    return s.select("sample_id", "s.prefix", "s.member_owner", "s.member_prefix", *(n(F.size(f"s.{c}")).alias(f"n_{c}") for c in ("class_hints", "import_hints", "identifiers")), F.md5("s.query").alias("query_md5"))
 
 
 @query()
@@ -290,7 +305,7 @@ def chunk_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_samples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "training_samples").filter("sample_id % 100 = 0")
+    return table(spark, d, "training_samples")
 
 
 def left_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -301,8 +316,12 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return search_samples(spark, d).select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), t.identifier_set(F.col("target")).alias("tokens"))
 
 
+def pooled(df: DataFrame) -> DataFrame:
+    return df.withColumn("grp", F.lit(""))
+
+
 SEARCH_SQL = f"""
-    q AS (SELECT sample_id AS qid, repo, list_distinct({IDS.format('left_context')}) AS toks FROM training_samples WHERE sample_id % 100 = 0),
+    q AS (SELECT sample_id AS qid, repo, list_distinct({IDS.format('left_context')}) AS toks FROM training_samples),
     c AS (SELECT chunk_key AS cid, repo, {BONUS} AS bonus, {LEX} AS toks, {ORA} AS symbols, {CID} AS chunk_id FROM code_chunks)"""
 LEXICAL_SQL = f"""{SEARCH_SQL},
     s AS (SELECT qid, cid, CASE WHEN len(q.toks) > 0 THEN 1.5 * len(list_intersect(q.toks, c.toks)) + bonus ELSE 0 END AS score FROM q JOIN c USING (repo)),
@@ -316,7 +335,7 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH {SEARCH_SQL},
-    p AS (SELECT sample_id AS qid, regexp_extract({rstrip_sql('left_context')}, '[_a-zA-Z][_a-zA-Z0-9]*$') AS prefix FROM training_samples WHERE sample_id % 100 = 0),
+    p AS (SELECT sample_id AS qid, regexp_extract({rstrip_sql('left_context')}, '[_a-zA-Z][_a-zA-Z0-9]*$') AS prefix FROM training_samples),
     f AS (SELECT x AS token, 0.25 / count(*) AS w FROM (SELECT unnest(toks) AS x FROM c) GROUP BY 1),
     l AS (SELECT cid, sum(w) AS learned FROM (SELECT cid, unnest(toks) AS token FROM c) JOIN f USING (token) GROUP BY 1),
     s AS (SELECT qid, cid, chunk_id, 1.5 * len(list_intersect(q.toks, c.toks)) + coalesce(learned, 0) + bonus + CASE WHEN prefix <> '' AND len(list_filter(symbols, lambda x: starts_with(x, prefix))) > 0 THEN 2.0 ELSE 0.0 END AS score
@@ -332,14 +351,15 @@ def proxy_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-    g AS (SELECT sample_id AS qid, repo, list_distinct({IDS.format('target')}) AS goal FROM training_samples WHERE sample_id % 100 = 0),
-    h AS (SELECT qid, cid, len(list_intersect(goal, symbols)) AS overlap FROM g JOIN c USING (repo)),
+    g AS (SELECT sample_id AS qid, repo, list_distinct({IDS.format('target')}) AS goal FROM training_samples),
+    h AS (SELECT qid, cid, len(list_intersect(goal, symbols)) AS overlap FROM g CROSS JOIN c),
     oracle AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, cid) AS rk, cid, overlap FROM h WHERE overlap > 0 QUALIFY rk <= 3)"""
 
 
 @query(f"WITH {SEARCH_SQL}, {ORACLE_SQL} SELECT qid, rk::BIGINT AS rk, cid, overlap::BIGINT AS overlap FROM oracle")
 def oracle_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.oracle_top_k(targets(spark, d), chunk_table(spark, d), 3).select("qid", n(F.col("rk")).alias("rk"), "cid", n(F.col("overlap")).alias("overlap"))
+    """The chunks of any repository that hit the target; a constant group makes all chunks one pool."""
+    return ranking.oracle_top_k(*(pooled(x) for x in (targets(spark, d), chunk_table(spark, d))), 3).select("qid", n(F.col("rk")).alias("rk"), "cid", n(F.col("overlap")).alias("overlap"))
 
 
 HARD_SQL = f"""
@@ -400,7 +420,7 @@ def strategy_rows(spark: SparkSession, d: str) -> DataFrame:
     c = chunk_table(spark, d)
     pool = written(ranking.lexical_top_k(left_queries(spark, d), c, 20).select("qid", "rk", "cid"))
     goals = targets(spark, d)
-    lists = {"bm25": pool.filter("rk <= 3"), "hard_neg": ranking.hard_negatives(pool, goals, c, 3), "oracle": ranking.oracle_top_k(goals, c, 3)}
+    lists = {"bm25": pool.filter("rk <= 3"), "hard_neg": ranking.hard_negatives(pool, goals, c, 3), "oracle": ranking.oracle_top_k(pooled(goals), pooled(c), 3)}
     lists = {k: v.select(F.col("qid").alias("sid"), "rk", "cid") for k, v in lists.items()}
     return strategies.strategy_union(search_samples(spark, d).select(F.col("sample_id").alias("sid")), lists)
 
@@ -417,7 +437,7 @@ def strategy_union(spark: SparkSession, d: str) -> DataFrame:
 
 NLL_SQL = f"""
     x AS (SELECT DISTINCT sid, strategy, pos FROM {{strategies}}),
-    smp AS (SELECT sample_id AS sid, {IDS.format('left_context')} AS l, {IDS.format('target')} AS t FROM training_samples WHERE sample_id % 100 = 0),
+    smp AS (SELECT sample_id AS sid, {IDS.format('left_context')} AS l, {IDS.format('target')} AS t FROM training_samples),
     ctx AS (SELECT sid, strategy, unnest({IDS.format('text')}) AS token FROM {{strategies}} s JOIN code_chunks k ON k.chunk_key = s.cid UNION ALL SELECT sid, strategy, unnest(l) FROM x JOIN smp USING (sid)),
     cnt AS (SELECT sid, strategy, token, count(*) AS c FROM ctx GROUP BY ALL), tgt AS (SELECT sid, strategy, token, count(*) AS t FROM (SELECT sid, strategy, unnest(t) AS token FROM x JOIN smp USING (sid)) GROUP BY ALL),
     alls AS (SELECT sid, strategy, token, coalesce(c, 0) AS c, coalesce(t, 0) AS t FROM cnt FULL JOIN tgt USING (sid, strategy, token)), tot AS (SELECT sid, strategy, sum(c) AS n, count(*) AS v FROM alls GROUP BY ALL),
@@ -432,7 +452,7 @@ def ranked_rows(spark: SparkSession, d: str) -> DataFrame:
     samples = search_samples(spark, d).select(F.col("sample_id").alias("sid"), "left_context", "target")
     contexts = rows.join(table(spark, d, "code_chunks").select(F.col("chunk_key").alias("cid"), "text"), "cid", "left").select("sid", "strategy", "text")
     nll = utility.smoothed_unigram_nll(samples, contexts).withColumn("nll", F.round("nll", 9))
-    return utility.utilities(rows.select("sid", "strategy", "pos", "is_stop").distinct().join(nll, ["sid", "strategy"]).withColumn("nll", F.col("nll")))
+    return utility.utilities(rows.select("sid", "strategy", "pos", "is_stop").distinct().join(nll, ["sid", "strategy"]))
 
 
 @query(f"{UTILITY_SQL} SELECT sid, strategy, round(nll, 5) AS nll, round(utility, 5) AS utility, rk::BIGINT AS rk FROM ranked")
@@ -602,7 +622,7 @@ def token_budget_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LEXICAL_SQL.format(3)}, used AS (SELECT qid, x FROM (SELECT qid, unnest(toks) AS x FROM lexical JOIN c USING (cid)) GROUP BY ALL),
-    w AS (SELECT sample_id AS qid, unnest(list_distinct({IDS.format('target')})) AS x FROM training_samples WHERE sample_id % 100 = 0),
+    w AS (SELECT sample_id AS qid, unnest(list_distinct({IDS.format('target')})) AS x FROM training_samples),
     b AS (SELECT w.qid, w.x, used.x IS NOT NULL AS hit, max((used.x IS NOT NULL)::INT) OVER (PARTITION BY w.qid) AS any_hit FROM w LEFT JOIN used ON used.qid = w.qid AND used.x = w.x)
     SELECT x AS token, round(count(*) * 0.05, 6)::DOUBLE AS affinity FROM b WHERE hit OR any_hit = 0 GROUP BY 1""")
 def affinity_update(spark: SparkSession, d: str) -> DataFrame:
@@ -614,23 +634,26 @@ def affinity_update(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LEXICAL_SQL.format(3)}, sd AS (SELECT qid, cid, CASE rk WHEN 1 THEN 1 ELSE -1 END AS side FROM lexical WHERE rk IN (1, 3)), two AS (SELECT qid FROM sd GROUP BY 1 HAVING count(DISTINCT cid) = 2),
     k AS (SELECT chunk_key AS cid, coalesce(defined_symbols, []) AS d, coalesce(call_names, []) AS l, {SETOF.format("coalesce(defined_symbols, []), coalesce(call_names, []), coalesce(method_names, []), coalesce(used_symbols, [])")} AS own FROM code_chunks),
-    x AS (SELECT s.side, unnest(list_filter(own, lambda z: list_contains(q.toks, z) OR list_contains(d, z) OR list_contains(l, z))) AS token FROM sd s JOIN two USING (qid) JOIN q USING (qid) JOIN k USING (cid))
-    SELECT token, round(sum(side) * 0.2 * 0.1 * 0.5, 6)::DOUBLE AS grad FROM x GROUP BY 1""")
+    x AS (SELECT s.qid, s.side, unnest(list_filter(own, lambda z: list_contains(q.toks, z) OR list_contains(d, z) OR list_contains(l, z))) AS token FROM sd s JOIN two USING (qid) JOIN q USING (qid) JOIN k USING (cid)),
+    w AS (SELECT z AS token, 9.0 / count(*) AS w, 4.0 / count(*) AS ref FROM (SELECT unnest(toks) AS z FROM c) GROUP BY 1),
+    lg AS (SELECT qid, 0.1 * sum(side * (w - ref)) AS logit FROM (SELECT s.qid, s.side, unnest(c.toks) AS token FROM sd s JOIN two USING (qid) JOIN c USING (cid)) JOIN w USING (token) GROUP BY 1)
+    SELECT token, round(sum(side * 0.2 * 0.1 * (1 - 1 / (1 + exp(-coalesce(logit, 0))))), 6)::DOUBLE AS grad FROM x LEFT JOIN lg USING (qid) GROUP BY 1""")
 def dpo_gradient(spark: SparkSession, d: str) -> DataFrame:
-    """The first step of an epoch, from zero weights: the best chunk chosen, the third rejected."""
+    """The step of preferences for the best chunk over the third: weights of 9 / (chunks that have the token) against reference weights of 4 / (the same)."""
     c = chunk_table(spark, d)
     top = ranking.lexical_top_k(left_queries(spark, d), c, 3)
     sides = top.groupBy("qid").agg(F.collect_list(F.when(F.col("rk") == 1, F.col("cid"))).alias("chosen"), F.collect_list(F.when(F.col("rk") == 3, F.col("cid"))).alias("rejected")).filter("size(rejected) > 0")
     pairs = sides.join(search_samples(spark, d).select(F.col("sample_id").alias("qid"), F.col("left_context").alias("query")), "qid")
-    zero = spark.createDataFrame([], "token string, w double")
-    return proxy.dpo_gradient(pairs, c, zero, zero, 0.1, 0.2).filter("token is not null").select("token", F.round("grad", 6).alias("grad"))
+    df = written(c.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    live, reference = df.select("token", (9.0 / F.col("df")).alias("w")), df.select("token", (4.0 / F.col("df")).alias("w"))
+    return proxy.dpo_gradient(pairs, c, live, reference, 0.1, 0.2).filter("token is not null").select("token", F.round("grad", 6).alias("grad"))
 
 
 @query()
 def proxy_history(spark: SparkSession, d: str) -> DataFrame:
     """Two epochs of training over all samples."""
     samples = table(spark, d, "training_samples").filter(t.strip(F.col("target")) != "").select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), "left_context", "target")
-    return proxy.train(samples, chunk_table(spark, d), ProxyConfig(epochs=2), written).history_frame()
+    return proxy.train(samples, chunk_table(spark, d), ProxyConfig(epochs=2), written, batches=2).history_frame()
 
 
 @query()
