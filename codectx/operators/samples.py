@@ -14,9 +14,9 @@ from codectx.functions import text as t
 from codectx.operators import sampling, structural
 from codectx.operators.dense import uniform
 
-#: Kinds of nodes of the Python tree at which a file may be cut. Fixed values.
-ONE_LINE = frozenset("Expr Assign AugAssign AnnAssign Return Raise Assert Delete Import ImportFrom".split())
-BLOCKS = frozenset("If For While With Try Match AsyncFor AsyncWith function_definition class_definition".split())
+#: Kinds of nodes of the trees at which a file may be cut. Fixed values.
+ONE_LINE = frozenset("Expr Assign AugAssign AnnAssign Return Raise Assert Delete Import ImportFrom statement".split())
+BLOCKS = frozenset("If For While With Try Match AsyncFor AsyncWith function_definition class_definition statement".split())
 KINDS = {"line": ONE_LINE, "block": BLOCKS, "mixed": ONE_LINE | BLOCKS}
 #: Levels tried one after another where one offers no cut. Fixed values.
 FALLBACK = {"line": ("line", "block", "mixed"), "block": ("block", "line", "mixed"), "mixed": ("mixed", "line", "block")}
@@ -28,7 +28,7 @@ def cut(content: str, language: str, level: str, pick: float, last: float) -> tu
     n = content.count("\n") + 1
     if n < LEAST_LINES:
         return None
-    root = structural.python_tree(content) if language == "python" else None
+    root = structural.python_tree(content) if language == "python" else structural.brace_tree(content) if language in ("java", "typescript") else None
     for name in FALLBACK[level] if root else ():
         found = structural.cut_candidates(root, name, KINDS[name])
         if found:

@@ -189,17 +189,30 @@ def py_chunks(spark: SparkSession, d: str) -> DataFrame:
     return entities.entity_chunks(files, ["sample_id"], "path", "content")
 
 
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").filter(F.col("code_lang").isin("py", "java", "ts", "cs"))
+    return files.withColumn("path", F.concat(F.col("repo"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("code_lang")))
+
+
 @query()
 def structural_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of at most 400 characters with one node of overlap, expanded, of all Python source files among the documents."""
-    files = table(spark, d, "documents").filter("code_lang = 'py'").withColumn("path", F.concat(F.col("repo"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")))
-    return structural.structural_chunks(files, "doc_id", "path", "text", 400, 1, True)
+    """Windows of at most 400 characters with one node of overlap, expanded, of all source files among the documents that there is a tree for."""
+    return structural.structural_chunks(source_files(spark, d), "doc_id", "path", "text", 400, 1, True)
+
+
+@query(r"""SELECT doc_id::VARCHAR AS doc, strlen(regexp_replace(text, '[ \t\n\r\x0b\x0c]', '', 'g'))::BIGINT AS covered FROM documents WHERE code_lang IN ('java', 'ts', 'cs') AND regexp_matches(text, '[^ \t\n\r\x0b\x0c]')""")
+def structural_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What of each Java, C# and TypeScript file is in its windows of at most 120 characters, or a token too large for one: all of it but white space."""
+    files = source_files(spark, d).filter("code_lang <> 'py'")
+    windows = structural.structural_chunks(files, "doc_id", "path", "text", 120).select("doc", t.nws_bytes(F.col("content")).alias("n"))
+    large = structural.node_table(files, "doc_id", "text", path="path").filter("leaf and nws > 120").select("doc", F.col("nws").alias("n"))
+    return windows.unionByName(large).groupBy("doc").agg(F.sum("n").alias("covered")).filter("covered > 0")
 
 
 @query()
 def ast_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes by type over the trees of all Python source files among the documents."""
-    nodes = structural.node_table(table(spark, d, "documents").filter("code_lang = 'py'"), "doc_id", "text")
+    """Nodes by type over the trees of all source files among the documents that there is a tree for."""
+    nodes = structural.node_table(source_files(spark, d), "doc_id", "text", path="path")
     return nodes.groupBy("type").agg(F.count("*").alias("n"), F.sum("nws").alias("size"))
 
 

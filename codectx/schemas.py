@@ -18,5 +18,5 @@ HISTORY = T.StructType([
 AST_NODE = T.StructType([
     T.StructField("doc", T.StringType()), T.StructField("node_id", T.IntegerType()), T.StructField("parent_id", T.IntegerType()), T.StructField("sibling_pos", T.IntegerType()),
     T.StructField("type", T.StringType()), T.StructField("start_byte", T.IntegerType()), T.StructField("end_byte", T.IntegerType()), T.StructField("start_row", T.IntegerType()),
-    T.StructField("start_col", T.IntegerType()), T.StructField("end_row", T.IntegerType()), T.StructField("end_col", T.IntegerType()), T.StructField("nws", T.IntegerType()),
+    T.StructField("start_col", T.IntegerType()), T.StructField("end_row", T.IntegerType()), T.StructField("end_col", T.IntegerType()), T.StructField("nws", T.IntegerType()), T.StructField("leaf", T.BooleanType()),
 ])

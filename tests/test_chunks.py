@@ -146,12 +146,43 @@ def test_nodes_in_a_range():
 
 
 def test_node_table_and_templates(spark):
-    df = spark.createDataFrame([("d", "a = 1\nb = f(2)\n", "p/q.py"), ("e", "x = (", "r.py"), ("f", None, None)], "doc string, content string, path string")
+    df = spark.createDataFrame([("d", "a = 1\nb = f(x)\n", "p/q.py"), ("e", "x = (", "r.py"), ("f", None, None)], "doc string, content string, path string")
     nodes = structural.node_table(df, "doc", "content").orderBy("node_id").collect()
-    assert [n.type for n in nodes] == ["module", "Assign", "Name", "Constant", "Assign", "Name", "Call", "Name", "Constant"] and nodes[0].parent_id is None and nodes[6].parent_id == 4 and nodes[6].nws == 4
+    assert [n.type for n in nodes] == ["module", "Assign", "Name", "=", "Constant", "Assign", "Name", "=", "Call", "Name", "(", "Name", ")"] and nodes[0].parent_id is None and nodes[8].parent_id == 5 and nodes[8].nws == 4 and nodes[9].leaf and not nodes[8].leaf
     out = structural.structural_chunks(df, "doc", "path", "content", 100)
     row = structural.code_windows(out, "coderagbench-repoeval", "repo").first()
     assert row.metadata.fpath_tuple == ["p", "q.py"] and row.metadata.repo == "repo" and row.metadata.line_count == 3 and row.metadata.node_count == 1
     assert structural.code_windows(out).first().metadata.chunk_size == 9 and structural.code_windows(out, "none").first().metadata == {}
     lite = structural.structural_chunks(df, "doc", "path", "content", 100, template="coderagbench-swebench-lite")
     assert structural.code_windows(lite, "coderagbench-swebench-lite").first()._id == "d_0-2"
+
+
+JAVA = "package a;\n// remark\nclass A<T> implements B {\n  int[] x = {1, 2};\n  String s = \"a } b\";\n  void f(int y) {\n    if (y > 0) { g(); } else { h(); }\n    for (int i = 0; i < 9; i++) k(i);\n  }\n}\n"
+DECORATED = "# first\nimport os\n\n@deco(1)\n@other\nclass A:\n    \"\"\"doc\"\"\"\n    @property\n    def f(self, a: int = 1, *b, **c) -> str:  # note\n        if a:\n            return f'{a!r:>{b}} {{}}' 'x'\n        else:\n            x = {1: 2, **c}\n        return lambda: [i for i in b if i]\n"
+
+
+@pytest.mark.parametrize("most", [20, 60, 120, 400, 10_000])
+@pytest.mark.parametrize("path,text", [("a.py", SERVICE + GLOBALS), ("a.py", DECORATED), ("a.py", "x = 'é'\ny = \"ü\" 'ö'; z = (1,\n 2)\n"), ("a.java", JAVA), ("a.ts", "const f = (a: string): void => { g({ a, b: [1] }) };\ninterface I { a: number }\nlet x = `a${b}`;\n"), ("a.cs", "namespace N { class C { int P { get; set; } } }"), ("a.java", "class A { void f( { \n } ) ] } }")])
+def test_windows_hold_every_token_once(path, text, most):
+    root, data = structural.tree_of(path, text), text.encode()
+    sums = structural.nws_sums(data)
+    held = np.zeros(len(data), int)
+    for w in structural.pack(root, sums, most):
+        assert size(sums, w) <= most
+        for n, _ in w:
+            held[n.start : n.stop] += 1
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        stack += n.children
+        if not n.children and sums[n.stop] - sums[n.start] > most:  # a token too large for any window
+            held[n.start : n.stop] += 1
+    solid = np.diff(sums) > 0
+    assert (held[solid] == 1).all()
+
+
+def test_ancestors_of_decorated_definitions_and_other_languages(spark):
+    df = spark.createDataFrame([("d", "p.py", DECORATED), ("e", "q.java", JAVA)], "doc string, path string, content string")
+    out = structural.structural_chunks(df, "doc", "path", "content", 40).collect()
+    heads = {tuple(r.ancestors) for r in out}
+    assert ("class A:", "def f(self, a: int = 1, *b, **c) -> str:  # note") in heads and ("class A<T> implements B {", "void f(int y) {") in heads
