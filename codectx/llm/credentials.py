@@ -32,7 +32,15 @@ PLACEHOLDER = re.compile(
 LOOKUP = re.compile(r"<[^<>]*>|\$\{|\$\(|\{\{|%\(|%[A-Z_]+%|\$[A-Z_]{2,}$|#\{|@@|os\.environ|process\.env|getenv|vault[.:/]")
 SPECIAL = frozenset("!?*#%+&@^~$=")
 WORD_SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿа-я]+|\d+")
-CONFIG = re.compile(r"(?i)\.(env|ini|cfg|conf|cnf|properties|ya?ml|json|toml)$|(?:^|/)\.env(?:\.\w+)?$|(?:^|/)\.?(?:npmrc|pypirc|netrc)$")
+CONFIG = re.compile(r"(?i)\.(env|ini|cfg|conf|cnf|properties|ya?ml|json|toml|tf|tfvars|hcl|xml|config|plist|xaml|sh|bash|zsh|envrc|dockerfile)$|(?:^|/)\.env(?:\.\w+)?$|(?:^|/)\.?(?:npmrc|pypirc|netrc)$|(?:^|/)(dockerfile|containerfile)(?:\.\w+)?$")
+XML, SHELL, DOCKER = frozenset("xml config plist xaml".split()), frozenset("sh bash zsh envrc".split()), frozenset("dockerfile containerfile".split())
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([\w:.-]+)((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*(/?)>""", re.S)
+ATTRIBUTE = re.compile(r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+#: An assignment of a shell or a container file, and one that is an item of a list.
+SHELL_VALUE = re.compile(r"""(?m)(?:^[ \t]*|(?<=[;&|][ \t])|\b(?:export|local|readonly|declare|env)[ \t]+)([A-Za-z_]\w*)=(?:"((?:\\.|[^"\\\n])*)"|'([^'\n]*)'|([^\s"'`;&|<>()]+))""")
+DOCKER_LINE, DOCKER_PAIR = re.compile(r"(?im)^[ \t]*(?:ENV|ARG|LABEL)[ \t]+((?:\\\r?\n|[^\n])*)"), re.compile(r"""([A-Za-z_][\w.-]*)=(?:"((?:\\.|[^"\\])*)"|'([^']*)'|((?:\\.|[^\s"'\\])+))""")
+OLD_ENV = re.compile(r"([A-Za-z_]\w*)[ \t]+([^\s=]\S*)[ \t]*\Z")
+ITEM_PAIR = re.compile(r"([A-Za-z_]\w*)=(?=\S)")
 
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BODY = re.compile(r"""(?:\\r|\\n|["'`+\s\\,]|#|//|(?:Proc-Type|DEK-Info|Version|Comment)[^\n]*)*[A-Za-z0-9+/=]{16,}|\s*\Z""")
@@ -108,8 +116,16 @@ def strong(value: str) -> bool:
 
 
 def issued(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of tokens that show what they are by themselves: behind an issuer's prefix, or long and random in a remark."""
     for m in RANDOM.finditer(text):
         at = m.start()
+        if m.end() - at >= 20 and re.search(r"\d", rest := m.group()) and re.search(r"[a-z]", rest) and re.search(r"[A-Z]", rest) and (at == 0 or text[at - 1] in " \t:="):
+            line = text.rfind("\n", 0, at) + 1
+            stop = text.find("\n", at)
+            here = text[line : stop if stop >= 0 else len(text)]
+            if any(s <= at - line < e for s, e in remarks(here)) and not NO_SECRET.search(text, max(line, at - 64), at):
+                yield m.span()
+                continue
         if at and text[at - 1] in "-_." and re.search(r"\d", rest := m.group()) and re.search(r"[a-z]", rest) and re.search(r"[A-Z]", rest):
             if p := PREFIX.search(text, max(0, at - 18), at):
                 yield p.start(), m.end()
@@ -190,6 +206,44 @@ def flow_values(text: str, at: int, stop: int) -> tuple[list[tuple[str, int, int
     return out, -1
 
 
+def xml_values(text: str) -> list[tuple[str, int, int]]:
+    """[(key path, start, end)] of the attributes and texts of an XML text. An attribute 'value' goes by what 'name' or 'key' beside it says, a text by the ``<key>`` before it.
+
+    >>> [(k, "<a><b p='x'>y</b></a>"[s:e]) for k, s, e in xml_values("<a><b p='x'>y</b></a>")]
+    [('a.b.p', 'x'), ('a.b', 'y')]
+    """
+    out: list[tuple[str, int, int]] = []
+    stack: list[str] = []
+    at, spoken = -1, ""  # where the text behind an opening tag begins; the last text of a <key>
+    for m in TAG.finditer(text):
+        if m.group(1) is not None:
+            if stack and m.group(1).strip():
+                out.append((".".join(stack), *m.span(1)))
+            at = -1
+        elif m.group(3):
+            if m.group(2):
+                if at >= 0 and stack and stack[-1] == m.group(3) and (inner := text[at : m.start()]).strip():
+                    s = at + len(inner) - len(inner.lstrip())
+                    e = at + len(inner.rstrip())
+                    if m.group(3).lower() == "key":
+                        spoken = text[s:e]
+                    else:
+                        out.append((".".join([*stack, spoken] if spoken else stack), s, e))
+                        spoken = ""
+                while stack and stack.pop() != m.group(3):
+                    pass
+                at = -1
+            else:
+                found = {t.group(1).lower(): t.span(2) if t.group(2) is not None else t.span(3) for t in ATTRIBUTE.finditer(text, *m.span(4))}
+                named = next((text[slice(*found[k])] for k in ("name", "key", "id") if k in found), "")
+                out += [(".".join([*stack, m.group(3), named if k == "value" and named else k]), s, e) for k, (s, e) in found.items()]
+                if not m.group(5):
+                    stack.append(m.group(3))
+                    spoken = spoken or (named if "value" not in found else "")
+                    at = m.end()
+    return out
+
+
 def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
     """[(key path, start, end)] of the values of a configuration text; quotes stand outside of the ranges.
 
@@ -197,8 +251,19 @@ def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
     [('a.pw', 'x1')]
     """
     m = CONFIG.search(path)
-    kind = (m.group(1) or "env").lower() if m else ""
+    kind = (m.group(1) or m.group(2) or "env").lower() if m else ""
     out: list[tuple[str, int, int]] = []
+    if kind in XML:
+        return xml_values(text)
+    if kind in SHELL:
+        return [(t.group(1), *next(t.span(k) for k in (2, 3, 4) if t.group(k) is not None)) for t in SHELL_VALUE.finditer(text)]
+    if kind in DOCKER:
+        for line in DOCKER_LINE.finditer(text):
+            pairs = list(DOCKER_PAIR.finditer(text, line.start(1), line.end(1)))
+            out += [(t.group(1), *next(t.span(k) for k in (2, 3, 4) if t.group(k) is not None)) for t in pairs]
+            if not pairs and (t := OLD_ENV.match(text, line.start(1), line.end(1))):
+                out.append((t.group(1), *t.span(2)))
+        return out
     if kind == "json":
         stack: list[str] = []
         name = ""
@@ -253,6 +318,9 @@ def config_values(path: str, text: str) -> list[tuple[str, int, int]]:
                 depth.pop()
             lead, name = item.end() - 1, ""
             s, e = start + item.end(), start + len(body)
+            if pair := ITEM_PAIR.match(text, s + (text[s : s + 1] in "\"'"), e):
+                name, s = pair.group(1), pair.end()
+                e -= text[e - 1] in "\"'" and text[start + item.end()] == text[e - 1]
         elif not m:
             continue
         else:

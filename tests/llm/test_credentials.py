@@ -95,3 +95,17 @@ def test_yaml_secrets_are_found_and_blanked():
 ])
 def test_every_secret_of_a_remark_or_call(text, secrets):
     assert [text[f.start : f.end] for f in c.find(text, "a.py")] == secrets
+
+
+@pytest.mark.parametrize("path,text,secrets", [
+    ("Dockerfile", "FROM x\nENV DB_PASSWORD=Xy12ab34 MODE=dev \\\n    API_TOKEN='Zt7-kk29-Aa'\nENV MASTER_KEY Qw9rT5zU1\nARG NAME=plain\n", ["Xy12ab34", "Zt7-kk29-Aa", "Qw9rT5zU1"]),
+    ("deploy/run.sh", "set -e\nexport DB_PASSWORD=Xy12ab34\nTOKEN='Zt7kk29Aa' cmd\nexport PASSWORD=$1\nPASS=${OTHER}\n", ["Xy12ab34", "Zt7kk29Aa"]),
+    ("a/web.config", "<configuration>\n <!-- <password>Aa11bb22Cc</password> -->\n <add key=\"DbPassword\" value=\"Xy12ab34\"/>\n <db user='u'><password>Zt7kk29Aa</password><url>x</url></db>\n <property name=\"api.token\">Qw9rT5zU1</property>\n</configuration>\n", ["Xy12ab34", "Zt7kk29Aa", "Qw9rT5zU1"]),
+    ("main.tf", 'resource "db" "x" {\n  password = "Xy12ab34"\n  name = "plain"\n}\n', ["Xy12ab34"]),
+    ("docker-compose.yml", "services:\n  db:\n    environment:\n      - DB_PASSWORD=Xy12ab34\n      - MODE=dev\n      - \"API_TOKEN=Zt7kk29Aa\"\n", ["Xy12ab34", "Zt7kk29Aa"]),
+    ("a.js", "f()\n// for local runs use UASYk4gKMjmas7ufQDwB2zco93Jy\n// commit UASYk4gKMjmas7ufQDwB2zco93Jy\nx = 'UASYk4gKMjmas7ufQDwB2zco93Jy'\n", ["UASYk4gKMjmas7ufQDwB2zco93Jy"]),
+])
+def test_formats(path, text, secrets):
+    found = c.find(text, path)
+    assert [text[f.start : f.end] for f in found] == secrets
+    assert not any(x in c.redact(text, found) for x in secrets if path != "a.js")
