@@ -42,6 +42,8 @@ SUFFIX = re.compile(
 )
 LOCKFILES = frozenset("package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml poetry.lock pipfile.lock uv.lock cargo.lock composer.lock gemfile.lock go.sum gopkg.lock packages.lock.json podfile.lock mix.lock flake.lock bun.lockb".split())
 JUDGED = re.compile(r"(?i)\.(?:py|pyi|js|mjs|cjs|jsx|ts|tsx|java|go|c|h|cc|cpp|cs|rb|php|css|scala|kt|rs|swift)$")
+#: What stands before a notice that is spoken about: code that deals with generated files.
+SPOKEN_OF = re.compile(r"\b(?:for|of|about|with|from|on|into|reads?|parses?|checks?|detects?|skips?|finds?|handles?|ignores?|wraps?|tests?|helpers?|whether|if|that|which|says?) +(?:(?:the|all|any|every|our|a|an) +)?(?:source +|files? +)?\Z|\b(?:whether|if|that|where) [\w ]{1,30}(?:is|are|was|were) +\Z")
 COMMENT = re.compile(r"(?:#|//|/\*|\*/|\*|--|;|<!--|\"\"\"|'''|[rbu]?\"{3}|%)")
 #: A line that is nothing but literals, after a name they may be assigned to.
 DATA_LINE = re.compile(r"""\s*(?:(?:var|let|const|static|final|public|private|val|byte|int)\s+)*(?:[\w.$\[\]<>]+\s*(?::\s*[\w\[\]<>.]+\s*)?:?=\s*)?(?:(?:new\s+)?[\w\[\].]*\s*[\[({]\s*)*(?:(?:"(?:[^"\\\s]|\\.)*"|'(?:[^'\\\s]|\\.)*'|-?(?:0x[0-9a-fA-F]+|\d[\d_.eE+-]*)|true|false|null|None|True|False)\s*[,:;\])}\[({\s]*)*;?\s*""")
@@ -108,6 +110,8 @@ def notice(text: str) -> str:
             start = end + 1 - len(phrase)
             if phrase == "do not modify" and low.startswith(" the licen", end + 1):  # Apache's text says so of its notices
                 continue
+            if SPOKEN_OF.search(low, max(0, start - 60), start) or low.startswith((" without", " unless"), end + 1):
+                continue
             if at_start and start > 0 or low[:start].count("'") % 2 or low[:start].count('"') % 2 or low[:start].count("`") % 2:
                 continue
             return kind

@@ -59,3 +59,10 @@ def test_a_notice_after_a_long_licence_counts(mark):
 def test_the_header_of_a_long_text_is_read_no_further_than_its_code():
     lines = h.header("# a\n" + CODE * 200_000)
     assert list(lines) == ["a"]
+
+
+@pytest.mark.parametrize("line,kind", [
+    ("# Helper for code generated by the protobuf compiler", ""), ("# do not edit without asking Bob", ""), ("# checks whether a file is auto-generated from a schema", ""), ("# Code generated by protoc. DO NOT EDIT.", "g"), ("# This code was automatically generated from api.yaml", "g"), ("# skips code generated by tools", ""),
+])
+def test_notices_are_said_not_spoken_about(line, kind):
+    assert h.notice(line + "\nx = 1\n") == kind
