@@ -5,11 +5,10 @@ and single characters, into tables of fixed size. From them a pair (a, b) gets i
 log2(n * c(ab) / (c(a) * c(b))), shrunk towards -4 where the pair is rare. The second pass scores each text's pairs,
 isolates the maximum-scoring segments of improbable ones, and tests inverse mappings inside these only.
 
-Garbling that is itself common in the corpus supports its own pairs ('Ã' is mostly followed by '©' or '¼'), so
-mutual information alone would call it probable. A pair therefore also counts as improbable if under some mapping
-its bytes begin a UTF-8 sequence, which pairs of correctly decoded text hardly ever do. For the same reason a run is also
-restored if its characters are less likely than the original ones by counts of characters outside such runs, which
-garbling cannot feed however often it is repeated.
+Garbling that is itself common in the corpus would support its own pairs ('Ã' is mostly followed by '©' or '¼'). The counts
+behind the mutual information are therefore those outside of runs that read like UTF-8 taken for another encoding: however often
+garbling is repeated, it doesn't feed the statistics that judge it. Such a run isn't thereby garbled; whether its pairs are improbable is for the counts
+to say, and whether anything is restored for the comparison with the original.
 """
 
 from __future__ import annotations
@@ -64,10 +63,10 @@ def _char_slots(a: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, slot, n) over all texts: kind 'c' single characters, 'u' those of them that are in runs like UTF-8 read as another encoding, 'p' pairs with one outside ASCII. Null texts count as empty."""
+    """(kind, slot, n) over all texts: kind 'c' single characters, 'p' pairs with one outside ASCII, 'u' and 'v' those of them that are in parts like UTF-8 read as another encoding. Null texts count as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars, like, pairs = np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
+        chars, like, pairs, like_pairs = (np.zeros(1 << bits, np.int64) for bits in (CHAR_BITS, CHAR_BITS, PAIR_BITS, PAIR_BITS))
         ascii_counts = np.zeros(128, np.int64)
         for batch in batches:
             for text in batch[text_col]:
@@ -79,10 +78,11 @@ def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
                 a, b = x[:-1], x[1:]
                 far = (a > 127) | (b > 127)
                 np.add.at(pairs, _slots(a[far], b[far], PAIR_BITS), 1)
-                if doubtful := "".join(utf8_like(r) for r in RUNS.findall(text)):
-                    np.add.at(like, _char_slots(codes(doubtful)), 1)
+                for s, e in doubtful(text):
+                    np.add.at(like, _char_slots(x[s:e]), 1)
+                    np.add.at(like_pairs, _slots(x[s : e - 1], x[s + 1 : e], PAIR_BITS), 1)
         np.add.at(chars, _char_slots(np.arange(128)), ascii_counts)
-        for kind, counts in (("c", chars), ("u", like), ("p", pairs)):
+        for kind, counts in (("c", chars), ("u", like), ("p", pairs), ("v", like_pairs)):
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"kind": kind, "slot": at, "n": counts[at]})
 
@@ -95,33 +95,34 @@ def count_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
 class PairModel:
     """Mutual information of adjacent characters, from tables of fixed size."""
 
-    def __init__(self, chars: np.ndarray, pairs: np.ndarray, like: np.ndarray | None = None):
+    def __init__(self, chars: np.ndarray, pairs: np.ndarray, like: np.ndarray | None = None, like_pairs: np.ndarray | None = None):
         self.clean = chars.astype(np.float64) - (0 if like is None else like)
+        self.clean_pairs = pairs.astype(np.float64) - (0 if like_pairs is None else like_pairs)
         self.clean_total = float(self.clean.sum())
         self.chars, self.pairs, self.total = chars.astype(np.float64), pairs.astype(np.float64), max(1.0, float(chars.sum()))
         self.logs: dict[str, float] = {}
 
     @classmethod
     def of(cls, df: DataFrame, text_col: str = "text") -> PairModel:
-        """Reads at most 2**18 + 2**17 counts into the driver, whatever the corpus' size."""
+        """Reads at most 2**19 + 2**17 counts into the driver, whatever the corpus' size."""
         rows = count_pairs(df, text_col).toArrow().to_pandas()
         out = []
-        for kind, bits in (("c", CHAR_BITS), ("p", PAIR_BITS), ("u", CHAR_BITS)):
+        for kind, bits in (("c", CHAR_BITS), ("p", PAIR_BITS), ("u", CHAR_BITS), ("v", PAIR_BITS)):
             table, part = np.zeros(1 << bits, np.int64), rows[rows.kind == kind]
             table[part.slot.to_numpy(np.int64)] = part.n.to_numpy(np.int64)
             out.append(table)
         return cls(*out)
 
     def scores(self, text: str) -> np.ndarray:
-        """Shrunk pointwise mutual information of each adjacent pair; pairs within ASCII get 0."""
+        """Shrunk pointwise mutual information of each adjacent pair, by the counts that garbling doesn't feed; pairs within ASCII get 0."""
         x = codes(text)
         a, b = x[:-1], x[1:]
         far = (a > 127) | (b > 127)
         out = np.zeros(len(a))
         if far.any():
             a, b = a[far], b[far]
-            c = self.pairs[_slots(a, b, PAIR_BITS)]
-            pmi = np.log2((c + 1e-3) * self.total / (np.maximum(1, self.chars[_char_slots(a)]) * np.maximum(1, self.chars[_char_slots(b)])))
+            c = self.clean_pairs[_slots(a, b, PAIR_BITS)]
+            pmi = np.log2((c + 1e-3) * max(1.0, self.clean_total) / (np.maximum(1, self.clean[_char_slots(a)]) * np.maximum(1, self.clean[_char_slots(b)])))
             trust = c / (c + 5)
             out[far] = trust * pmi - 4 * (1 - trust)
         return out
@@ -233,9 +234,6 @@ def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     x = codes(text)
     near = (x[:-1] < 128) & (x[1:] < 128)
     worth[near] = BRIDGE
-    for k in np.flatnonzero((x[:-1] > 127) & (x[1:] > 127)).tolist():
-        if utf8_pair(text[k], text[k + 1]):
-            worth[k] = 2.0
     found = [(s, e + 1) for s, e in maximal_segments(worth)]
     out: list[list[int]] = []
     for s, e in [*found, *([m.start(), m.end()] for m in re.finditer(REPLACED, text))]:
@@ -247,7 +245,7 @@ def segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     out.sort()
     merged: list[list[int]] = []
     for s, e in out:
-        if merged and s <= merged[-1][1]:
+        if merged and s <= merged[-1][1] + 1:  # neighbouring words are judged together
             merged[-1][1] = max(e, merged[-1][1])
         else:
             merged.append([s, e])
@@ -295,11 +293,21 @@ def utf8_parts(run: str) -> list[tuple[str, list[tuple[str, str]]]]:
 
 
 @lru_cache(1 << 16)
-def utf8_like(run: str) -> str:
-    """The characters of a run that are in parts like UTF-8 read as another encoding; none of a run of Russian letters."""
+def utf8_like(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that are like UTF-8 read as another encoding; none of a run of Russian letters."""
     if not any(utf8_pair(a, b) for a, b in zip(run, run[1:])):
-        return ""
-    return "".join(old for old, steps in utf8_parts(run) if steps and not RUSSIAN.fullmatch(old))
+        return []
+    out, at = [], 0
+    for old, steps in utf8_parts(run):
+        if steps and not RUSSIAN.fullmatch(old):
+            out.append((at, at + len(old)))
+        at += len(old)
+    return out
+
+
+def doubtful(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a text that are left out of the counts which judge it."""
+    return [(m.start() + s, m.start() + e) for m in RUNS.finditer(text) for s, e in utf8_like(m.group())]
 
 
 def short_damage(part: str, here: float, ranked: list[tuple[float, str, str]], model: PairModel) -> bool:
@@ -389,7 +397,7 @@ def find_garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Python's part. The counts behind the decision are those of all texts of ``df`` unless a ``model`` is given.
     """
     model = model or PairModel.of(df, text_col)
-    shared = df.sparkSession.sparkContext.broadcast((model.chars, model.pairs, model.chars - model.clean))
+    shared = df.sparkSession.sparkContext.broadcast((model.chars, model.pairs, model.chars - model.clean, model.pairs - model.clean_pairs))
     out = f"{id_col} long, text string, encodings array<string>, segments int, lost int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
