@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codectx.functions.text import identifier_set, lines, strip, text
 
@@ -17,6 +18,11 @@ def retrieval_text(path: Column, start: Column, end: Column, kind: Column, paren
     return strip(F.concat(head, F.when(F.length(parent) > 0, F.concat(F.lit(" class="), parent)).otherwise(F.lit("")), F.lit("\n"), text(body)))
 
 
+def place_within(group: Column, *order: Column) -> Column:
+    """The place of a row in its group from 0; a group is as large as one sample's or file's chunks."""
+    return F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+
+
 def line_windows(df: DataFrame, text_col: str, size: int, keep: list[str], newline_only: bool = False) -> DataFrame:
     """``keep`` and (chunk_no, start_line, end_line, text) of windows of ``size`` lines.
 

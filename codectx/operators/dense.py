@@ -31,6 +31,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def group_top_k(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, rk, cid, score): the k largest inner products of each query (qid, grp, qvec) with the vectors (cid, grp, vec, pos) of its group, a sample's own candidates; ties by position."""
+    scored = queries.join(vectors, "grp").select("qid", "cid", "pos", dot(F.col("qvec"), F.col("vec")).alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "pos")
+    return scored.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("qid", "rk", "cid", "score")
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, skip_self: bool = False) -> DataFrame:
     """(qid, rk, cid, score): the k largest inner products of each query (qid, qvec) with all vectors (cid, vec, pos); ties by position.
 

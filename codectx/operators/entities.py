@@ -103,22 +103,22 @@ def spans(source: str) -> list[dict] | None:
     return out
 
 
-def entity_chunks(files: DataFrame, keys: list[str], path: str, content: str, most: int = MOST_LINES, fallback: int = FALLBACK_LINES) -> DataFrame:
-    """``keys``, chunk_pos and the columns of a code chunk, for every file parsed as Python whatever its suffix.
+def entity_chunks(files: DataFrame, keys: list[str], path: str, content: str, most: int = MOST_LINES, fallback: int = FALLBACK_LINES, python_only: bool = False) -> DataFrame:
+    """``keys``, chunk_pos and the columns of a code chunk, for every file parsed as Python whatever its suffix, or with ``python_only`` those ending in .py; the others are cut into windows.
 
     A file that doesn't parse, or of which nothing but white space is left, is cut into 'fallback' windows; an empty one has one
     window '' of line 1. Null contents are empty. Pieces after the first of a long function or method define nothing.
     """
 
     @F.pandas_udf(f"array<struct<{SPAN.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean').replace(' array', ':array')}>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([spans(x) for x in texts])
+    def found(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([spans(x) if not python_only or (p or "").lower().endswith(".py") else None for x, p in zip(texts, paths)])
 
     base = spread(files.select(*keys, F.col(path).alias("file_path"), F.coalesce(F.col(content), F.lit("")).alias("_text")))
     n = F.greatest(F.size("_lines"), F.lit(1))
     empty = F.array().cast("array<string>")
     whole = F.array(F.struct(F.lit("fallback").alias("kind"), F.lit(1).alias("start"), n.cast("int").alias("end"), empty.alias("defined"), F.lit(None).cast("string").alias("parent"), empty.alias("bases"), empty.alias("methods"), F.lit(True).alias("split")))
-    rows = base.withColumn("_lines", lines(F.col("_text"))).withColumn("_spans", found("_text"))
+    rows = base.withColumn("_lines", lines(F.col("_text"))).withColumn("_spans", found("_text", "file_path"))
     rows = rows.withColumn("_spans", F.when(F.coalesce(F.size("_spans"), F.lit(0)) > 0, F.col("_spans")).otherwise(whole))
     one = rows.select(*keys, "file_path", "_lines", F.posexplode("_spans").alias("_at", "s"))
     step = F.when(F.col("s.kind").isin("rest", "fallback"), fallback).otherwise(most)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codectx.functions import text as t
+from codectx.operators import structural
 
 TAIL_LINES, MOST_HINTS, MOST_IDENTIFIERS, MOST_LOCALS = 80, 12, 40, 24
 #: Initial weights of the rule-like gate: member access, trailing underscore, length; its bias. Fixed values.
@@ -39,6 +44,15 @@ def with_sketch(df: DataFrame, text_col: str, name: str = "sketch") -> DataFrame
     return rows.withColumn(name, F.struct(*(c.alias(k) for k, c in s.items()), t.strip(query).alias("query"))).drop("_lines", "_tail", "_end", "_s")
 
 
+def retrieval_query(df: DataFrame, text_col: str, mode: str = "static", name: str = "query") -> DataFrame:
+    """``df`` with what is searched for: the left context as it stands ('raw') or its sketch's query ('static')."""
+    if mode == "raw":
+        return df.withColumn(name, t.text(F.col(text_col)))
+    if mode != "static":
+        raise ValueError(f"unknown intent mode {mode!r}")
+    return with_sketch(df, text_col, "_q").withColumn(name, F.col("_q.query")).drop("_q")
+
+
 def cursor_index(cursor: Column, n: Column) -> Column:
     """A line from 1 as an index from 0 within n lines: the first for 0 and less, the last at the end and beyond."""
     return F.when((n <= 0) | (cursor <= 0), 0).when(cursor >= n, n - 1).otherwise(cursor - 1)
@@ -50,17 +64,110 @@ def _last(own: Column, word: str) -> Column:
     return F.rtrim(F.try_element_at(found, F.lit(-1)), F.lit(t.SPACE))
 
 
-def with_scope(df: DataFrame, text_col: str, cursor_col: str, name: str = "scope", context_lines: int = 15) -> DataFrame:
-    """``df`` with the scope at a cursor, from a scan of Python lines: imports, the nearest class and def header above (whether or not they enclose it), the lines before, local variables."""
+def indented_scope(rows: list[str], at: int) -> tuple[int | None, int | None]:
+    """(row of the class header, row of the def header) that a row of Python lies in by its indentation, for texts that don't parse; a header lies in itself.
+
+    >>> indented_scope(["class A:", "    def f(self):", "        x = 1", "def g(): pass", "y"], 2), indented_scope(["def g():", "  pass", "y"], 2)
+    ((0, 1), (None, None))
+    """
+    found: dict[str, int] = {}
+    level = None
+    for k in range(min(at, len(rows) - 1), -1, -1):
+        bare = rows[k].lstrip(t.SPACE)
+        if not bare or bare[0] == "#" and k != at:
+            continue
+        depth = len(rows[k]) - len(bare)
+        if level is None or depth < level:
+            kind = "class" if bare.startswith("class ") else "def" if bare.startswith(("def ", "async def ")) else ""
+            if kind:
+                found.setdefault(kind, k)
+            level = depth
+            if not depth:
+                break
+    return found.get("class"), found.get("def")
+
+
+#: Statements that import, in languages without a tree of their own here. Fixed values.
+GO_IMPORT = re.compile(r"(?m)^import[ \t]+(?:\([^)]*\)|[^\n]*)")
+
+
+def tree_scope(path: str, text: str, at: int) -> dict:
+    """What a file's tree says of row ``at``: imports that end there or above, headers of the innermost class and function around it, first and last row of the smaller of the two.
+
+    Headers and rows are given for Python; a Python text that doesn't parse is judged by its indentation and has no imports.
+    """
+    out: dict = {"imports": [], "parent_class": None, "parent_function": None, "first": None, "last": None}
+    kind = os.path.splitext(path or "")[1].lower() or ".py"
+    if kind == ".go":
+        found = [(m.group(), text.count("\n", 0, m.end())) for m in GO_IMPORT.finditer(text)]
+        out["imports"] = list(dict.fromkeys(x for x, row in found if row <= at))
+        return out
+    python = kind == ".py"
+    root = structural.python_tree(text) if python else structural.brace_tree(text)
+    rows = text.split("\n")
+    if root is None:
+        spans = [(k, at) for k in indented_scope(rows, at) if k is not None] if python else []
+        heads = indented_scope(rows, at) if python else (None, None)
+    else:
+        data = text.encode("utf-8", "replace")
+        inner: dict[str, structural.Node] = {}
+        stack = [root]
+        while stack:
+            n = stack.pop()
+            if n.kind in ("Import", "ImportFrom") and n.end_row <= at or n.kind == "statement" and n.end_row <= at and data[n.head : n.head + 7].split()[:1] == [b"import"]:
+                out["imports"].append((n.start, data[max(n.start, n.head) : n.stop].decode("utf-8", "replace")))
+            if n.start_row <= at <= n.end_row and n.kind in ("class_definition", "function_definition"):
+                inner[n.kind] = n
+            stack += [c for c in reversed(n.children) if c.start_row <= at]
+        out["imports"] = list(dict.fromkeys(x for _, x in sorted(out["imports"])))
+        row_of = lambda n: data.count(b"\n", 0, n.head)
+        heads = tuple(row_of(inner[k]) if python and k in inner else None for k in ("class_definition", "function_definition"))
+        spans = [(row_of(n), n.end_row) for n in inner.values()] if python else []
+    out["parent_class"], out["parent_function"] = (rows[k].rstrip(t.SPACE) if k is not None else None for k in heads)
+    if spans:
+        out["first"], out["last"] = min(spans, key=lambda s: s[1] - s[0])
+    return out
+
+
+SCOPE = "struct<imports:array<string>,parent_class:string,parent_function:string,first:int,last:int>"
+
+
+def with_scope(df: DataFrame, text_col: str, cursor_col: str, name: str = "scope", context_lines: int = 15, path_col: str | None = None, tree: bool = True) -> DataFrame:
+    """``df`` with the scope at a cursor: imports, class and function around it, code before it, local variables.
+
+    What the tree of the file (by the suffix of ``path_col``, Python without one) doesn't say is taken from a scan of lines: import lines up to the cursor, and for Python the nearest class and
+    def header above, whether or not they enclose it. The code is that of the function or class around the cursor up to it, max(30, 4 * context_lines) lines at most, else the
+    ``context_lines`` before. Without ``tree`` only lines are scanned, and nothing leaves the JVM.
+    """
+    path = F.col(path_col) if path_col else F.lit(".py")
+    if tree:
+        @F.pandas_udf(SCOPE)
+        def found(texts: pd.Series, paths: pd.Series, at: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([tree_scope(p, x, int(k)) for x, p, k in zip(texts, paths, at)], columns=["imports", "parent_class", "parent_function", "first", "last"]).astype({"first": "Int32", "last": "Int32"})
+
+        plain = df.withColumn("_text", t.newline_normalised(F.col(text_col)))
+        at = cursor_index(F.col(cursor_col), F.size(t.lines(F.col("_text"))))
+        base = plain.withColumn("_tree", found("_text", F.coalesce(path, F.lit(".py")), F.coalesce(at, F.lit(0)).cast("int"))).drop("_text")
+    else:
+        base = df.withColumn("_tree", F.lit(None).cast(SCOPE))
+    return _scanned(base, text_col, cursor_col, name, context_lines, t.language(path))
+
+
+def _scanned(df: DataFrame, text_col: str, cursor_col: str, name: str, context_lines: int, language: Column) -> DataFrame:
     own = df.withColumn("_lines", t.lines(t.newline_normalised(F.col(text_col)))).withColumn("_at", cursor_index(F.col(cursor_col), F.size("_lines")))
     rows = own.withColumn("_above", F.slice("_lines", 1, F.col("_at") + 1))
     first = F.greatest(F.lit(1), F.col("_at") + 1 - max(1, context_lines))
-    rows = rows.withColumn("_code", F.slice("_lines", first, F.col("_at") + 2 - first)).withColumn("_class", _last(F.col("_above"), "class")).withColumn("_def", _last(F.col("_above"), "def"))
-    imports = F.array_distinct(F.transform(F.filter("_above", lambda x: t.lstrip(x).startswith("import ") | t.lstrip(x).startswith("from ") & t.strip(x).contains(" import ")), t.rstrip))
+    python = language == "python"
+    block = F.greatest(F.least(F.col("_tree.first"), F.col("_at")), F.col("_at") + 1 - max(30, 4 * context_lines)) + 1
+    first = F.coalesce(block, first)
+    rows = rows.withColumn("_code", F.slice("_lines", first, F.col("_at") + 2 - first))
+    rows = rows.withColumn("_class", F.coalesce("_tree.parent_class", F.when(python, _last(F.col("_above"), "class")))).withColumn("_def", F.coalesce("_tree.parent_function", F.when(python, _last(F.col("_above"), "def"))))
+    lines = F.filter("_above", lambda x: t.lstrip(x).startswith("import ") & language.isin("python", "java", "javascript", "typescript") | python & t.lstrip(x).startswith("from ") & t.strip(x).contains(" import "))
+    imports = F.when(F.size("_tree.imports") > 0, F.col("_tree.imports")).otherwise(F.array_distinct(F.transform(lines, t.rstrip)))
     rows = rows.withColumn("_imports", imports).withColumn("_locals", local_variables(F.col("_code"), F.col("_def")))
     return rows.withColumn(name, F.struct(
         F.col("_imports").alias("imports"), F.col("_class").alias("parent_class"), F.col("_def").alias("parent_function"), F.array_join("_code", "\n").alias("local_code"), F.col("_locals").alias("local_variables"), (F.col("_at") + 1).alias("cursor_line")
-    )).drop("_lines", "_at", "_above", "_code", "_class", "_def", "_imports", "_locals")
+    )).drop("_lines", "_at", "_above", "_code", "_class", "_def", "_imports", "_locals", "_tree")
 
 
 def local_variables(code: Column, function: Column) -> Column:

@@ -58,6 +58,13 @@ def epoch_batches(df: DataFrame, key: str, epoch: int, size: int = 4, seed: int
     return placed.withColumn("batch_no", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
+def one_of_each(df: DataFrame, group: str, key: str, epoch: int, seed: int = 13) -> DataFrame:
+    """One row of each group, drawn anew for each epoch: the first in the order of a seeded hash. Keys decide, rows are joined after."""
+    h = order_key(seed, F.lit(epoch), F.col(key))
+    first = df.groupBy(group).agg(F.min(F.struct(h.alias("h"), F.col(key).alias("k"))).alias("_f")).select(F.col("_f.k").alias(key))
+    return df.join(first, key, "left_semi")
+
+
 def sampled_contexts(ranked: DataFrame, k: int, n: int, seed: int = 13) -> DataFrame:
     """(qid, draw, rk, cid): draw 0 is the top k, the n - 1 others are k of the top max(4k, k + 1), in hash order. A query without candidates has no rows."""
     pool = ranked.filter(F.col("rk") <= max(4 * k, k + 1))

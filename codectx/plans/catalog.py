@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from codectx.functions import quality
 from codectx.functions import text as t
 from codectx.operators import chunking, dense, entities, evaluation, intent, packing, ranking, samples, sampling, strategies, structural, utility
-from codectx.plans import proxy
-from codectx.plans.config import ProxyConfig
+from codectx.plans import neural, proxy, runner
+from codectx.plans.config import NeuralConfig, ProxyConfig
 from codectx.sources import readers
 from codectx.storage import written
 
@@ -288,11 +288,24 @@ def intent_sketch(spark: SparkSession, d: str) -> DataFrame:
     return s.select("sample_id", "s.prefix", "s.member_owner", "s.member_prefix", *(n(F.size(f"s.{c}")).alias(f"n_{c}") for c in ("class_hints", "import_hints", "identifiers")), F.md5("s.query").alias("query_md5"))
 
 
+@query()
+def cursor_scope(spark: SparkSession, d: str) -> DataFrame:
+    """The scope by tree at the middle line of every document that is a source file."""
+    rows = table(spark, d, "documents").filter("code_lang is not null").select("doc_id", "text", F.concat(F.lit("x."), "code_lang").alias("path"), F.floor((F.size(t.lines(F.col("text"))) + 1) / 2).cast("int").alias("cursor"))
+    s = intent.with_scope(rows, "text", "cursor", "s", path_col="path")
+    return s.select("doc_id", F.size("s.imports").alias("n_imports"), "s.parent_class", "s.parent_function", F.size("s.local_variables").alias("n_locals"), "s.cursor_line", F.md5(intent.scope_prompt(F.col("s"), F.col("path"))).alias("prompt_md5"))
+
+
+@query("SELECT sample_id, md5(coalesce(left_context, '')) AS query_md5 FROM training_samples")
+def raw_query(spark: SparkSession, d: str) -> DataFrame:
+    return intent.retrieval_query(table(spark, d, "training_samples"), "left_context", "raw").select("sample_id", F.md5("query").alias("query_md5"))
+
+
 @query()
 def scope_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The scope at the middle line of every document."""
     rows = table(spark, d, "documents").select("doc_id", "text", F.floor((F.size(t.lines(F.col("text"))) + 1) / 2).cast("int").alias("cursor"))
-    s = intent.with_scope(rows, "text", "cursor", "s")
+    s = intent.with_scope(rows, "text", "cursor", "s", tree=False)
     return s.select("doc_id", F.size("s.imports").alias("n_imports"), "s.parent_class", "s.parent_function", F.size("s.local_variables").alias("n_locals"), "s.cursor_line", F.length(intent.scope_prompt(F.col("s"), F.lit("current_file.py"))).alias("n_prompt"))
 
 
@@ -460,6 +473,13 @@ UTILITY_SQL = f"""WITH {STRATEGY_SQL}, {NLL_SQL.format(strategies='strategies')}
     ranked AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(utility, 9) DESC, round(nll, 9), pos) AS rk FROM u)"""
 
 
+@query()
+def strategy_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """What all six strategies offer every sample, with the default models; rows by strategy."""
+    rows = table(spark, d, "training_samples").select(F.col("sample_id").alias("sid"), F.col("repo").alias("grp"), "left_context", "target")
+    return neural.fan_out(neural.DefaultModels(), rows, chunk_table(spark, d), NeuralConfig()).groupBy("strategy").agg(F.count("*").alias("n"), F.count_distinct("sid").alias("samples"))
+
+
 def ranked_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = written(strategy_rows(spark, d))
     samples = search_samples(spark, d).select(F.col("sample_id").alias("sid"), "left_context", "target")
@@ -611,6 +631,33 @@ def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1]).select("doc_id", "epoch", n(F.col("batch_no")).alias("batch_no"))
 
 
+@query("""SELECT repo, epoch, arg_min(chunk_key, sha256('13|' || epoch || '|' || chunk_key)) AS chunk_key FROM code_chunks CROSS JOIN (VALUES (0), (1)) AS e(epoch) WHERE repo IS NOT NULL GROUP BY ALL""")
+def epoch_one_per_repo(spark: SparkSession, d: str) -> DataFrame:
+    """The dynamic mode of an epoch: one chunk of each repository."""
+    c = table(spark, d, "code_chunks").filter("repo is not null").select("repo", "chunk_key")
+    both = [sampling.one_of_each(c, "repo", "chunk_key", e).withColumn("epoch", F.lit(e)) for e in (0, 1)]
+    return both[0].unionByName(both[1]).select("repo", "epoch", "chunk_key")
+
+
+@query("SELECT sample_id, count(*) FILTER (WHERE NOT suffix(lower(path), '.py')) AS other_files FROM (SELECT sample_id, unnest(map_keys(crossfile_context)) AS path FROM loader_samples) GROUP BY 1")
+def sample_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each sample's cross-file map that are no Python and so give fallback chunks only, as its candidate chunks have them."""
+    files = table(spark, d, "loader_samples").select("sample_id", F.explode("crossfile_context").alias("path", "content"))
+    chunks = runner.candidate_chunks(files, "sample_id")
+    other = chunks.filter(~F.lower("file_path").endswith(".py")).groupBy("grp").agg(F.count_distinct(F.when(F.col("chunk_type") == "fallback", F.col("file_path"))).alias("n"))
+    return files.select("sample_id").distinct().join(other, F.col("sample_id") == F.col("grp"), "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("other_files"))
+
+
+@query()
+def repository_training_set(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as repository files, from samples to candidates: one row for each sample with the number of its candidate chunks."""
+    docs = table(spark, d, "documents").filter("doc_kind = 'source_file'")
+    files = docs.select(F.col("repo").alias("repo_id"), F.concat_ws(".", F.col("doc_id").cast("string"), "code_lang").alias("path"), F.col("text").alias("content"))
+    wanted = files.count()
+    kept, chunks = runner.training_set(files, runner.RunConfig("", "", "mixed", wanted, wanted, 0, 40, 1000, 10))
+    return kept.join(chunks.groupBy("grp").agg(F.count("*").alias("candidates")), "grp", "left").select("qid", F.length("target").alias("n_target"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
 @query(f"""WITH u AS (SELECT {UNIFORM_SQL.format("'13|' || sample_id")} AS u FROM training_samples) SELECT CASE WHEN u < 0.7 THEN 'line' WHEN u < 0.9 THEN 'block' ELSE 'mixed' END AS level, count(*) AS n FROM u GROUP BY 1""")
 def cut_levels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "training_samples").groupBy(sampling.cut_level(dense.uniform(13, F.col("sample_id"))).alias("level")).agg(F.count("*").alias("n"))

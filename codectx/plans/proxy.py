@@ -79,6 +79,11 @@ def affinity_steps(best: DataFrame, lr: float) -> DataFrame:
     return best.select(F.explode(F.when(F.size(useful) > 0, useful).otherwise(wanted)).alias("token")).groupBy("token").agg((F.count("*") * lr).alias("affinity"))
 
 
+def affinity_order(affinities: DataFrame) -> DataFrame:
+    """The strongest first; of equal ones the token that comes first. A range-partitioned sort, no task has all of them."""
+    return affinities.orderBy(F.desc("affinity"), "token")
+
+
 def scored_contexts(samples: DataFrame, contexts: DataFrame, chunks: DataFrame, affinities: DataFrame) -> DataFrame:
     """(qid, draw, cids, used, quality) of all contexts and the empty one (the last draw, -1) of samples (qid, left_context, target)."""
     packed = context_symbols(contexts, chunks)

@@ -83,6 +83,17 @@ def crossfile_pairs(raw: Column) -> Column:
     return F.coalesce(F.when(trimmed.startswith("{"), F.from_json(raw, "map<string,string>")).when(trimmed.startswith("["), last), empty)
 
 
+def eval_path(name: str = "repoeval", language: str = "python", base: str = "data") -> str:
+    """Where the evaluation set of a name lies. The layout is a fixed value."""
+    return f"{base}/{name}/{language}/test.parquet" if name == "repoeval_update" else f"{base}/{name}/test.parquet"
+
+
+def eval_set(spark: SparkSession, name: str = "repoeval", language: str = "python", most: int = 100, base: str = "data") -> DataFrame:
+    """The evaluation rows of a named set in file order, the first ``most`` of them; 0 takes all."""
+    df = spark.read.parquet(eval_path(name, language, base))
+    return eval_rows(df.withColumn("row_index", F.col("_metadata.row_index")), most, "row_index")
+
+
 def eval_rows(df: DataFrame, most: int = 0, order: str = "item_id") -> DataFrame:
     """Evaluation rows in one shape: task_id (task_<place> where the column is missing), left_context, right_context, groundtruth (or target_code), crossfile. ``most`` 0 takes all."""
     has = set(df.columns)

@@ -277,3 +277,75 @@ def test_proxy_queries_take_all_samples(spark):
     d = "/root/testdata/sf0.001"
     n = catalog.table(spark, d, "training_samples").count()
     assert catalog.proxy_predict(spark, d).count() == n == catalog.search_samples(spark, d).count()
+
+
+def test_scope_by_tree_and_by_indentation(spark):
+    from codectx.operators import intent
+
+    code = "import os\nfrom a import (\n    b,\n)\n\n@deco\nclass A:\n    def f(self, p):\n        x = 1\n        return x\n\ndef g():\n    y = 2\n\nz = 3\n"
+    broken = code + "def h(:\n    w = 1\n"
+    java = "package p;\nimport a.B;\nclass C {\n  void f() {\n    int x;\n  }\n}\n"
+    go = "package p\n\nimport (\n\t\"fmt\"\n)\n\nfunc f() {}\n"
+    rows = [(1, code, "a.py", 9), (2, code, "a.py", 15), (3, broken, "a.py", 9), (4, java, "a.java", 5), (5, go, "a.go", 7), (6, None, None, 0), (7, code, "a.py", 6), (8, code, "a.py", 3)]
+    df = spark.createDataFrame(rows, "k int, t string, p string, c int")
+    got = {r.k: r.s for r in intent.with_scope(df, "t", "c", "s", path_col="p").collect()}
+    assert got[1].imports == ["import os", "from a import (\n    b,\n)"] and (got[1].parent_class, got[1].parent_function) == ("class A:", "    def f(self, p):") and got[1].local_code == "    def f(self, p):\n        x = 1" and got[1].local_variables == ["p", "x"]
+    assert (got[2].parent_class, got[2].parent_function) == ("class A:", "def g():")  # nothing encloses it: the nearest headers above
+    assert (got[3].parent_class, got[3].parent_function) == ("class A:", "    def f(self, p):") and got[3].imports == ["import os", "from a import ("]
+    assert got[4].imports == ["import a.B;"] and got[4].parent_class is None and got[5].imports == ["import (\n\t\"fmt\"\n)"] and got[6].imports == [] and got[6].cursor_line == 1
+    assert got[8].imports == ["import os"]
+    scanned = {r.k: r.s for r in intent.with_scope(df, "t", "c", "s", path_col="p", tree=False).collect()}
+    assert scanned[4].imports == ["import a.B;"] and scanned[5].imports == []
+    q = intent.retrieval_query(spark.createDataFrame([(None,), ("a.b",)], "l string"), "l", "raw").collect()
+    assert [r.query for r in q] == ["", "a.b"]
+    with pytest.raises(ValueError):
+        intent.retrieval_query(df, "t", "other")
+
+
+def test_from_a_repository_to_a_checkpoint(spark, tmp_path):
+    from codectx.plans import runner
+    from codectx.sources import readers
+
+    body = "import os\n" + "".join(f"def fun{i}(a):\n    value{i} = a + {i}\n    if value{i}:\n        return fun{i - 1}(value{i})\n    return {i}\n" for i in range(20))
+    rows = [(k % 3 == 0, f"m{k}.py" if k != 4 else "m4.txt", body.replace("value", f"value{k}_")) for k in range(9)]
+    spark.createDataFrame(rows, "first boolean, path string, content string").coalesce(1).write.parquet(str(tmp_path / "repos"))
+    cfg = runner.RunConfig(str(tmp_path / "repos"), str(tmp_path / "ck"), "mixed", 12, 40, 6, 50, 100, 10)
+    out = runner.train(spark, cfg, config.ProxyConfig(epochs=1))
+    assert out["num_samples"] == 6 and out["epochs"] == 1 and out["num_chunks"] > 10
+    weights, liking, gate = sinks.load_checkpoint(spark, str(tmp_path / "ck"))
+    assert liking.count() > 0 and len(gate["weights"]) == 4
+    kept, chunks = runner.training_set(readers.repo_files(spark, cfg.dataset_path), cfg)
+    assert {r.chunk_type for r in chunks.filter("file_path = 'm4.txt'").select("chunk_type").collect()} <= {"fallback"}
+    places = [(r.grp, r.pos) for r in chunks.orderBy("grp", "pos").collect()]
+    assert all(b[1] == a[1] + 1 for a, b in zip(places, places[1:]) if a[0] == b[0])
+    with pytest.raises(RuntimeError):
+        runner.train(spark, runner.RunConfig(str(tmp_path / "repos"), str(tmp_path / "no"), min_file_lines=10**6, attempts=0), config.ProxyConfig())
+
+
+def test_table_functions_indexes_snapshots_and_draws(spark, tmp_path):
+    from codectx.functions import tables
+    from codectx.operators import sampling
+    from codectx.plans import neural
+    from codectx.sources import readers
+
+    tables.register(spark)
+    spark.createDataFrame([("a.py", "x = 1\ndef f():\n    pass\n")], "p string, t string").createOrReplaceTempView("files_")
+    assert [tuple(r) for r in spark.sql("SELECT l.chunk_no, l.start_line, l.end_line FROM files_, LATERAL line_chunks(t, 2) l ORDER BY 1").collect()] == [(0, 1, 2), (1, 3, 3)]
+    assert {r.kind for r in spark.sql("SELECT s.kind FROM files_, LATERAL entity_spans(t) s").collect()} == {"global", "function"}
+    assert [r.content for r in spark.sql("SELECT w.content FROM files_, LATERAL structural_windows(p, t, 100) w").collect()] == ["x = 1\ndef f():\n    pass\n"]
+    m = neural.DefaultModels()
+    c = spark.createDataFrame([(1, "a", "x y"), (2, "a", "z"), (3, "b", None)], "cid long, chunk_id string, text string")
+    first = {r.cid for r in neural.build_index(m, c, str(tmp_path / "ix"), m.dim).collect()}
+    assert first == {2, 3} and {r.cid for r in neural.build_index(m, c, str(tmp_path / "ix"), m.dim).collect()} == first
+    assert sinks.load_index(spark, str(tmp_path / "none"), 64) is None and not sinks.index_valid(spark, str(tmp_path / "none"), "f") and sinks.load_index(spark, str(tmp_path / "ix"), 3) is None
+    m.step("prompt", 3, None), m.snapshot("initial"), m.save(spark, str(tmp_path / "m"))
+    other = neural.DefaultModels(dim=2)
+    other.load(spark, str(tmp_path / "m"))
+    assert other == m and m.loss(spark.createDataFrame([(0.0,)], "gap double")) == pytest.approx(math.log(2))
+    g = spark.createDataFrame([(f"g{i % 3}", i) for i in range(30)], "g string, k long")
+    draws = [{r.k for r in sampling.one_of_each(g, "g", "k", e).collect()} for e in (0, 1, 2)]
+    assert all(len(x) == 3 for x in draws) and len(set(map(frozenset, draws))) > 1
+    spark.createDataFrame([(i, f"l{i}") for i in range(5)], "n int, left_context string").coalesce(1).write.parquet(str(tmp_path / "d" / "repoeval" / "test.parquet"))
+    assert [r.task_id for r in readers.eval_set(spark, most=2, base=str(tmp_path / "d")).collect()] == ["task_0", "task_1"] and readers.eval_path("repoeval_update", "java") == "data/repoeval_update/java/test.parquet"
+    likes = proxy.affinity_order(spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.9)], "token string, affinity double")).collect()
+    assert [r.token for r in likes] == ["c", "a", "b"]
