@@ -33,7 +33,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return vector_graph.nearest_vectors(table(spark, d, "text_vectors"))
+    return vector_graph.nearest_vectors(table(spark, d, "text_vectors")).withColumn("cos", F.round("cos", 6))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +183,10 @@ ORACLES: dict[str, str] = {
         n AS (SELECT sample_id, count(*) AS n FROM r GROUP BY 1),
         c AS (SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS m FROM r a JOIN r b USING (run) WHERE a.train AND NOT b.train GROUP BY ALL)
         SELECT least(x, y) AS sample_lo, greatest(x, y) AS sample_hi FROM c JOIN n a ON a.sample_id = x JOIN n b ON b.sample_id = y WHERE m * 5 >= (a.n + b.n - m) * 3""",
+    "p2_nearest": """
+        WITH v AS (SELECT vec_id, vec::DOUBLE[] AS e FROM text_vectors WHERE vec IS NOT NULL), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v WHERE list_dot_product(e, e) > 0),
+        s AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.e, b.e) / (a.l * b.l), 12) AS cos FROM u a JOIN u b ON a.vec_id <> b.vec_id)
+        SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, other)::INT AS rank, other, round(cos, 6) AS cos FROM s QUALIFY rank <= 5""",
     "p2_found": """
         WITH v AS (SELECT vec_id, vec::DOUBLE[] AS e FROM text_vectors WHERE vec IS NOT NULL), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v WHERE list_dot_product(e, e) > 0),
         t AS (SELECT a.vec_id AS q, b.vec_id AS o FROM u a JOIN u b ON a.vec_id <> b.vec_id
