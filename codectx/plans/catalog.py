@@ -301,12 +301,19 @@ def raw_query(spark: SparkSession, d: str) -> DataFrame:
     return intent.retrieval_query(table(spark, d, "training_samples"), "left_context", "raw").select("sample_id", F.md5("query").alias("query_md5"))
 
 
-@query()
+@query(rf"""
+    WITH s AS (SELECT doc_id, {SPLIT.format("regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g')")} AS p FROM documents), l AS (SELECT doc_id, {LINES.format('p')} AS x FROM s),
+    o AS (SELECT doc_id, len({LINES.format('q')}) AS m FROM (SELECT doc_id, {SPLIT.format('text')} AS q FROM documents)),
+    c AS (SELECT doc_id, x, CASE WHEN len(x) = 0 OR (m + 1) // 2 <= 0 THEN 0 WHEN (m + 1) // 2 >= len(x) THEN len(x) - 1 ELSE (m + 1) // 2 - 1 END AS pos FROM l JOIN o USING (doc_id)),
+    a AS (SELECT doc_id, pos, x[1:pos + 1] AS above FROM c),
+    h AS (SELECT doc_id, pos, list_filter(above, lambda s: starts_with(regexp_replace(s, '^{WS}+', ''), 'class ') AND suffix(regexp_replace(s, '{WS}+$', ''), ':')) AS cls, list_filter(above, lambda s: starts_with(regexp_replace(s, '^{WS}+', ''), 'def ') AND suffix(regexp_replace(s, '{WS}+$', ''), ':')) AS fun,
+        list_filter(above, lambda s: starts_with(regexp_replace(s, '^{WS}+', ''), 'import ') OR starts_with(regexp_replace(s, '^{WS}+', ''), 'from ') AND contains({strip_sql('s')}, ' import ')) AS imp FROM a)
+    SELECT doc_id, len(list_distinct(list_transform(imp, lambda s: regexp_replace(s, '{WS}+$', ''))))::BIGINT AS n_imports, regexp_replace(cls[-1], '{WS}+$', '') AS parent_class, regexp_replace(fun[-1], '{WS}+$', '') AS parent_function, (pos + 1)::BIGINT AS cursor_line FROM h""")
 def scope_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The scope at the middle line of every document."""
     rows = table(spark, d, "documents").select("doc_id", "text", F.floor((F.size(t.lines(F.col("text"))) + 1) / 2).cast("int").alias("cursor"))
     s = intent.with_scope(rows, "text", "cursor", "s", tree=False)
-    return s.select("doc_id", F.size("s.imports").alias("n_imports"), "s.parent_class", "s.parent_function", F.size("s.local_variables").alias("n_locals"), "s.cursor_line", F.length(intent.scope_prompt(F.col("s"), F.lit("current_file.py"))).alias("n_prompt"))
+    return s.select("doc_id", n(F.size("s.imports")).alias("n_imports"), "s.parent_class", "s.parent_function", n(F.col("s.cursor_line")).alias("cursor_line"))
 
 
 @query(rf"""
