@@ -14,20 +14,14 @@ def smoothed_unigram_nll(samples: DataFrame, contexts: DataFrame) -> DataFrame:
 
     c counts the token in the sample's left context and the strategy's chunks together, N all their tokens, V the different ones and the target's.
     samples: sid, left_context, target; contexts: sid, strategy, text (several rows make one context, a null text is an empty context). An empty target costs 0.
-    Everything is counted by joins on tokens, so no context is put together anywhere.
+    A context is the few chunks that a strategy offers, so its tokens are put together in its row, and counted there for the target's tokens only: one shuffle by sample and strategy, one join.
     """
-    keys = ["sid", "strategy"]
-    left = samples.select("sid", F.explode(identifiers(F.col("left_context"))).alias("token")).groupBy("sid", "token").agg(F.count("*").alias("c"))
-    each = contexts.select(*keys).distinct()
-    own = contexts.select(*keys, F.explode(identifiers(F.col("text"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("c"))
-    target = samples.select("sid", F.explode(identifiers(F.col("target"))).alias("token")).groupBy("sid", "token").agg(F.count("*").alias("t"))
-    seen = own.unionByName(each.join(left, "sid")).groupBy(*keys, "token").agg(F.sum("c").alias("c"), F.lit(0).cast("long").alias("t"))
-    wanted = each.join(target, "sid").select(*keys, "token", F.lit(0).cast("long").alias("c"), "t")
-    both = seen.unionByName(wanted).groupBy(*keys, "token").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    # the sums that all of a context's tokens share are joined back to the few that the target has
-    whole = both.groupBy(*keys).agg(F.sum("c").alias("N"), F.count("*").alias("V"))
-    cost = both.filter("t > 0").join(whole, keys).groupBy(*keys).agg((F.sum(F.col("t") * -F.ln((F.col("c") + 1.0) / (F.col("N") + F.col("V")))) / F.sum("t")).alias("nll"))
-    return each.join(cost, keys, "left").select(*keys, F.coalesce("nll", F.lit(0.0)).alias("nll"))
+    own = contexts.groupBy("sid", "strategy").agg(F.flatten(F.collect_list(identifiers(F.col("text")))).alias("own"))
+    texts = samples.select("sid", identifiers(F.col("left_context")).alias("left"), identifiers(F.col("target")).alias("goal"))
+    rows = own.join(texts, "sid").select("sid", "strategy", F.concat("left", "own").alias("tokens"), "goal")
+    sized = rows.withColumn("size", (F.size("tokens") + F.size(F.array_distinct(F.concat("tokens", "goal")))).cast("double"))
+    cost = F.aggregate("goal", F.lit(0.0), lambda s, w: s - F.ln((F.size(F.filter("tokens", lambda x: x == w)) + 1.0) / F.col("size")))
+    return sized.select("sid", "strategy", F.when(F.size("goal") > 0, cost / F.size("goal")).otherwise(0.0).alias("nll"))
 
 
 def utilities(scores: DataFrame) -> DataFrame:
