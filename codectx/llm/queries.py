@@ -72,6 +72,13 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitter.split_oversized(table(spark, d, "code_chunks"))
 
 
+def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The oversized chunks put together again from their pieces: nothing is lost, nothing doubled, and no piece is over a limit."""
+    p = p6_pieces(spark, d)
+    good = p.groupBy("chunk_key").agg(F.bool_and((F.length("text") <= splitter.MAX_CHARS) & (F.col("last_line") - F.col("first_line") < splitter.MAX_LINES)).alias("within"))
+    return splitter.put_together(p).join(good, "chunk_key").select("chunk_key", F.md5("text").alias("text_md5"), "within")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).filter("piece_no = 0").select("chunk_key")
 
@@ -84,6 +91,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_checked(spark, d).filter("not valid").select("origin", "record_id", "file_path")
 
 
+def p7_judged(spark: SparkSession, d: str) -> DataFrame:
+    """How many files of each repository and language are judged."""
+    return p7_checked(spark, d).groupBy("repo", "language").agg(F.count("*").alias("files"))
+
+
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return validity.rates(p7_checked(spark, d))
 
@@ -130,7 +142,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p7_found, p7_checked, p7_rates, p8_found, p8_leaks, p8_items, p9_report, p9_mix, p9_words_mix, p9_words_report, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_nearest, p3_found, p3_links, p4_found, p4_reasons, p5_found, p5_redacted, p6_found, p6_pieces, p6_rebuilt, p7_found, p7_checked, p7_judged, p7_rates, p8_found, p8_leaks, p8_items, p9_report, p9_mix, p9_words_mix, p9_words_report, p10_found, p10_restored)
 }
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9_]+')"
@@ -202,6 +214,13 @@ ORACLES: dict[str, str] = {
         c AS (SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS m FROM r a JOIN r b USING (run) WHERE a.train AND NOT b.train GROUP BY ALL),
         f AS (SELECT y, count(*) AS k FROM c JOIN n a ON a.sample_id = x JOIN n b ON b.sample_id = y WHERE m * 5 >= (a.n + b.n - m) * 3 GROUP BY 1)
         SELECT split_name, source, count(*) AS rows, count(k) AS overlapping_rows, coalesce(sum(k), 0)::BIGINT AS pairs FROM s LEFT JOIN f ON y = sample_id WHERE split_name <> 'train' GROUP BY ALL""",
+    "p6_rebuilt": """
+        SELECT chunk_key, md5(text) AS text_md5, true AS within FROM code_chunks
+        WHERE length(text) > 6000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR suffix(text, chr(10)) THEN 0 ELSE 1 END > 120""",
+    "p7_judged": r"""
+        WITH f AS (SELECT repo, unnest(map_keys(crossfile_context)) AS path FROM loader_samples UNION ALL SELECT repo, file_path FROM code_chunks WHERE chunk_type = 'fallback'),
+        e AS (SELECT repo, lower(regexp_extract(path, '\.(py|js|ts|java|go)$', 1, 'i')) AS ext FROM f)
+        SELECT repo, CASE ext WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' ELSE ext END AS language, count(*) AS files FROM e WHERE ext <> '' GROUP BY ALL""",
     "p8_items": """
         WITH d AS (SELECT doc_id, item_id FROM ({p8_found})) SELECT item_id, count(*) AS documents FROM d GROUP BY 1""",
 }

@@ -16,6 +16,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codectx.llm.common import text_or_empty
 
@@ -100,6 +101,16 @@ def pieces(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, ov
     return out
 
 
+def put_together(pieces: DataFrame) -> DataFrame:
+    """(chunk_key, pieces, text): the texts of split_oversized() again, from their pieces without the lines that neighbours share. A chunk's pieces are no more than its own text."""
+    before = Window.partitionBy("chunk_key").orderBy("piece_no")
+    last, cut = F.lag("last_line").over(before), F.lag("cut").over(before)
+    shared = F.when((F.col("cut") == "hard") | (cut == "hard"), 0).otherwise(F.greatest(F.lit(0), F.coalesce(last - F.col("first_line") + 1, F.lit(0))))
+    rows = pieces.withColumn("shared", shared.cast("int")).withColumn("own", F.array_join(F.slice(F.split("text", "\n", -1), F.col("shared") + 1, F.size(F.split("text", "\n", -1))), "\n"))
+    whole = rows.groupBy("chunk_key").agg(F.count("*").alias("pieces"), F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("l"))
+    return whole.select("chunk_key", "pieces", F.array_join(F.transform("l", lambda x: x["own"]), "").alias("text"))
+
+
 def split_oversized(df: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the code chunks whose text has more than ``max_lines`` lines or ``max_chars`` code points.
 

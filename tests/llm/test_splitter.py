@@ -51,3 +51,11 @@ def test_frame_nulls_shift_and_kinds(spark):
     assert max(r.end_line for r in out if r.chunk_key == 2) == 121
     assert [r.text for r in sorted((r for r in out if r.chunk_key == 6), key=lambda r: r.piece_no)] == ["y" * 6000, "y"]
     assert s.split_oversized(df.limit(0)).collect() == []
+
+
+def test_pieces_can_be_put_together_again(spark):
+    texts = ["a\n" * 300, "x" * 20_000, "\r\n".join(f"line {i}" for i in range(500)), "def f():\n    pass\n\n" * 90 + "y" * 7000 + "\nend", "\n" * 200]
+    df = spark.createDataFrame([(i, "k", 1, x) for i, x in enumerate(texts)], "chunk_key long, chunk_type string, start_line int, text string")
+    got = {r.chunk_key: r.text for r in s.put_together(s.split_oversized(df)).collect()}
+    assert got == dict(enumerate(texts))
+    assert s.put_together(s.split_oversized(df.limit(0))).collect() == []
