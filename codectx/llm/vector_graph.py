@@ -22,7 +22,7 @@ from codectx.llm.common import written
 
 NEAREST = 5
 #: Classes that are meant to be in a cell, cells that a class is in, and how many times CELL_ROWS a cell may have before it is split again.
-CELL_ROWS, CELLS_EACH, MOST = 1500, 3, 8
+CELL_ROWS, CELLS_EACH, MOST = 1000, 3, 8
 #: Rows that the first cells are fitted to, those that a cell is split by, and the least of these for a cell below; cells below one cell; rounds of splitting.
 SAMPLE, CELL_SAMPLE, LEAST_LEAF, FANOUT, CELL_BITS, LEVELS = 20_000, 8_000, 4, 400, 11, 5
 #: Rows of a cell that one task places in the cells below.
@@ -30,9 +30,9 @@ SLICE = 50_000
 #: Steps of a unit vector's elements that tell directions apart, and classes of one direction that are indexed.
 STEP, ALIKE = 1e-5, 24
 #: Cells that a vector is in on the average: those near a border are in the further ones, by a margin that a sample tells.
-COPIES = 1.8
+COPIES = 1.6
 #: Edges of a node, beam of a search that proposes them and of one that answers, nodes expanded at once, nodes that searches begin at.
-DEGREE, BEAM, WIDE, RELAX, EXPAND, ENTRIES = 24, 24, 40, 1.1, 4, 32
+DEGREE, BEAM, WIDE, RELAX, EXPAND, ENTRIES = 24, 24, 32, 1.1, 4, 32
 BATCH = 512
 
 
