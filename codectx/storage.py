@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,7 +26,7 @@ def _drop(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already
+    except (Py4JError, AttributeError, OSError):  # the session has ended already
         pass
 
 
