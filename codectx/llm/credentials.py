@@ -386,7 +386,7 @@ def _on_line(text: str, line: int, stop: int) -> list[Finding]:
         quote = m.group(4)
         start, end = m.end(), _closing(text, m.end(), quote)
         parts, last = [text[start:end]], end
-        while len(quote) == 1 and (j := JOINED.match(text, last + 1)) and j.end() - last < 120:
+        while len(quote) == 1 and (j := JOINED.match(text, last + 1)):
             close = _closing(text, j.end(), j.group(1))
             parts.append(text[j.end() : close])
             last = close

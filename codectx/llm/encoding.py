@@ -281,7 +281,7 @@ def utf8_parts(run: str) -> list[tuple[str, list[tuple[str, str]]]]:
             if end > k + 1 and (back := _whole_utf8(run[k:end])):
                 steps = [back]
                 same = ("cp1252", "latin-1") if back[1] in ("cp1252", "latin-1") else (back[1],)
-                while len(steps) < 4 and (more := _whole_utf8(steps[0][0], same)):  # what went wrong twice went wrong the same way
+                while more := _whole_utf8(steps[0][0], same):  # what went wrong twice went wrong the same way
                     steps.insert(0, (more[0], f"{more[1]}, {steps[0][1]}"))
                 out.append((run[k:end], steps))
                 k = end

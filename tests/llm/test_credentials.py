@@ -109,3 +109,8 @@ def test_formats(path, text, secrets):
     found = c.find(text, path)
     assert [text[f.start : f.end] for f in found] == secrets
     assert not any(x in c.redact(text, found) for x in secrets if path != "a.js")
+
+
+def test_parts_of_a_literal_may_stand_far_apart():
+    text = 'password = "aB3dE6" +\n' + " " * 400 + '"gH9kL2"\n'
+    assert [(f.start, f.end) for f in c.find(text)] == [(text.index("aB3"), text.rindex('"'))]

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from codectx.llm import encoding as e
@@ -75,3 +76,11 @@ def test_a_single_damaged_word_is_found(spark):
     rows = [(i, [polish, FRENCH, GERMAN, ENGLISH][i % 4]) for i in range(600)] + [(1000, "The word Za¿alenie stands here alone."), (1001, "A naïve señor stands here alone. ¿Qué? Muñoz")]
     out = {r.doc_id: r for r in e.find_garbled(spark.createDataFrame([(*r, "", 1, 1) for r in rows], DOCS)).collect()}
     assert set(out) == {1000} and out[1000].lost == 1 and out[1000].text == rows[600][1] and out[1000].encodings == []
+
+
+def test_what_went_wrong_many_times_is_undone_as_often():
+    text = "na\u00efve"
+    for _ in range(6):
+        text = lenient(text)
+    m = e.PairModel(np.zeros(1 << e.CHAR_BITS), np.zeros(1 << e.PAIR_BITS))
+    assert e.restore(text, m)[0] == "na\u00efve"
