@@ -41,7 +41,7 @@ def repo_files(spark: SparkSession, path: str) -> DataFrame:
     rows = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
     files = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
     offset = files.withColumn("_offset", F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).select("_file", "_offset")
-    placed = rows.join(F.broadcast(offset), "_file").withColumn("file_seq", F.col("_row") + F.col("_offset"))
+    placed = rows.join(offset, "_file").withColumn("file_seq", F.col("_row") + F.col("_offset"))
     flag = F.col("first") if "first" in df.columns else F.lit(False)
     return at_least(islands(placed, "file_seq", flag), "repo_id", 2, "n_files").select("repo_id", "file_seq", "path", "content", "n_files")
 
