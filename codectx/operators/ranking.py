@@ -2,7 +2,8 @@
 
 Queries meet chunks in an equi-join on the candidates' group (a repository, or one constant for a global pool) and token,
 so no pair without a common token is formed. Chunks without overlap can only win by their type bonus and order; of these, k for each
-group are enough.
+group are enough. So it is with chunks that share only tokens which very many chunks of the group have: of those with the same such
+tokens, k are enough (``contenders``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql.window import Window
 #: Signals of the lexical score. Fixed values.
 OVERLAP, TYPE_BONUS, PREFIX_BONUS = 1.5, 0.15, 2.0
 BONUS_TYPES = ("method", "function", "class_header")
+#: A token of more chunks of a group than these is frequent there; pairs that share no other are not formed one by one.
+FREQUENT = 500
+#: Groups that queries and chunks have in common are broadcast up to this number, joined as any other table beyond.
+MOST_GROUPS = 100_000
 LEXICAL, ORACLE, CONTEXT = ("defined_symbols", "used_symbols", "call_names"), ("defined_symbols", "call_names", "method_names"), ("defined_symbols", "call_names")
 
 
@@ -33,7 +38,38 @@ def overlaps(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return q.join(c, ["grp", "token"]).groupBy("qid", "cid").agg(F.count("*").alias("n"))
 
 
-def top_k(scored: DataFrame, k: int, order: list[Column], by: str = "qid") -> DataFrame:
+def contenders(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(qid, cid, n): every chunk that can be among a query's k best by shared tokens, then ``bonus`` (larger first), then ``pos``; n is the number of shared tokens, which may be 0.
+
+    queries: qid, grp, tokens; chunks: cid, grp, pos, bonus, tokens. A pair that shares a token which isn't frequent in the group is met in a join on that token. Any other pair is known by the
+    two sets of frequent tokens: of each such set of chunks the k first stand for all, of each such set of queries one is searched for, and a chunk that is not among the k best by frequent
+    tokens has k before it by all tokens, as these can only add to what those share.
+    """
+    groups = chunks.select("grp").distinct().join(queries.select("grp").distinct(), "grp")
+    small = F.broadcast if groups.count() <= MOST_GROUPS else lambda df: df
+    own = chunks.select("cid", "grp", "pos", "bonus", F.array_distinct("tokens").alias("tokens")).join(small(groups), "grp")
+    asked = queries.select("qid", "grp", F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")).alias("tokens"))
+    many = own.select("grp", F.explode("tokens").alias("token")).groupBy("grp", "token").agg(F.count("*").alias("n")).filter(F.col("n") > FREQUENT)
+    known = small(groups.join(many.groupBy("grp").agg(F.collect_list("token").alias("_known")), "grp", "left").select("grp", F.coalesce("_known", F.array().cast("array<string>")).alias("_known")))
+
+    def parted(df: DataFrame) -> DataFrame:
+        return df.join(known, "grp").withColumn("often", F.array_sort(F.array_intersect("tokens", "_known"))).withColumn("rare", F.array_except("tokens", "_known")).drop("tokens", "_known")
+
+    own, asked = parted(own), parted(asked)
+    met = asked.select("qid", "grp", "often", F.explode("rare").alias("token")).join(own.select("cid", "grp", F.col("often").alias("_often"), F.explode("rare").alias("token")), ["grp", "token"])
+    both = met.select("qid", "cid", F.size(F.array_intersect("often", "_often")).alias("m")).groupBy("qid", "cid").agg((F.count("*") + F.max("m")).alias("n"))
+    order = [F.desc("bonus"), F.asc("pos")]
+    heads = top_k(own.select("cid", "grp", "pos", "bonus", "often"), k, order, ["grp", "often"]).drop("rk")
+    kinds = asked.select("grp", "often").distinct()
+    alike = kinds.select("grp", "often", F.explode("often").alias("token")).join(heads.select("cid", "grp", "pos", "bonus", F.explode("often").alias("token")), ["grp", "token"])
+    none = kinds.join(top_k(heads, k, order, "grp").select("grp", "cid", "pos", "bonus"), "grp").withColumn("m", F.lit(0))
+    each = alike.select("grp", "often", "cid", "pos", "bonus", F.lit(1).alias("m")).unionByName(none).groupBy("grp", "often", "cid", "pos", "bonus").agg(F.sum("m").alias("n"))
+    best = top_k(each, k, [F.desc("n"), *order], ["grp", "often"]).select("grp", "often", "cid", "n")
+    rest = asked.select("qid", "grp", "often").join(best, ["grp", "often"]).select("qid", "cid", "n")
+    return both.unionByName(rest).groupBy("qid", "cid").agg(F.max("n").alias("n"))
+
+
+def top_k(scored: DataFrame, k: int, order: list[Column], by: str | list[str] = "qid") -> DataFrame:
     """The k best of each query with their rank ``rk`` from 1; Spark limits each group before and after the shuffle."""
     return scored.withColumn("rk", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rk") <= max(0, k))
 
@@ -46,9 +82,7 @@ def best_without_overlap(queries: DataFrame, chunks: DataFrame, k: int, order: l
 
 def lexical_scores(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(qid, cid, pos, score) of every chunk that can be among a query's k best. chunks: cid, grp, pos, chunk_type, tokens."""
-    hit = overlaps(queries, chunks)
-    rest = best_without_overlap(queries, chunks, k, [F.desc(type_bonus(F.col("chunk_type"))), F.asc("pos")])
-    every = hit.unionByName(rest).groupBy("qid", "cid").agg(F.max("n").alias("n"))
+    every = contenders(queries, chunks.withColumn("bonus", type_bonus(F.col("chunk_type"))), k)
     meta = chunks.select("cid", "pos", "chunk_type")
     return every.join(meta, "cid").select("qid", "cid", "pos", (OVERLAP * F.col("n") + type_bonus(F.col("chunk_type"))).alias("score"))
 
@@ -86,7 +120,8 @@ def proxy_top_k(queries: DataFrame, chunks: DataFrame, weights: DataFrame, k: in
 
 def oracle_top_k(targets: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """(qid, rk, cid, overlap) of chunks whose symbols hit the target; none where nothing hits. targets: qid, grp, tokens; chunks: cid, grp, pos, symbols."""
-    hit = overlaps(targets, chunks.select("cid", "grp", F.col("symbols").alias("tokens"))).join(chunks.select("cid", "pos"), "cid")
+    every = contenders(targets, chunks.select("cid", "grp", "pos", F.lit(0.0).alias("bonus"), F.col("symbols").alias("tokens")), k)
+    hit = every.filter("n > 0").join(chunks.select("cid", "pos"), "cid")
     return top_k(hit, k, [F.desc("n"), F.asc("pos")]).select("qid", "rk", "cid", F.col("n").alias("overlap"))
 
 

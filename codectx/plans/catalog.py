@@ -450,8 +450,8 @@ def temperature_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strategy_rows(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk_table(spark, d)
-    pool = written(ranking.lexical_top_k(left_queries(spark, d), c, 20).select("qid", "rk", "cid"))
+    c = written(chunk_table(spark, d).select("cid", "grp", "pos", "chunk_type", "tokens", "symbols"))
+    pool = written(ranking.lexical_top_k(written(left_queries(spark, d).select("qid", "grp", "tokens")), c, 20).select("qid", "rk", "cid"))
     goals = targets(spark, d)
     lists = {"bm25": pool.filter("rk <= 3"), "hard_neg": ranking.hard_negatives(pool, goals, c, 3), "oracle": ranking.oracle_top_k(pooled(goals), pooled(c), 3)}
     lists = {k: v.select(F.col("qid").alias("sid"), "rk", "cid") for k, v in lists.items()}
