@@ -19,9 +19,12 @@ def smoothed_unigram_nll(samples: DataFrame, contexts: DataFrame) -> DataFrame:
     own = contexts.groupBy("sid", "strategy").agg(F.flatten(F.collect_list(identifiers(F.col("text")))).alias("own"))
     texts = samples.select("sid", identifiers(F.col("left_context")).alias("left"), identifiers(F.col("target")).alias("goal"))
     rows = own.join(texts, "sid").select("sid", "strategy", F.concat("left", "own").alias("tokens"), "goal")
-    sized = rows.withColumn("size", (F.size("tokens") + F.size(F.array_distinct(F.concat("tokens", "goal")))).cast("double"))
-    cost = F.aggregate("goal", F.lit(0.0), lambda s, w: s - F.ln((F.size(F.filter("tokens", lambda x: x == w)) + 1.0) / F.col("size")))
-    return sized.select("sid", "strategy", F.when(F.size("goal") > 0, cost / F.size("goal")).otherwise(0.0).alias("nll"))
+    size = (F.size("tokens") + F.size(F.array_distinct(F.concat("tokens", "goal")))).cast("double")
+    held = F.filter("tokens", lambda x: F.array_contains("goal", x))
+    # a list of one, as its element is computed once, while a column would be computed anew for each token of the target
+    once = F.array(F.struct(size.alias("size"), held.alias("held")))
+    cost = F.transform(once, lambda o: F.aggregate("goal", F.lit(0.0), lambda s, w: s - F.ln((F.size(F.filter(o["held"], lambda x: x == w)) + 1.0) / o["size"])))[0]
+    return rows.select("sid", "strategy", F.when(F.size("goal") > 0, cost / F.size("goal")).otherwise(0.0).alias("nll"))
 
 
 def utilities(scores: DataFrame) -> DataFrame:

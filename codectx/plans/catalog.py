@@ -19,7 +19,7 @@ from codectx.operators import chunking, dense, entities, evaluation, intent, pac
 from codectx.plans import neural, proxy, runner
 from codectx.plans.config import NeuralConfig, ProxyConfig
 from codectx.sources import readers
-from codectx.storage import written
+from codectx.storage import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,8 +329,10 @@ def gate_features(spark: SparkSession, d: str) -> DataFrame:
 # retrieval
 
 
-def chunk_table(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "code_chunks").withColumn("chunk_id", chunking.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type")))
+def chunk_table(spark: SparkSession, d: str, even: bool = False) -> DataFrame:
+    """even: in parts of a size, for work on large row groups."""
+    c = table(spark, d, "code_chunks")
+    c = (spread(c) if even else c).withColumn("chunk_id", chunking.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type")))
     return c.select(
         F.col("chunk_key").alias("cid"), F.col("repo").alias("grp"), F.col("chunk_key").alias("pos"), "chunk_id", "chunk_type", "text", "defined_symbols", "used_symbols", "call_names", "method_names",
         ranking.symbol_set(ranking.LEXICAL).alias("tokens"), ranking.symbol_set(ranking.ORACLE).alias("symbols"),
@@ -341,8 +343,9 @@ def search_samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "training_samples")
 
 
-def left_queries(spark: SparkSession, d: str) -> DataFrame:
-    return search_samples(spark, d).select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), t.identifier_set(F.col("left_context")).alias("tokens"), t.trailing_identifier(F.col("left_context")).alias("prefix"))
+def left_queries(spark: SparkSession, d: str, even: bool = False) -> DataFrame:
+    rows = search_samples(spark, d)
+    return (spread(rows) if even else rows).select(F.col("sample_id").alias("qid"), F.col("repo").alias("grp"), t.identifier_set(F.col("left_context")).alias("tokens"), t.trailing_identifier(F.col("left_context")).alias("prefix"))
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -450,8 +453,8 @@ def temperature_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strategy_rows(spark: SparkSession, d: str) -> DataFrame:
-    c = written(chunk_table(spark, d).select("cid", "grp", "pos", "chunk_type", "tokens", "symbols"))
-    pool = written(ranking.lexical_top_k(written(left_queries(spark, d).select("qid", "grp", "tokens")), c, 20).select("qid", "rk", "cid"))
+    c = written(chunk_table(spark, d, True).select("cid", "grp", "pos", "chunk_type", "tokens", "symbols"))
+    pool = written(ranking.lexical_top_k(written(left_queries(spark, d, True).select("qid", "grp", "tokens")), c, 20).select("qid", "rk", "cid"))
     goals = targets(spark, d)
     lists = {"bm25": pool.filter("rk <= 3"), "hard_neg": ranking.hard_negatives(pool, goals, c, 3), "oracle": ranking.oracle_top_k(pooled(goals), pooled(c), 3)}
     lists = {k: v.select(F.col("qid").alias("sid"), "rk", "cid") for k, v in lists.items()}
@@ -484,13 +487,13 @@ UTILITY_SQL = f"""WITH {STRATEGY_SQL}, {NLL_SQL.format(strategies='strategies')}
 def strategy_fanout(spark: SparkSession, d: str) -> DataFrame:
     """What all six strategies offer every sample, with the default models; rows by strategy."""
     rows = table(spark, d, "training_samples").select(F.col("sample_id").alias("sid"), F.col("repo").alias("grp"), "left_context", "target")
-    return neural.fan_out(neural.DefaultModels(), rows, chunk_table(spark, d), NeuralConfig()).groupBy("strategy").agg(F.count("*").alias("n"), F.count_distinct("sid").alias("samples"))
+    return neural.fan_out(neural.DefaultModels(), rows, chunk_table(spark, d, True), NeuralConfig()).groupBy("strategy").agg(F.count("*").alias("n"), F.count_distinct("sid").alias("samples"))
 
 
 def ranked_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = written(strategy_rows(spark, d))
-    samples = search_samples(spark, d).select(F.col("sample_id").alias("sid"), "left_context", "target")
-    contexts = rows.join(table(spark, d, "code_chunks").select(F.col("chunk_key").alias("cid"), "text"), "cid", "left").select("sid", "strategy", "text")
+    samples = spread(search_samples(spark, d).select(F.col("sample_id").alias("sid"), "left_context", "target"))
+    contexts = rows.join(spread(table(spark, d, "code_chunks").select(F.col("chunk_key").alias("cid"), "text")), "cid", "left").select("sid", "strategy", "text")
     nll = utility.smoothed_unigram_nll(samples, contexts).withColumn("nll", F.round("nll", 9))
     return utility.utilities(rows.select("sid", "strategy", "pos", "is_stop").distinct().join(nll, ["sid", "strategy"]))
 

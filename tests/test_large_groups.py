@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codectx.operators import ranking
+from codectx.operators import ranking, utility
 
 SYMBOLS = "cid long, grp string, pos long, chunk_type string, tokens array<string>, symbols array<string>"
 QUERY = "qid long, grp string, tokens array<string>"
@@ -35,3 +35,10 @@ def test_best_by_shared_tokens_whatever_is_frequent(spark, monkeypatch, frequent
         oracle |= {(qid, k + 1, x[2], x[0]) for k, x in enumerate(sorted((x for x in pool if x[0]), key=lambda x: (-x[0], x[2]))[:3])}
     assert {(r.qid, r.rk, r.cid) for r in ranking.lexical_top_k(q, c, 5).collect()} == lexical
     assert {(r.qid, r.rk, r.cid, r.overlap) for r in ranking.oracle_top_k(q, c, 3).collect()} == oracle
+
+
+def test_sizes_of_contexts_are_not_computed_for_each_token(spark):
+    s = spark.createDataFrame([(1, "a b a", "a c")], "sid long, left_context string, target string")
+    c = spark.createDataFrame([(1, "stop", None)], "sid long, strategy string, text string")
+    plan = utility.smoothed_unigram_nll(s, c)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("array_distinct" not in x.split("\n")[0] for x in plan.split("aggregate(")[1:])
