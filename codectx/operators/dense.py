@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,8 @@ from codectx.operators.ranking import top_k
 NORM_FLOOR = 1e-8
 #: Numbers of query vectors that a task holds; more queries are searched block by block.
 QUERY_BLOCK = 4096
+#: Vectors of a group that a task holds.
+GROUP_SLICE = 16_384
 
 
 def norm(v: Column) -> Column:
@@ -23,8 +26,9 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Divided by its length, which counts as 1e-8 at least."""
-    n = F.greatest(norm(v), F.lit(NORM_FLOOR))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # lists of one, as their element is computed once, while v and its length would be computed anew for each value of v
+    sized = lambda w: F.array(F.struct(w.alias("v"), F.greatest(norm(w), F.lit(NORM_FLOOR)).alias("n")))
+    return F.transform(F.array(v), lambda w: F.transform(sized(w), lambda o: F.transform(o["v"], lambda x: x.cast("double") / o["n"]))[0])[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,10 +36,55 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def group_top_k(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """(qid, rk, cid, score): the k largest inner products of each query (qid, grp, qvec) with the vectors (cid, grp, vec, pos) of its group, a sample's own candidates; ties by position."""
-    scored = queries.join(vectors, "grp").select("qid", "cid", "pos", dot(F.col("qvec"), F.col("vec")).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "pos")
-    return scored.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("qid", "rk", "cid", "score")
+    """(qid, rk, cid, score): the k largest inner products of each query (qid, grp, qvec) with the vectors (cid, grp, vec, pos) of its group, a sample's own candidates; ties by position.
+
+    A group is cut into blocks of queries and slices of vectors, and each block meets each slice in a task that multiplies them and keeps what can be among a query's k best, so pairs are no
+    rows and a large group is no single task. What has no vector takes no part.
+    """
+    q, v = queries.filter("qvec is not null"), vectors.filter("vec is not null")
+    slices = v.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_SLICE).cast("int").alias("slices"))
+    blocks = q.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    cells = slices.join(blocks, "grp")
+    left = q.join(cells, "grp").select("grp", F.expr("cast(pmod(xxhash64(qid), blocks) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("qid").cast("long").alias("qid"), "qvec")
+    right = v.join(cells, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.expr("cast(pmod(xxhash64(cid), slices) as int)").alias("slice"), F.col("cid").cast("long").alias("cid"), F.col("pos").cast("long").alias("pos"), "vec")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = best_pairs(matrix_of(a["qvec"]), matrix_of(b["vec"]), b["pos"].to_numpy(), k) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        i, j, score = found
+        return pa.table({"qid": a["qid"].take(pa.array(i)), "cid": b["cid"].take(pa.array(j)), "pos": b["pos"].take(pa.array(j)), "score": pa.array(score, pa.float64())})
+
+    keys = ("grp", "block", "slice")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "qid long, cid long, pos long, score double")
+    return top_k(found, k, [F.desc(F.round("score", 12)), F.asc("pos")]).select("qid", "rk", "cid", "score")
+
+
+def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)])
+
+
+def best_pairs(a: np.ndarray, b: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, inner product) of all that can be among the k best rows of b for a row of a by the product rounded to 12 decimals, then ``pos``.
+
+    The matrix product may differ in the last bits from a sum in order, so what is near the edge is summed again.
+    """
+    m, out = min(max(0, k), len(b)), []
+    slack = 1e-9 + 1e-12 * np.linalg.norm(a, axis=1) * (np.linalg.norm(b, axis=1).max() if len(b) else 0)
+    step = max(1, 2**22 // max(1, len(b)))
+    for at in range(0, len(a) if m else 0, step):
+        s = a[at : at + step] @ b.T
+        edge = np.partition(s, len(b) - m, axis=1)[:, len(b) - m]
+        i, j = np.nonzero(s >= (edge - slack[at : at + step])[:, None])
+        exact = np.zeros(len(i))
+        for d in range(a.shape[1]):
+            exact += a[at + i, d] * b[j, d]
+        order = np.lexsort((pos[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)
+        new = np.r_[True, (i[1:] != i[:-1]) | (exact[1:] != exact[:-1])]
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))  # among equal products of the row
+        keep = (place < k) & (exact >= exact[first + m - 1] - 2e-12)
+        out.append((at + i[keep], j[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, skip_self: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from codectx.functions.text import identifier_set, identifiers
 from codectx.operators import chunking, dense, intent, ranking, strategies, utility
 from codectx.plans.config import NeuralConfig, guard_inference, inference_strategy, resolved, schedule
 from codectx.sources import sinks
-from codectx.storage import written
+from codectx.storage import spread, written
 
 
 class Models(Protocol):
@@ -86,13 +86,14 @@ def fan_out(models: Models, samples: DataFrame, chunks: DataFrame, config: Neura
 
     The query is the sketch or the raw left context as ``intent_mode`` says. dense_frozen encodes by the snapshot 'initial', current by the weights as they are; the strategies that look at the target serve training only.
     """
-    asked = intent.retrieval_query(samples, "left_context", config.intent_mode)
+    asked = written(intent.retrieval_query(spread(samples.select("sid", "grp", "left_context")), "left_context", config.intent_mode).select("sid", "grp", "query"))
+    texts, chunks = spread(chunks.select(F.col("cid").alias("id"), "text")), written(chunks.select("cid", "grp", "pos", "chunk_type", "tokens", "symbols"))
     queries = asked.select(F.col("sid").alias("qid"), "grp", identifier_set(F.col("query")).alias("tokens"))
     pool = written(ranking.lexical_top_k(queries, chunks, max(config.pool_top_k, config.top_k)).select("qid", "rk", "cid"))
     lists = {"bm25": pool.filter(F.col("rk") <= config.top_k)}
     for name, snapshot in (("dense_frozen", "initial"), ("current", None)):
-        vectors = chunks.select("cid", "grp", "pos").join(models.encode(chunks.select(F.col("cid").alias("id"), "text"), snapshot).withColumnRenamed("id", "cid"), "cid")
-        q = asked.select(F.col("sid").alias("qid"), "grp").join(models.encode(asked.select(F.col("sid").alias("id"), F.col("query").alias("text")), snapshot).select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
+        vectors = written(chunks.select("cid", "grp", "pos").join(models.encode(texts, snapshot).withColumnRenamed("id", "cid"), "cid"))
+        q = written(asked.select(F.col("sid").alias("qid"), "grp").join(models.encode(asked.select(F.col("sid").alias("id"), F.col("query").alias("text")), snapshot).select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid"))
         lists[name] = dense.group_top_k(q, vectors, config.top_k)
     if train:
         goals = samples.select(F.col("sid").alias("qid"), "grp", identifier_set(F.col("target")).alias("tokens"))

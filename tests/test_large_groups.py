@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codectx.operators import ranking, utility
+from codectx.operators import dense, ranking, utility
 
 SYMBOLS = "cid long, grp string, pos long, chunk_type string, tokens array<string>, symbols array<string>"
 QUERY = "qid long, grp string, tokens array<string>"
@@ -42,3 +42,18 @@ def test_sizes_of_contexts_are_not_computed_for_each_token(spark):
     c = spark.createDataFrame([(1, "stop", None)], "sid long, strategy string, text string")
     plan = utility.smoothed_unigram_nll(s, c)._jdf.queryExecution().optimizedPlan().toString()
     assert all("array_distinct" not in x.split("\n")[0] for x in plan.split("aggregate(")[1:])
+
+
+def test_vectors_of_a_group_are_searched_in_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "GROUP_SLICE", 40, raising=False)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 16)
+    rng = random.Random(5)
+    vec = lambda: [float(rng.randrange(-2, 3)) / 3 for _ in range(4)]  # noqa: E731, many equal products
+    vectors, queries = [(k, rng.choice("gggh"), 1000 - k, vec()) for k in range(150)], [(k, rng.choice("gghz"), vec()) for k in range(60)] + [(60, "g", [0.0] * 4)]
+    r = dense.group_top_k(spark.createDataFrame(queries, "qid long, grp string, qvec array<double>"), spark.createDataFrame(vectors, "cid long, grp string, pos long, vec array<double>"), 5)
+    want = set()
+    for qid, grp, x in queries:
+        pool = sorted((-round(sum(a * b for a, b in zip(x, y)), 12), pos, cid) for cid, g, pos, y in vectors if g == grp)
+        want |= {(qid, k + 1, cid) for k, (_, _, cid) in enumerate(pool[:5])}
+    assert {(x.qid, x.rk, x.cid) for x in r.collect()} == want
+    assert "zip_with" not in r._jdf.queryExecution().optimizedPlan().toString()  # pairs are no rows
