@@ -25,6 +25,8 @@ SEED = 17
 SLICES = 1 << 12
 #: Rows up to which a table with one row for each source is broadcast.
 BROADCAST_ROWS = 100_000
+#: What weights are multiplied by where something is divided by them, so that the smallest ones don't give infinity. A power of two, which changes no digit.
+SCALE = 2.0**128
 
 
 @lru_cache(2)
@@ -84,9 +86,9 @@ def fill(sources: list[tuple[str, float, int, int]], total: float) -> list[Share
     left = float(total)
     while open_ and left > 0:
         weight = sum(w for w, _ in open_.values())
-        full = {s: cap for s, (w, cap) in open_.items() if left * w / weight >= cap}
+        full = {s: cap for s, (w, cap) in open_.items() if left * (w / weight) >= cap}
         if not full:
-            got.update({s: left * w / weight for s, (w, _) in open_.items()})
+            got.update({s: left * (w / weight) for s, (w, _) in open_.items()})
             break
         for s, cap in full.items():
             got[s] = cap
@@ -114,10 +116,11 @@ def plan(counts: DataFrame, targets: DataFrame, total: float | None = None) -> D
     before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy("active")
     goal = F.sum("n").over(whole).cast("double") if total is None else F.lit(float(total))
-    level = F.try_divide(goal - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("w").over(behind))
-    rows = every.withColumn("active", active).withColumn("ratio", F.when(active, F.try_divide("cap", "w"))).withColumn("level", level).withColumn("full", F.col("level") >= F.col("ratio"))
-    first = F.min(F.when(~F.col("full"), F.struct("ratio", "source", "level"))).over(whole)["level"]
-    take = F.when(~F.col("active"), 0.0).when(F.col("full"), F.col("cap")).otherwise(F.greatest(first, F.lit(0.0)) * F.col("w"))
+    left, weight = goal - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("w").over(behind)
+    rows = every.withColumn("active", active).withColumn("ratio", F.when(active, F.try_divide("cap", F.col("w") * SCALE))).withColumn("left", left).withColumn("weight", weight)
+    rows = rows.withColumn("full", F.col("left") * F.try_divide("w", "weight") >= F.col("cap"))
+    first = F.min(F.when(~F.col("full"), F.struct("ratio", "source", "left", "weight"))).over(whole)
+    take = F.when(~F.col("active"), 0.0).when(F.col("full"), F.col("cap")).otherwise(F.greatest(first["left"], F.lit(0.0)) * F.try_divide(F.col("w"), first["weight"]))
     return rows.select("source", F.col("w").alias("target_share"), F.col("r").alias("max_repeats"), "n", F.round(take, 3).alias("wanted"))
 
 

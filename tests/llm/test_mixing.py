@@ -68,3 +68,17 @@ def test_copies_are_the_uses(spark):
     assert sorted((r.doc_id, r.copy_no) for r in uses) == sorted((r.doc_id, k) for r in drawn.collect() for k in range(1, r.repeats + 1))
     reached = {r.source: r.reached_share for r in uses}
     assert reached["b"] == pytest.approx(sum(r.tokens for r in uses if r.source == "b") / sum(r.tokens for r in uses), abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "sources, total, want",
+    [  # weights so small that a cap divided by them is infinite, or that a product with them loses its digits
+        ([(0.25, 34, 1), (5e-324, 25, 3), (0.5, 15, 4)], 106.75, [34.0, 12.75, 60.0]),
+        ([(5e-324, 50, 1), (1e-320, 40, 1), (0.5, 10, 1)], 70.0, [20.0, 40.0, 10.0]),
+    ],
+)
+def test_the_smallest_weights_get_no_more_than_is_left(spark, sources, total, want):
+    counts = spark.createDataFrame([(k, str(k), n) for k, (_, n, _) in enumerate(sources)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(str(k), w, r) for k, (w, _, r) in enumerate(sources)], "source string, target_share double, max_repeats int")
+    assert [s.wanted for s in m.fill([(str(k), w, n, r) for k, (w, n, r) in enumerate(sources)], total)] == pytest.approx(want, abs=0.002)
+    assert [r.wanted for r in m.plan(counts, targets, total).orderBy("source").collect()] == pytest.approx(want, abs=0.002)
